@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from amalgam.llm import bpe, embed, simhash
+from amalgam.llm import bpe, embed, quality, simhash, sketch, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embed.op1_embedding_near_dedup,
+    "op2_document_fingerprints": sketch.op2_document_fingerprints,
     "op3_bpe_encode_decode": bpe.op3_bpe_encode_decode,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
