@@ -26,10 +26,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/amalgam/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
+#: Rows of a few numbers that a file of a scratch table holds.
+ROWS_A_FILE = 250_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    ``rows``: about how many narrow rows it has; the number of files then follows the data, not the shuffle setting.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(-(-rows // ROWS_A_FILE) or 1)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._amalgam_path = path
@@ -65,10 +74,10 @@ def default_blocks(spark: SparkSession) -> int:
     return max(16, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int, max_rounds: int = 50) -> DataFrame:
     """Smallest reachable node of every node with an edge, by alternating large-star and small-star steps.
 
-    ``edges`` has long columns ``a`` and ``b``. Every round is two aggregations and two joins over edges that only
+    ``edges`` has long columns ``a`` and ``b``, about ``rows`` of them. Every round is two aggregations and two joins over edges that only
     shrink in number of distinct pairs; each round's edges are written to the shared folder. Returns (node, component).
     """
 
@@ -88,12 +97,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     before = state(now)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        nxt = saved(star(star(now, True), False), "edges")
+        nxt = saved(star(star(now, True), False), "edges", before[0])
         dropped(now)
         now, after = nxt, state(nxt)
         if after == before:

@@ -141,12 +141,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     dealt = dealt.withColumn("lo", F.least("salt", "other")).withColumn("hi", F.greatest("salt", "other"))
     order = [*bucket, "lo", "hi"]
     dealt = dealt.select(*order, "row", F.col("salt").alias("side"), "codes", "unit").repartition(*order).sortWithinPartitions(*order)
-    found = saved(dealt.mapInArrow(compared(threshold), "row long, n long, root long"), "vectors-found")
-    links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    part = connected_components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
-    named = rows.select("row", "vec_id").join(links, "row", "left").join(part, rows["row"] == part["node"], "left")
+    found = dealt.mapInArrow(compared(threshold), "row long, n long, root long")
+    n = rows.count()
+    # a row has at most one root for each table and pair of salts
+    found = saved(found.groupBy("row").agg(F.sum("n").alias("n_links"), F.collect_set("root").alias("roots")), "vectors-found", n)
+    part = connected_components(found.select(F.col("row").alias("a"), F.explode("roots").alias("b")), n)
+    named = rows.select("row", "vec_id").join(found.select("row", "n_links"), "row", "left").join(part, rows["row"] == part["node"], "left")
     named = named.select("row", "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "row").alias("component"))
-    named = saved(named, "vectors-named")
+    named = saved(named, "vectors-named", n)
     least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     return named.join(least, "component").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

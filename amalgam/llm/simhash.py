@@ -151,10 +151,11 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     rows = saved(with_fingerprints(docs), "simhash")
-    each = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    part = connected_components(fingerprint_links(each.select("fp")))
+    each = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp", rows.count())
+    n = each.count()
+    part = connected_components(fingerprint_links(each.select("fp")), n)
     named = each.join(part, each["fp"] == part["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = saved(named, "simhash-class")
+    named = saved(named, "simhash-class", n)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

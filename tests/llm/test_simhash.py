@@ -72,7 +72,7 @@ def test_links_of_random_clusters_equal_brute_force(spark):
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     links = simhash.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"))
-    part = {r.node: r.component for r in simhash.connected_components(links).collect()}
+    part = {r.node: r.component for r in simhash.connected_components(links, 100).collect()}
     want = brute_components(signed, fps)
     assert {s: part.get(s, s) for s in signed} == want
 
