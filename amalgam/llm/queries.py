@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from amalgam.llm import bpe, embed, quality, shards, simhash, sketch, token_files, toxicity
+from amalgam.llm import bpe, embed, licenses, quality, shards, simhash, sketch, token_files, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embed.op1_embedding_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe_encode_decode": bpe.op3_bpe_encode_decode,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_token_id_files": token_files.op7_token_id_files,
     "op8_sharding": shards.op8_sharding,
     "op10_quality_classifier": quality.op10_quality_classifier,
