@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from amalgam.llm import bpe, embed, licenses, quality, shards, simhash, sketch, token_files, toxicity
+from amalgam.llm import bpe, embed, licenses, mixing, quality, shards, simhash, sketch, token_files, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embed.op1_embedding_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_license_scan": licenses.op6_license_scan,
     "op7_token_id_files": token_files.op7_token_id_files,
     "op8_sharding": shards.op8_sharding,
+    "op9_source_mixing": mixing.op9_source_mixing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
