@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from amalgam.llm.bpe import Remembering
 from amalgam.llm.common import table
 
-TOXIC, CLEAN, KEPT, GRADES, SURE = 2500, 4500, 512, 3, 0.5
-BUCKETS = 1 << 22
+TOXIC, CLEAN, KEPT, GRADES, SURE = 1500, 3000, 512, 3, 0.5
 BEGINNINGS = (4, 5, 6, 7)
 KINDS = 1 + len(BEGINNINGS)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -42,7 +41,7 @@ def term_features(token: str) -> tuple[int, ...]:
     if len(word) < 3:
         return ()
     parts = [word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
-    return tuple(crc32(f"{k} {p}".encode()) % BUCKETS * KINDS + k for k, p in enumerate(parts))
+    return tuple(crc32(p.encode()) * KINDS + k for k, p in enumerate(parts))
 
 
 @dataclass
@@ -84,43 +83,42 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
                     for f in terms[token]:
                         found[f] += n
                 order = sorted(found)
-                out.append((np.array(order, "<u4").tobytes(), np.minimum([found[f] for f in order], 65_535).astype("<u2").tobytes()))
+                out.append((np.array(order, "<i8").tobytes(), np.minimum([found[f] for f in order], 65_535).astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(2)], names=["id", "features", "counts", "toxic"])
 
     got = sample.select("text", "_id", "toxic").mapInArrow(run, "id long, features binary, counts binary, toxic int").toArrow().sort_by("id")
-    features = [np.frombuffer(b, "<u4") for b in got["features"].to_pylist()]
-    counts = [np.frombuffer(b, "<u2") for b in got["counts"].to_pylist()]
-    none = np.empty(0, "<u4")
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    return rows, np.concatenate([none, *features]), np.concatenate([none.astype("<u2"), *counts]), got["toxic"].to_numpy()
+    sizes = [len(b.as_buffer()) // 2 if b.as_buffer() else 0 for b in got["counts"]]
+    features = np.frombuffer(b"".join(b.as_buffer() for b in got["features"]), "<i8")
+    counts = np.frombuffer(b"".join(b.as_buffer() for b in got["counts"]), "<u2")
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), features, counts, got["toxic"].to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows, features, counts, toxic = sample_features(labelled(docs, labels))
     is_toxic = toxic > 0
     n_toxic, n_clean = int(is_toxic.sum()), int((~is_toxic).sum())
-    if not n_toxic or not n_clean:
+    if not n_toxic or not n_clean or not len(features):
         return None
-    space = BUCKETS * KINDS
+    known, place = np.unique(features, return_inverse=True)
     here = is_toxic[rows]
-    t, c = (np.bincount(features[m], minlength=space) for m in (here, ~here))
+    t, c = (np.bincount(place[m], minlength=len(known)) for m in (here, ~here))
     # chi-square of occurrence against toxicity, for features that occur relatively more often in toxic documents
     seen = t + c
-    chi = (t * n_clean - c * n_toxic).astype(np.float64) ** 2 * (n_toxic + n_clean) / np.maximum(1.0 * n_toxic * n_clean * seen * np.maximum(n_toxic + n_clean - seen, 1), 1)
+    chi = (1.0 * t * n_clean - 1.0 * c * n_toxic) ** 2 * (n_toxic + n_clean) / np.maximum(1.0 * n_toxic * n_clean * seen * np.maximum(n_toxic + n_clean - seen, 1), 1)
     chi[(t * n_clean <= c * n_toxic) | (t < 2)] = 0
     best = np.argsort(-chi, kind="stable")[:KEPT]
     best = best[chi[best] > 0]
-    column = np.full(space, -1, np.int32)
+    column = np.full(len(known), -1, np.int32)
     column[best] = np.arange(len(best))
-    used = column[features] >= 0
+    used = column[place] >= 0
     x = np.zeros((len(toxic), len(best)))
-    np.add.at(x, (rows[used], column[features[used]]), counts[used])
+    np.add.at(x, (rows[used], column[place[used]]), counts[used])
     # how often a document uses marking terms: the most of any kind, so that a word and its beginnings count once
     sure = t[best] / np.maximum(seen[best], 1) >= 0.8
-    hits = np.max([x[:, sure & (best % KINDS == k)].sum(axis=1) for k in range(KINDS)], axis=0) if len(best) else np.zeros(len(toxic))
+    hits = np.max([x[:, sure & (known[best] % KINDS == k)].sum(axis=1) for k in range(KINDS)], axis=0)
     grade = np.where(is_toxic, np.select([hits < 3, hits < 6], [1, 2], 3), 0)
     weights, thresholds = proportional_odds(np.log1p(x), grade)
-    return Model({int(f): i for i, f in enumerate(best)}, weights, thresholds)
+    return Model({int(f): i for i, f in enumerate(known[best])}, weights, thresholds)
 
 
 def proportional_odds(x: np.ndarray, grade: np.ndarray, rounds: int = 400, rate: float = 0.05, penalty: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
