@@ -12,11 +12,13 @@ replaces it by the same bytes. Null and empty texts give the end id only; an emp
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from amalgam.llm.bpe import Encoder, default_vocabulary
 from amalgam.llm.common import saved, scratch_path, table
 from amalgam.llm.sketch import in_id_order
 
-END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 300_000
+END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 250_000
 #: Fixed values of the coding: how many ids of how many bits, by selector.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
@@ -141,7 +143,9 @@ class LibraryEncoder:
     """The tokenizers library's ids; chunks between spaces that were seen lately are remembered.
 
     No word of the library's pre-tokenizer reaches over a space that follows a non-space, so a text's ids are those of the
-    pieces that these spaces cut. Texts with other white space before a space, or with an added token, go whole.
+    pieces that these spaces cut. Texts with other white space before a space, or with an added token, go whole. New pieces
+    go to the library together, an added token between them, which tells their ids apart. Two generations of pieces are
+    kept, so the memory is bounded and what is frequent stays.
     """
 
     def __init__(self, path: str):
@@ -153,27 +157,56 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.between = next(((s, int(np.frombuffer(i, np.uint32)[0])) for s, i in own.special.items()), None)
         self.tails: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of_pieces(self, pieces: list[str], together: int = 100) -> list[bytes]:
+        """Ids of texts without added tokens, many in one call."""
+        if not self.between:
+            return self.ids(pieces)
+        token, mark = self.between
+        out: list[bytes] = []
+        for e in self.library.encode_batch_fast([token.join(pieces[i : i + together]) for i in range(0, len(pieces), together)], add_special_tokens=False):
+            found = np.array(e.ids, "<u4")
+            raw, start = found.tobytes(), 0
+            for end in [*(4 * np.flatnonzero(found == mark)).tolist(), len(raw)]:
+                out.append(raw[start:end])
+                start = end + 4
+        return out
+
+    def remember(self, pieces: set[str]) -> None:
+        """Have the ids of all these pieces, each with a space before it, in ``tails``."""
+        if len(self.tails) > REMEMBERED:
+            self.old, self.tails = self.tails, {}
+        lacking = pieces - self.tails.keys()
+        again = lacking & self.old.keys()
+        self.tails.update((p, self.old[p]) for p in again)
+        todo = list(lacking - again)
+        self.tails.update(zip(todo, self.ids_of_pieces([" " + p for p in todo]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         special, odd = self.whole
         cut = [None if odd.search(t) or special and special.search(t) else t.split(" ") for t in texts]
-        new: set[str] = set()
-        if len(self.tails) > REMEMBERED:
-            self.tails = {}
+        pieces: set[str] = set()
         for parts in cut:
             if parts:
-                new.update(parts[1:])
-        todo = list(new - self.tails.keys())
-        self.tails.update(zip(todo, self.ids([" " + p for p in todo]), strict=True))
+                pieces.update(parts)
+        self.remember(pieces)
         heads = iter(self.ids([t if parts is None else parts[0] for t, parts in zip(texts, cut, strict=True)]))
         get = self.tails.__getitem__
         return [next(heads) if parts is None else next(heads) + b"".join(map(get, parts[1:])) for parts in cut]
 
 
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each worker process, so that what is remembered serves all of its tasks."""
+    return LibraryEncoder(path)
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Write all documents' ids, each with the end id, as files in ``folder``; returns (block, part, n_docs, n_ids)."""
     path = path or default_vocabulary()
@@ -192,7 +225,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, fil
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, part, len(doc_ids), sum(map(len, ids))), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path)
+        encoder = library_encoder(path)
+        gc.disable()  # lists of many short-lived strings hold no cycles
         end = np.uint32(END_ID).tobytes()
         block, part, size, doc_ids, ids = -1, 0, 0, [], []
         for batch in batches:
@@ -209,6 +243,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, fil
                     size += len(ids[-1])
         if doc_ids:
             yield put(block, part, doc_ids, ids)
+        gc.enable()
 
     return saved(in_id_order(docs, guests=False).mapInArrow(run, "block int, part int, n_docs long, n_ids long"), "token-files")
 
