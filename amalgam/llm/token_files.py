@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,17 @@ END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 250_000
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 COUNTS = np.array([*(c for c, _ in SELECTORS), 0, 1])
+#: Bits of every id of 16 bits.
+SMALL = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
+#: White space (in Unicode's sense) before a space.
+ODD_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 MAGIC, HEADER = b"AMS8", struct.Struct("<4s4Q")
 
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value (one at least; a large value may count one too many, which only makes it an escape)."""
+    if len(values) and values.max() < len(SMALL):
+        return SMALL[values]
     return np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
 
 
@@ -57,10 +64,11 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k, c in zip(counts, counts[1:]):  # each count is at most twice the one before
         a = most[k]
         most[c] = np.maximum(a[:, : a.shape[1] - (c - k)], a[:, c - k :])
-    select = np.full((blocks, BLOCK), ESCAPE, np.uint8)
-    for s in reversed(range(len(SELECTORS))):
-        c, bits = SELECTORS[s]
-        select[most[c][:, :BLOCK] <= bits] = s
+    # where a selector's ids fit, those of the next one (fewer of more bits) fit too, so the misfits tell the first that fits
+    select = np.zeros((blocks, BLOCK), np.uint8)
+    for c, bits in SELECTORS:
+        select += most[c][:, :BLOCK] > bits
+    select[select == len(SELECTORS)] = ESCAPE
     lane, at = np.arange(blocks), np.zeros(blocks, np.int64)
     size = np.minimum(n - lane * BLOCK, BLOCK)
     steps = []
@@ -108,11 +116,10 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    words, offsets = pack(np.concatenate(ids) if ids else np.empty(0, np.uint32))
-    n_ids = sum(map(len, ids))
-    parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], "u1"), np.array([len(i) for i in ids], "<i8"), offsets.astype("<i8"), words.astype("<u8")]
-    return HEADER.pack(MAGIC, len(doc_ids), n_ids, len(offsets) - 1, len(words)) + b"".join(p.tobytes() for p in parts)
+def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    words, offsets = pack(ids)
+    parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], "u1"), np.array(lengths, "<i8"), offsets.astype("<i8"), words.astype("<u8")]
+    return HEADER.pack(MAGIC, len(doc_ids), len(ids), len(offsets) - 1, len(words)) + b"".join(p.tobytes() for p in parts)
 
 
 def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,9 +150,10 @@ class LibraryEncoder:
     """The tokenizers library's ids; chunks between spaces that were seen lately are remembered.
 
     No word of the library's pre-tokenizer reaches over a space that follows a non-space, so a text's ids are those of the
-    pieces that these spaces cut. Texts with other white space before a space, or with an added token, go whole. New pieces
-    go to the library together, an added token between them, which tells their ids apart. Two generations of pieces are
-    kept, so the memory is bounded and what is frequent stays.
+    pieces that these spaces cut. Arrow cuts a batch of texts and tells its distinct pieces; new ones go to the library many
+    in one text, in which a piece's ids start with the only one whose string starts with a space. Texts with other white
+    space before a space, or with an added token, go whole. Two generations of pieces are kept, so the memory is bounded
+    and what is frequent stays.
     """
 
     def __init__(self, path: str):
@@ -153,52 +161,65 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         own = Encoder(path)
-        self.whole = own.cut_special, own.odd_space
+        self.added = [s for s in own.special if s]
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.between = next(((s, int(np.frombuffer(i, np.uint32)[0])) for s, i in own.special.items()), None)
-        self.tails: dict[str, bytes] = {}
+        self.starts = np.array([x.startswith(b" ") for x in own.strings])
+        self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.space = self.ids([" "])[0]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids_of_pieces(self, pieces: list[str], together: int = 100) -> list[bytes]:
-        """Ids of texts without added tokens, many in one call."""
-        if not self.between:
-            return self.ids(pieces)
-        token, mark = self.between
+    def ids_of_pieces(self, pieces: list[str], together: int = 200) -> list[bytes]:
+        """Ids of each piece with a space before it; no piece holds a space or an added token."""
         out: list[bytes] = []
-        for e in self.library.encode_batch_fast([token.join(pieces[i : i + together]) for i in range(0, len(pieces), together)], add_special_tokens=False):
+        parts = [pieces[i : i + together] for i in range(0, len(pieces), together)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
             found = np.array(e.ids, "<u4")
-            raw, start = found.tobytes(), 0
-            for end in [*(4 * np.flatnonzero(found == mark)).tolist(), len(raw)]:
-                out.append(raw[start:end])
-                start = end + 4
+            at = (4 * np.flatnonzero(self.starts[found])).tolist()
+            if len(at) != len(part):
+                out += self.ids([" " + p for p in part])
+                continue
+            raw = found.tobytes()
+            out += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
         return out
 
-    def remember(self, pieces: set[str]) -> None:
-        """Have the ids of all these pieces, each with a space before it, in ``tails``."""
-        if len(self.tails) > REMEMBERED:
-            self.old, self.tails = self.tails, {}
-        lacking = pieces - self.tails.keys()
-        again = lacking & self.old.keys()
-        self.tails.update((p, self.old[p]) for p in again)
-        todo = list(lacking - again)
-        self.tails.update(zip(todo, self.ids_of_pieces([" " + p for p in todo]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        special, odd = self.whole
-        cut = [None if odd.search(t) or special and special.search(t) else t.split(" ") for t in texts]
-        pieces: set[str] = set()
-        for parts in cut:
-            if parts:
-                pieces.update(parts)
-        self.remember(pieces)
-        heads = iter(self.ids([t if parts is None else parts[0] for t, parts in zip(texts, cut, strict=True)]))
-        get = self.tails.__getitem__
-        return [next(heads) if parts is None else next(heads) + b"".join(map(get, parts[1:])) for parts in cut]
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; only a space at a text's end leaves an empty one."""
+        if len(self.pieces) > REMEMBERED:
+            self.old, self.pieces = self.pieces, {}
+        found = list(map(self.pieces.get, pieces))
+        gaps = [i for i, k in enumerate(found) if k is None]
+        again = list(map(self.old.get, [pieces[i] for i in gaps]))
+        new = [i for i, k in zip(gaps, again, strict=True) if k is None and pieces[i]]
+        for i, k in zip(gaps, again, strict=True):
+            found[i] = k or self.space
+        for i, k in zip(new, self.ids_of_pieces([pieces[i] for i in new]), strict=True):
+            found[i] = k
+        self.pieces.update((pieces[i], found[i]) for i in gaps)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        whole = pc.match_substring_regex(texts, ODD_SPACE)
+        for s in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        flat = cut.flatten()
+        coded = flat.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        # a text's first piece has no space before it; a text that goes whole is one such piece
+        heads = pc.if_else(whole, texts, flat.take(pa.array(first))).to_pylist()
+        entries = self.known(coded.dictionary.to_pylist())
+        which[first] = len(entries) + np.arange(len(first))
+        entries += self.ids(heads)
+        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        values = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)]), pa.array(np.frombuffer(b"".join(entries), "<u4")))
+        return values.take(pa.array(which)).flatten().to_numpy(), np.add.reduceat(lengths[which], first) if len(first) else np.empty(0, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -220,27 +241,28 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, fil
         name = f"{root}/tokens-{block:05d}-{part:05d}.s8b"
         draft = f"{root}/_{uuid.uuid4().hex}"
         with store.open_output_stream(draft) as f:
-            f.write(file_bytes(doc_ids, ids))
+            f.write(file_bytes(doc_ids, [len(i) + 1 for i in ids[::2]], np.concatenate(ids)))  # each document's ids, then the end id
         store.move(draft, name)
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, part, len(doc_ids), sum(map(len, ids))), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
         gc.disable()  # lists of many short-lived strings hold no cycles
-        end = np.uint32(END_ID).tobytes()
+        end = np.array([END_ID], "<u4")
         block, part, size, doc_ids, ids = -1, 0, 0, [], []
         for batch in batches:
-            for some in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                blocks, names, texts = (some.column(i).to_pylist() for i in (0, 2, 3))
-                for b, d, raw in zip(blocks, names, encoder.encode(texts), strict=True):
+            for some in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                found, lengths = encoder.encode(some.column(3))
+                ends = np.cumsum(lengths)
+                for b, d, i, j in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
                     if doc_ids and (b != block or size >= file_ids):
                         yield put(block, part, doc_ids, ids)
                         part, size, doc_ids, ids = part + 1, 0, [], []
                     if b != block:
                         block, part = b, 0
                     doc_ids.append(d)
-                    ids.append(np.frombuffer(raw + end, "<u4"))
-                    size += len(ids[-1])
+                    ids += [found[i:j], end]
+                    size += j - i + 1
         if doc_ids:
             yield put(block, part, doc_ids, ids)
         gc.enable()

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -60,7 +61,15 @@ def test_sizes():
 def test_file_and_single_blocks():
     rng = np.random.default_rng(0)
     ids = [rng.integers(0, 50_257, n).astype(np.uint32) for n in (1, 3000, 2, 700)]
-    content = token_files.file_bytes([4, None, 6, 7], ids)
+    content = token_files.file_bytes([4, None, 6, 7], [len(i) for i in ids], np.concatenate(ids))
     doc_ids, lengths, offsets, _, back = token_files.read_file(content)
     assert doc_ids == [4, None, 6, 7] and lengths.tolist() == [1, 3000, 2, 700] and (back == np.concatenate(ids)).all()
     assert (np.concatenate([token_files.read_block(content, b) for b in range(len(offsets) - 1)]) == back).all()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sltx1.,é日\u2003<|>"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=8))
+def test_any_texts_equal_the_library(texts):
+    ids, lengths = token_files.library_encoder(bpe.default_vocabulary()).encode(pa.array(texts, pa.string()))
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
