@@ -1,57 +1,52 @@
-"""Fold repeated submissions of a candidate into one profile, in the order they came."""
+"""Fold repeated submissions of a candidate into one profile, in the order they came.
+
+One exchange on ``candidate_id`` gathers a candidate's snapshots; they become raw records of one trusted type inside the
+array and go through the ordinary merge, so the earliest snapshot's values win and lists unite in order.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amalgam.functions import normalize as N
 from amalgam.operators.confidence import score
-from amalgam.operators.merge import merge
-from amalgam.sources.schema import raw_records
+from amalgam.operators.merge import priority, profiles
+from amalgam.sources.schema import RAW
 
 FOLDED_AS = "csv"
 
 
-def as_raw(snapshots: DataFrame) -> DataFrame:
-    """Each snapshot as a raw record of one trusted type, in order of ``src_seq``."""
-    place = N.filled(F.concat_ws(", ", *[N.filled(F.col(f"location.{k}")) for k in ("city", "region", "country")]))
-    links = {f"{k}_url": F.col(f"links.{k}") for k in ("linkedin", "github", "portfolio")}
-    names = F.filter(F.transform("skills", lambda s: s["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
-    rows = snapshots.withColumn("source_type", F.lit(FOLDED_AS))
-    same = {c: F.col(c) for c in ("full_name", "emails", "phones", "headline", "years_experience", "experience", "education")}
-    return raw_records(rows, **same, **links, other_urls=F.col("links.other"), skills_raw=names, location_raw=place)
+def as_record(snapshot: Column, seq: Column) -> Column:
+    """A snapshot as a raw record."""
+    place = N.filled(F.concat_ws(", ", *[N.filled(snapshot["location"][k]) for k in ("city", "region", "country")]))
+    names = F.filter(F.transform(snapshot["skills"], lambda s: s["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    links = {f"{k}_url": snapshot["links"][k] for k in ("linkedin", "github", "portfolio")}
+    own = {"location_raw": place, "skills_raw": names, "other_urls": snapshot["links"]["other"], **links}
+    fields = [(own[f] if f in own else snapshot[f]).cast(kind).alias(f) for f, kind in RAW.items()]
+    return F.struct(priority(F.lit(FOLDED_AS)).alias("prio"), seq.alias("src_seq"), F.lit(FOLDED_AS).alias("source_type"), *fields)
 
 
-def fold_pairs(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
-    """Profiles of both tables by ``candidate_id``: single ones as they are, several folded, the existing one's values first.
+def fold(submissions: DataFrame, as_of: str, order: str = "submitted_at") -> DataFrame:
+    """All submissions of each ``candidate_id`` folded, the earliest one's values first; single ones stay as they are.
 
-    The folded provenance is the existing one's, the incoming one's, then that of the fold; the profile is scored anew.
+    Equal to folding one by one for all values and lists; the provenance holds each submission's entries in order and then
+    those of one fold, and the profile is scored anew.
     """
-    keep = [c for c in existing.columns if c != "run_id"]
-    both = existing.select(*keep, F.lit(0).alias("src_seq")).unionByName(incoming.select(*keep, F.lit(1).alias("src_seq")))
-    many = both.groupBy("candidate_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("src_seq", "provenance"))).alias("told"))
-    marked = both.join(many, "candidate_id")
-    alone = marked.filter("n = 1").select(*keep)
-    folded = merge(as_raw(marked.filter("n > 1").withColumn("run_id", F.col("candidate_id"))), as_of)
-    told = many.filter("n > 1").select(F.col("candidate_id").alias("run_id"), F.flatten(F.transform("told", lambda t: t["provenance"])).alias("before"))
+    keep = [c for c in submissions.columns if c not in ("run_id", order)]
+    inner = [c for c in keep if c != "candidate_id"]
+    once = submissions.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct(order, *inner))).alias("all"))
+    gathered = once.select(F.col("candidate_id").alias("run_id"), "all", F.transform("all", as_record).alias("recs"))
+    folded = profiles(gathered, as_of, carry=("all",))
+    told = F.concat(F.flatten(F.transform("all", lambda s: s["provenance"])), F.col("provenance"))
+    whole = score(folded.withColumn("provenance", told))
     # the fold's own id may differ from the key, as it follows from the merged e-mail and name
-    whole = score(folded.join(told, "run_id").withColumn("provenance", F.concat("before", "provenance")).withColumn("candidate_id", F.col("run_id")))
-    return alone.unionByName(whole.select(*keep))
+    value = lambda c: F.when(F.size("all") == 1, F.get("all", 0)[c]).otherwise(F.col(c)).alias(c)
+    return whole.select(*[F.col("run_id").alias(c) if c == "candidate_id" else value(c) for c in keep])
 
 
-def fold(submissions: DataFrame, as_of: str, order: str = "submitted_at") -> DataFrame:
-    """All submissions of each candidate folded at once, the earliest one's values first.
-
-    Equal to folding one by one for all values and lists; the provenance holds each submission's and one fold's entries.
-    Submissions are numbered from the earliest on; their number for one candidate is not bounded by a cap.
-    """
-    keep = [c for c in submissions.columns if c not in ("run_id", order)]
-    once = submissions.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in keep if c != "candidate_id"]))).alias("all"))
-    alone = once.filter(F.size("all") == 1).select("candidate_id", F.inline("all")).select(*keep)
-    several = once.filter(F.size("all") > 1)
-    exploded = several.select("candidate_id", F.posexplode("all").alias("src_seq", "one")).select("candidate_id", "src_seq", "one.*")
-    folded = merge(as_raw(exploded.withColumn("run_id", F.col("candidate_id"))), as_of)
-    told = several.select(F.col("candidate_id").alias("run_id"), F.flatten(F.transform("all", lambda t: t["provenance"])).alias("before"))
-    whole = score(folded.join(told, "run_id").withColumn("provenance", F.concat("before", "provenance")).withColumn("candidate_id", F.col("run_id")))
-    return alone.unionByName(whole.select(*keep))
+def fold_pairs(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
+    """Profiles of both tables by ``candidate_id``, the existing one's values first."""
+    keep = [c for c in existing.columns if c != "run_id"]
+    both = existing.select(*keep, F.lit(0).alias("_order")).unionByName(incoming.select(*keep, F.lit(1).alias("_order")))
+    return fold(both, as_of, "_order")

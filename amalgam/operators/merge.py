@@ -125,11 +125,14 @@ def candidate_id(emails: Column, full_name: Column) -> Column:
     return F.substring(F.md5(F.concat(F.coalesce(F.get(emails, 0), F.lit("")), F.coalesce(full_name, F.lit("")))), 1, 16)
 
 
-def profiles(gathered_runs: DataFrame, as_of: str) -> DataFrame:
-    """Canonical profiles, not scored yet, from :func:`gathered`. ``as_of`` (YYYY-MM) ends jobs that go on."""
+def profiles(gathered_runs: DataFrame, as_of: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical profiles, not scored yet, from :func:`gathered`, with further columns to ``carry``.
+
+    ``as_of`` (YYYY-MM) ends jobs that go on.
+    """
     r = F.col("recs")
     step = gathered_runs.select(
-        "run_id", "recs", *[winner(r, f).alias(f) for f in ("full_name", "headline")], winner(r, "years_experience").alias("told_years"),
+        "run_id", "recs", *carry, *[winner(r, f).alias(f) for f in ("full_name", "headline")], winner(r, "years_experience").alias("told_years"),
         N.location(winner(r, "location_raw")).alias("location"),
         F.struct(winner(r, "linkedin_url").alias("linkedin"), winner(r, "github_url").alias("github"), winner(r, "portfolio_url").alias("portfolio"), united(r, "other_urls").alias("other")).alias("links"),
         N.emails(united(r, "emails")).alias("emails"), N.phones(united(r, "phones")).alias("phones"),
@@ -149,7 +152,7 @@ def profiles(gathered_runs: DataFrame, as_of: str) -> DataFrame:
     )
     return step.select(
         "run_id", candidate_id(F.col("emails"), F.col("full_name")).alias("candidate_id"), "full_name", "emails", "phones", "location", "links", "headline",
-        F.coalesce("told_years", "worked").alias("years_experience"), "skills", "experience", "education", story.alias("provenance"),
+        F.coalesce("told_years", "worked").alias("years_experience"), "skills", "experience", "education", story.alias("provenance"), *carry,
     )
 
 
