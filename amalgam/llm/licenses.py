@@ -75,7 +75,9 @@ def lookups(docs: DataFrame) -> DataFrame:
 def postings(spark: SparkSession, found: DataFrame) -> DataFrame:
     """(word, template, offset, bit, seed, ...): a row for each word of each template; the seed has the highest IDF."""
     rows = [(w, i, o, k, t["label"], t["base"], sum(1 << b for b in t["must"]), t["least"], len(t["words"])) for i, t in enumerate(templates()) for k, (o, w) in enumerate(t["words"])]
-    known = spark.createDataFrame(rows, "word string, template int, offset int, bit int, label string, base boolean, must long, least int, size int")
+    columns = "word, template, offset, bit, label, base, must, least, size"
+    listed = ", ".join(f"('{w}', {i}, {o}, {k}, '{label}', {str(base).lower()}, {must}L, {least}, {size})" for w, i, o, k, label, base, must, least, size in rows)
+    known = spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
     # document frequency over all documents; at most a row for each word of the vocabulary
     frequency = found.groupBy("word").agg(F.countDistinct("doc_id", "digest").alias("df"))
     known = known.join(F.broadcast(frequency), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))

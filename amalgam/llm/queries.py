@@ -17,4 +17,31 @@ QUERIES = {
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs of equal label, and what they reach.
+EMBEDDINGS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER () AS row FROM embeddings),
+    good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+    link AS (SELECT a.row AS a, b.row AS b FROM good a JOIN good b ON a.label = b.label AND a.row <> b.row AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {embed.THRESHOLD}),
+    reach AS (SELECT row AS a, row AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+    part AS (SELECT r.a AS row, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.row = r.b GROUP BY r.a)
+  SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.row) AS n_links, p.component_id, coalesce(v.vec_id = p.component_id, false) AS kept FROM v JOIN part p ON p.row = v.row"""
+
+
+def licence_sql() -> str:
+    rows = [(i, w, o, k, t["label"], t["base"], sum(1 << b for b in t["must"]), t["least"], len(t["words"])) for i, t in enumerate(licenses.templates()) for k, (o, w) in enumerate(t["words"])]
+    listed = ", ".join(f"({i}, '{w}', {o}, {k}, '{label}', {str(base).lower()}, {must}, {least}, {size})" for i, w, o, k, label, base, must, least, size in rows)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH post AS (SELECT * FROM (VALUES {listed}) AS t(template, word, place, bit, label, base, must, least, size)),
+    d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d), hit AS (SELECT * FROM w WHERE word IN (SELECT word FROM post)),
+    df AS (SELECT word, count(DISTINCT rid) AS n FROM hit GROUP BY word),
+    seed AS (SELECT template, arg_min(bit, coalesce(df.n, 0) * 100 + bit) AS seed FROM post LEFT JOIN df ON df.word = post.word GROUP BY template),
+    met AS (SELECT h.rid, p.template, h.pos - p.place AS start, p.label, p.base, p.must, p.least, p.size, bit_or(CAST(1 AS BIGINT) << p.bit) AS bits, max(CAST(p.bit = s.seed AS INTEGER)) AS seeded
+      FROM hit h JOIN post p ON p.word = h.word JOIN seed s ON s.template = p.template GROUP BY ALL),
+    ok AS (SELECT *, bit_count(bits) / size AS share FROM met WHERE seeded = 1 AND bit_count(bits) >= least AND (bits & must) = must),
+    found AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM ok GROUP BY rid)
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+  FROM d LEFT JOIN found f ON f.rid = d.rid"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDINGS, "op6_license_scan": licence_sql()}

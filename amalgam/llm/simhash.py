@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.llm.common import connected_components, saved, table
@@ -41,14 +41,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+    """(doc_id, digest, fp): a digest of the text, and the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def hamming_flips() -> tuple[np.ndarray, np.ndarray]:
@@ -148,22 +148,37 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return placed.mapInArrow(grouped_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, fp) of every row, and (fp, component) of every fingerprint."""
     rows = saved(with_fingerprints(docs), "simhash")
-    each = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp", rows.count())
+    each = saved(rows.groupBy("fp").agg(F.min(ordered()).alias("first")), "simhash-fp", rows.count())
     n = each.count()
     part = connected_components(fingerprint_links(each.select("fp")), n)
-    named = each.join(part, each["fp"] == part["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = saved(named, "simhash-class", n)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = each.join(part, each["fp"] == part["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    return rows, saved(named, "simhash-class", n)
+
+
+def ordered() -> Column:
+    """What the smallest row of a group is told by: its doc_id, none last, then its text's digest."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    rows, named = classes(docs)
+    least = named.groupBy("component").agg(F.min("first")["doc_id"].alias("component_id"))
     return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group, with all its columns."""
-    chosen = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(chosen, docs["doc_id"] == chosen["_kept"], "left_semi")
+    """One document of each group, with all its columns: that with the smallest doc_id (none last), then text digest.
+
+    Rows that repeat a doc_id and its text are one document and stay together. The texts are not shuffled if the kept
+    ids fit a broadcast; else once.
+    """
+    _, named = classes(docs)
+    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_doc"]) & (F.xxhash64(docs["text"]) == first["_digest"]), "left_semi")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,14 @@ def test_kept_keeps_one_row_a_group_and_columns(documents):
     assert sorted(r.doc_id for r in out.collect()) == [0, 5, 6]
 
 
+def test_groups_without_any_id_keep_one(documents):
+    texts = ["same text here", "same text here", "quite another text that is long", "a third one of them"]
+    out = simhash.kept(documents(texts, ids=[None, None, None, 4])).collect()
+    assert sorted(r.text for r in out) == ["a third one of them", "quite another text that is long", "same text here", "same text here"]
+    out = simhash.kept(documents(["same text here", "same text here", "Same  TEXT here"], ids=[None, 9, 3])).collect()
+    assert [r.doc_id for r in out] == [3]
+
+
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents([])).collect() == []
     assert documents([]).filter(F.lit(True)).count() == 0
