@@ -30,15 +30,16 @@ from amalgam.llm.bpe import Encoder, default_vocabulary
 from amalgam.llm.common import saved, scratch_path, table
 from amalgam.llm.sketch import in_id_order
 
-END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 250_000
+END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 300_000
 #: Fixed values of the coding: how many ids of how many bits, by selector.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 COUNTS = np.array([*(c for c, _ in SELECTORS), 0, 1])
 #: Bits of every id of 16 bits.
 SMALL = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
-#: White space (in Unicode's sense) before a space.
-ODD_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+#: White space (in Unicode's sense) before a space or a line end, or after a line end.
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ODD_SPACE = rf"{_WHITE}[ \n]|\n{_WHITE}"
 MAGIC, HEADER = b"AMS8", struct.Struct("<4s4Q")
 
 
@@ -149,11 +150,11 @@ def read_block(content: bytes, block: int) -> np.ndarray:
 class LibraryEncoder:
     """The tokenizers library's ids; chunks between spaces that were seen lately are remembered.
 
-    No word of the library's pre-tokenizer reaches over a space that follows a non-space, so a text's ids are those of the
-    pieces that these spaces cut. Arrow cuts a batch of texts and tells its distinct pieces; new ones go to the library many
-    in one text, in which a piece's ids start with the only one whose string starts with a space. Texts with other white
-    space before a space, or with an added token, go whole. Two generations of pieces are kept, so the memory is bounded
-    and what is frequent stays.
+    No word of the library's pre-tokenizer reaches over a space that follows a non-space, nor over a line end between
+    non-spaces, so a text's ids are those of the pieces that these cut. A piece has a space before it, or starts with a line
+    end and has none. Arrow cuts a batch of texts and tells its distinct pieces; new ones go to the library many in one
+    text, in which a piece's ids start with the only one whose string starts so. Texts with other runs of white space, or
+    with an added token, go whole. Two generations of pieces are kept, so the memory is bounded and what is frequent stays.
     """
 
     def __init__(self, path: str):
@@ -165,7 +166,7 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.starts = np.array([x.startswith(b" ") for x in own.strings])
+        self.starts = np.array([x[:1] in (b" ", b"\n") for x in own.strings])
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.space = self.ids([" "])[0]
@@ -174,14 +175,15 @@ class LibraryEncoder:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids_of_pieces(self, pieces: list[str], together: int = 200) -> list[bytes]:
-        """Ids of each piece with a space before it; no piece holds a space or an added token."""
+        """Ids of each piece, with a space before it if it doesn't start with a line end; none holds an added token."""
         out: list[bytes] = []
-        parts = [pieces[i : i + together] for i in range(0, len(pieces), together)]
-        for part, e in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+        placed = [p if p[0] == "\n" else " " + p for p in pieces]
+        parts = [placed[i : i + together] for i in range(0, len(placed), together)]
+        for part, e in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
             found = np.array(e.ids, "<u4")
             at = (4 * np.flatnonzero(self.starts[found])).tolist()
             if len(at) != len(part):
-                out += self.ids([" " + p for p in part])
+                out += self.ids(part)
                 continue
             raw = found.tobytes()
             out += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
@@ -207,7 +209,7 @@ class LibraryEncoder:
         whole = pc.match_substring_regex(texts, ODD_SPACE)
         for s in self.added:
             whole = pc.or_(whole, pc.match_substring(texts, s))
-        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), " ")
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         flat = cut.flatten()
         coded = flat.dictionary_encode()
@@ -251,7 +253,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, fil
         end = np.array([END_ID], "<u4")
         block, part, size, doc_ids, ids = -1, 0, 0, [], []
         for batch in batches:
-            for some in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            for some in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
                 found, lengths = encoder.encode(some.column(3))
                 ends = np.cumsum(lengths)
                 for b, d, i, j in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
@@ -280,9 +282,11 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 block, part = map(int, path.as_py().rsplit("/", 1)[1].removesuffix(".s8b").split("-")[1:])
                 doc_ids, lengths, _, _, ids = read_file(content.as_buffer())
-                ids, ends = ids.astype("<u4"), np.cumsum(lengths)
-                columns = [[block] * len(doc_ids), [part] * len(doc_ids), doc_ids, ends - lengths, lengths, [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                ends = np.r_[0, np.cumsum(lengths)]
+                # one buffer holds all ids; the offsets cut it into documents
+                raw = pa.Array.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                columns = [[block] * len(doc_ids), [part] * len(doc_ids), doc_ids, ends[:-1], lengths, raw]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     content = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder)
     rows = content.select("path", "content").mapInArrow(run, "block int, part int, doc_id long, at long, n_tokens long, ids binary")
