@@ -127,12 +127,3 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, f
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrated(table(spark, sf_dir, "documents"))
-
-
-def mixed(docs: DataFrame) -> DataFrame:
-    """The sampled documents with all their columns."""
-    text = F.col("text")
-    key = F.struct(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), default_topic(text))
-    chosen = calibrated(docs).filter("sampled").select(F.col("doc_id").alias("_doc"), *[F.col(m).alias(f"_{m}") for m in MARGINALS]).distinct()
-    match = docs["doc_id"].eqNullSafe(chosen["_doc"]) & (key == F.struct("_source", "_lang", "_topic"))
-    return docs.join(chosen, match, "left_semi")
