@@ -16,7 +16,6 @@ import gc
 import os
 import struct
 import uuid
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +29,7 @@ from amalgam.llm.bpe import Encoder, default_vocabulary
 from amalgam.llm.common import saved, scratch_path, table
 from amalgam.llm.sketch import in_id_order
 
-END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 300_000
+END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 500_000
 #: Fixed values of the coding: how many ids of how many bits, by selector.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
@@ -154,7 +153,8 @@ class LibraryEncoder:
     non-spaces, so a text's ids are those of the pieces that these cut. A piece has a space before it, or starts with a line
     end and has none. Arrow cuts a batch of texts and tells its distinct pieces; new ones go to the library many in one
     text, in which a piece's ids start with the only one whose string starts so. Texts with other runs of white space, or
-    with an added token, go whole. Two generations of pieces are kept, so the memory is bounded and what is frequent stays.
+    with an added token, go whole. Known pieces and their ids are Arrow and numpy arrays; when there are too many, those
+    that were not used lately go.
     """
 
     def __init__(self, path: str):
@@ -167,42 +167,49 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.starts = np.array([x[:1] in (b" ", b"\n") for x in own.strings])
-        self.pieces: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.space = self.ids([" "])[0]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids_of_pieces(self, pieces: list[str], together: int = 200) -> list[bytes]:
-        """Ids of each piece, with a space before it if it doesn't start with a line end; none holds an added token."""
-        out: list[bytes] = []
+        # only a space at a text's end leaves an empty piece
+        self.pieces = pa.array([""], pa.string())
+        self.known_ids, self.lengths = self.ids([" "])
+        self.used, self.tick = np.zeros(1, np.int64), 0
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has."""
+        found = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(f) for f in found], np.int64)
+
+    def ids_of_pieces(self, pieces: list[str], together: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces, with a space before each that doesn't start with a line end; none holds an added token."""
         placed = [p if p[0] == "\n" else " " + p for p in pieces]
         parts = [placed[i : i + together] for i in range(0, len(placed), together)]
+        ids, lengths = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
         for part, e in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
             found = np.array(e.ids, "<u4")
-            at = (4 * np.flatnonzero(self.starts[found])).tolist()
-            if len(at) != len(part):
-                out += self.ids(part)
-                continue
-            raw = found.tobytes()
-            out += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
-        return out
-
-    def known(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces; only a space at a text's end leaves an empty one."""
+            at = np.flatnonzero(self.starts[found])
+            size = np.diff(at, append=len(found))
+            if len(at) != len(part) or at[0]:
+                found, size = self.ids(part)
+            ids.append(found)
+            lengths.append(size)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand among the known ones, after new ones have been added."""
         if len(self.pieces) > REMEMBERED:
-            self.old, self.pieces = self.pieces, {}
-        found = list(map(self.pieces.get, pieces))
-        gaps = [i for i, k in enumerate(found) if k is None]
-        again = list(map(self.old.get, [pieces[i] for i in gaps]))
-        new = [i for i, k in zip(gaps, again, strict=True) if k is None and pieces[i]]
-        for i, k in zip(gaps, again, strict=True):
-            found[i] = k or self.space
-        for i, k in zip(new, self.ids_of_pieces([pieces[i] for i in new]), strict=True):
-            found[i] = k
-        self.pieces.update((pieces[i], found[i]) for i in gaps)
-        return found
+            keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+            keep[0] = True
+            self.known_ids = self.known_ids[np.repeat(keep, self.lengths)]
+            self.pieces, self.lengths, self.used = self.pieces.filter(pa.array(keep)), self.lengths[keep], self.used[keep]
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            new = pieces.take(pa.array(gaps))
+            ids, lengths = self.ids_of_pieces(new.to_pylist())
+            at[gaps] = len(self.pieces) + np.arange(len(gaps))
+            self.pieces = pa.concat_arrays([self.pieces, new])
+            self.known_ids, self.lengths, self.used = np.concatenate([self.known_ids, ids]), np.concatenate([self.lengths, lengths]), np.concatenate([self.used, np.zeros(len(gaps), np.int64)])
+        self.tick += 1
+        self.used[at] = self.tick
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
@@ -213,14 +220,12 @@ class LibraryEncoder:
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         flat = cut.flatten()
         coded = flat.dictionary_encode()
-        which = coded.indices.to_numpy().astype(np.int64)
+        which = self.places(coded.dictionary)[coded.indices.to_numpy()]
         # a text's first piece has no space before it; a text that goes whole is one such piece
-        heads = pc.if_else(whole, texts, flat.take(pa.array(first))).to_pylist()
-        entries = self.known(coded.dictionary.to_pylist())
-        which[first] = len(entries) + np.arange(len(first))
-        entries += self.ids(heads)
-        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        values = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)]), pa.array(np.frombuffer(b"".join(entries), "<u4")))
+        ids, lengths = self.ids(pc.if_else(whole, texts, flat.take(pa.array(first))).to_pylist())
+        which[first] = len(self.lengths) + np.arange(len(first))
+        lengths = np.concatenate([self.lengths, lengths])
+        values = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)]), pa.array(np.concatenate([self.known_ids, ids])))
         return values.take(pa.array(which)).flatten().to_numpy(), np.add.reduceat(lengths[which], first) if len(first) else np.empty(0, np.int64)
 
 

@@ -73,3 +73,15 @@ def test_any_texts_equal_the_library(texts):
     ids, lengths = token_files.library_encoder(bpe.default_vocabulary()).encode(pa.array(texts, pa.string()))
     want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
     assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_known_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    encoder = token_files.LibraryEncoder(bpe.default_vocabulary())
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 40)) for _ in range(3)]
+        ids, lengths = encoder.encode(pa.array(texts, pa.string()))
+        want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(encoder.pieces) <= 50 + 120
