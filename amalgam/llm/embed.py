@@ -46,8 +46,8 @@ def usable(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def hashed(vectors: DataFrame, tables: int, signs: int) -> DataFrame:
-    """A row for each vector that can link: row id, label, dimension, unit vector and its codes."""
-    schema = pa.schema([("row", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary()), ("codes", pa.list_(pa.int32()))])
+    """A row for each vector that can link: row id, label, dimension, unit vector, its codes and those as bytes."""
+    schema = pa.schema([("row", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("unit", pa.binary()), ("codes", pa.list_(pa.int32())), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,10 +60,10 @@ def hashed(vectors: DataFrame, tables: int, signs: int) -> DataFrame:
                         continue
                     x = np.stack([units[i] for i in own])
                     codes = list(signatures(x, tables, signs))
-                    columns = [[rows[i] for i in own], [labels[i] for i in own], [dim] * len(own), [r.tobytes() for r in x], codes]
+                    columns = [[rows[i] for i in own], [labels[i] for i in own], [dim] * len(own), [r.tobytes() for r in x], codes, [c.tobytes() for c in codes]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return vectors.mapInArrow(run, "row long, label long, dim int, unit binary, codes array<int>")
+    return vectors.mapInArrow(run, "row long, label long, dim int, unit binary, codes array<int>, packed binary")
 
 
 def compared(threshold: float):
@@ -110,7 +110,7 @@ def compared(threshold: float):
             order = np.argsort(rows, kind="stable")
             got = bucket(
                 key[3], key[5] != key[6], rows[order], np.array([h[1] for h in held])[order],
-                np.array([h[2] for h in held], np.int32)[order], np.stack([np.frombuffer(h[3], np.float64) for h in held])[order],
+                np.frombuffer(b"".join(h[2] for h in held), np.int32).reshape(len(held), -1)[order], np.frombuffer(b"".join(h[3] for h in held), np.float64).reshape(len(held), -1)[order],
             )
             return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()) for g in got], schema=schema) if len(got[0]) else None
 
@@ -137,11 +137,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     placed = units.select("label", "dim", "row", F.posexplode("codes").alias("tab", "code"))
     sizes = placed.groupBy(bucket).agg(F.count("*").alias("size")).filter("size > 1")
     dealt = placed.join(sizes, bucket).withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.join(units.select("row", "unit", "codes"), "row").withColumn("salt", F.expr("cast(pmod(xxhash64(row), parts) as int)"))
+    dealt = dealt.join(units.select("row", "unit", "packed"), "row").withColumn("salt", F.expr("cast(pmod(xxhash64(row), parts) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("lo", F.least("salt", "other")).withColumn("hi", F.greatest("salt", "other"))
     order = [*bucket, "lo", "hi"]
-    dealt = dealt.select(*order, "row", F.col("salt").alias("side"), "codes", "unit").repartition(*order).sortWithinPartitions(*order)
+    dealt = dealt.select(*order, "row", F.col("salt").alias("side"), "packed", "unit").repartition(*order).sortWithinPartitions(*order)
     found = dealt.mapInArrow(compared(threshold), "row long, n long, root long")
     n = rows.count()
     # a row has at most one root for each table and pair of salts
