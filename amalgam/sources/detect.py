@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from amalgam.functions import dictionaries as D
 from amalgam.functions import normalize as N
 
-NO_PROFILE = (
-    "LinkedIn source skipped — only a URL was provided with no OAuth profile data. Use the /auth/linkedin flow to fetch a profile dict first. "
-    "URL preserved in links if found in other sources."
-)
+NO_PROFILE = "LinkedIn source skipped: a URL alone holds no profile; land the profile that its owner released as JSON"
 
 
 def source_type(path: Column) -> Column:
