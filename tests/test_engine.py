@@ -255,3 +255,12 @@ def test_extract_shuffles_nothing_and_merge_once(spark):
     plan = profiles_of(extract(rows, AS_OF), AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(run_id") == 1
     assert one(extract(rows, AS_OF).filter(F.col("source_type") == "csv")).full_name == "A"
+
+
+def test_readers_scan_their_own_partition(spark, tmp_path):
+    rows = items(spark, ("csv", "name\nA"), ("ats_json", "{}"), ("recruiter_txt", "x"))
+    rows.write.partitionBy("source_type").parquet(f"file://{tmp_path}/landing")
+    landed = spark.read.parquet(f"file://{tmp_path}/landing")
+    plan = extract(landed, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert scans and all("PartitionFilters: [" in s and "source_type" in s.split("PartitionFilters: [")[1] for s in scans)
