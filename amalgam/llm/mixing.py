@@ -2,9 +2,11 @@
 
 Documents are counted into cells of (source, language, topic), each weighing its documents' token estimate (a quarter of
 the UTF-8 bytes, one at least). The cells' weights are raked to the three marginals in turn until each marginal is within
-``tolerance`` of its target. A cell's factor is its fitted over its own weight; a document is sampled with probability
-min(1, factor / top), where top is the ``full``-quantile of factors by tokens, decided by a hash of doc_id and seed, so the choice is the same
-on every run and every cluster.
+``tolerance`` of its target. A cell's factor is its fitted over its own weight; a document is expected factor / top times
+in the sample, where top is the ``full``-quantile of factors by tokens: as many whole copies as fit, and one more with the
+probability that is left, decided by a hash of doc_id and seed, so the choice is the same on every run and every cluster.
+No cell is clipped, so the expected tokens of the sample have the raked weights' shares. ``probability`` is that of one copy
+at least. ``full`` = 1 makes the greatest factor the top: no repeats, but a far smaller sample.
 
 Targets default to each marginal's own shares raised to the power ``flatten`` and normalised, which lifts what is rare.
 Targets for categories that no document has are left out and the rest normalised; categories without a target keep their
@@ -97,13 +99,14 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
 
 
 def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, full: float = FULL) -> DataFrame:
-    """(source, lang, topic, factor, probability) of every cell. Cells of at least the quantile's factor are kept whole."""
+    """(source, lang, topic, factor, probability, expected) of every cell. Cells above the quantile's factor are repeated."""
     cells = weighed(docs, topic).groupBy(*MARGINALS).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     fitted = raked(saved(cells, "cells", 1), targets)
     whole = Window.partitionBy(F.lit(0))  # of cells, of which there are as many as combinations of categories
     share = F.sum("tokens").over(whole.orderBy("factor")) / F.sum("tokens").over(whole)
     top = fitted.withColumn("share", share).withColumn("top", F.min(F.when(F.col("share") >= full, F.col("factor"))).over(whole))
-    return saved(top.select(*MARGINALS, "factor", F.least(F.lit(1.0), F.col("factor") / F.col("top")).alias("probability")), "cells", 1)
+    expected = F.col("factor") / F.col("top")
+    return saved(top.select(*MARGINALS, "factor", F.least(F.lit(1.0), expected).alias("probability"), expected.alias("expected")), "cells", 1)
 
 
 def drawn(doc_id: Column, seed: int) -> Column:
@@ -111,18 +114,31 @@ def drawn(doc_id: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1_000_000_007)).cast("double") / 1_000_000_007
 
 
+def copies(doc_id: Column, expected: Column, seed: int) -> Column:
+    """How often a document is in the sample: the expected number's whole part, and one more by a draw for the rest."""
+    return (F.floor(expected) + F.when(drawn(doc_id, seed) < expected - F.floor(expected), 1).otherwise(0)).cast("long")
+
+
 def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, full: float = FULL, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, source, lang, topic, tokens, factor, probability and sampled."""
+    """Per row: doc_id, source, lang, topic, tokens, factor, probability, expected, sampled and copies."""
     joined = weighed(docs, topic).join(probabilities(docs, targets, topic, full), list(MARGINALS))
-    return joined.select("doc_id", *MARGINALS, "tokens", "factor", "probability", (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
+    many = copies(F.col("doc_id"), F.col("expected"), seed)
+    return joined.select("doc_id", *MARGINALS, "tokens", "factor", "probability", "expected", (many > 0).alias("sampled"), many.alias("copies"))
+
 
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, full: float = FULL, seed: int = SEED, repeats: bool = False) -> DataFrame:
+    """The sampled documents with all their columns, each once or, with ``repeats``, as often as it has copies.
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, full: float = FULL, seed: int = SEED) -> DataFrame:
-    """The sampled documents with all their columns; the texts are not shuffled."""
-    cells = probabilities(docs, targets, full=full).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINALS], F.col("probability").alias("_mix_probability"))
+    Only with ``repeats`` do the rows meet the targets where a cell's factor is above the top. The texts are not shuffled.
+    """
+    cells = probabilities(docs, targets, full=full).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINALS], F.col("expected").alias("_mix_expected"))
     own = {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": default_topic(docs["text"])}
     met = docs.join(cells, [own[m] == cells[f"_mix_{m}"] for m in MARGINALS])
-    return met.filter(drawn(docs["doc_id"].cast("long"), seed) < F.col("_mix_probability")).select(*[docs[c] for c in docs.columns])
+    many = copies(docs["doc_id"].cast("long"), F.col("_mix_expected"), seed)
+    if not repeats:
+        return met.filter(many > 0).select(*[docs[c] for c in docs.columns])
+    copied = met.select(*[docs[c] for c in docs.columns], many.cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
+    return copied.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with raked probabilities."""
-    return mixing.mixed(docs)
+    """Documents drawn and repeated by raked weights."""
+    return mixing.mixed(docs, repeats=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

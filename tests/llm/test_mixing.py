@@ -77,3 +77,20 @@ def test_null_categories_and_empty_table(spark, documents):
     assert len(rows) == 4 and {r.source for r in rows} == {"", "s"} and all(0 < r.probability <= 1 for r in rows)
     assert mixing.calibrated(documents([])).collect() == []
     assert mixing.mixed(documents([])).collect() == []
+
+
+def test_default_sample_meets_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.calibrated(docs).collect()
+    tokens = cells_of(rows)
+    for m, name in enumerate(mixing.MARGINALS):
+        aim = flattened(tokens, m)
+        wanted, got = defaultdict(float), defaultdict(float)
+        for r in rows:
+            wanted[getattr(r, name)] += r.tokens * r.expected
+            got[getattr(r, name)] += r.tokens * r.copies
+        for c, v in aim.items():
+            assert wanted[c] / sum(wanted.values()) == pytest.approx(v / sum(aim.values()), rel=1e-3)
+            assert got[c] / sum(got.values()) == pytest.approx(v / sum(aim.values()), abs=0.03)
+    assert all(int(r.expected) <= r.copies <= int(r.expected) + 1 and r.sampled == (r.copies > 0) for r in rows)
+    assert sorted(r.doc_id for r in mixing.mixed(docs, repeats=True).collect()) == sorted(r.doc_id for r in rows for _ in range(r.copies))
