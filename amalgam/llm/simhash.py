@@ -40,15 +40,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, fp): a digest of the text, and the fingerprint's 64 bits as a signed long."""
+def with_fingerprints(docs: DataFrame, row: tuple[str, ...]) -> DataFrame:
+    """(doc_id, digest, fp) and the columns of ``row``: a digest of the text, and the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), *batch.columns[3:]], names=["doc_id", "digest", "fp", *row])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest long, fp long")
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text", *row)
+    return read.mapInArrow(run, ", ".join(["doc_id long, digest long, fp long", *(f"{c} long" for c in row)]))
 
 
 def hamming_flips() -> tuple[np.ndarray, np.ndarray]:
@@ -148,19 +149,19 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return placed.mapInArrow(grouped_links, "a long, b long")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, fp) of every row, and (fp, component) of every fingerprint."""
-    rows = saved(with_fingerprints(docs), "simhash")
-    each = saved(rows.groupBy("fp").agg(F.min(ordered()).alias("first")), "simhash-fp", rows.count())
+def classes(docs: DataFrame, row: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, fp) and ``row`` of every row, and (fp, first, component) of every fingerprint."""
+    rows = saved(with_fingerprints(docs, row), "simhash")
+    each = saved(rows.groupBy("fp").agg(F.min(ordered(row)).alias("first")), "simhash-fp", rows.count())
     n = each.count()
     part = connected_components(fingerprint_links(each.select("fp")), n)
     named = each.join(part, each["fp"] == part["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     return rows, saved(named, "simhash-class", n)
 
 
-def ordered() -> Column:
-    """What the smallest row of a group is told by: its doc_id, none last, then its text's digest."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+def ordered(row: tuple[str, ...]) -> Column:
+    """What the smallest row of a group is told by: its doc_id, none last, then its text's digest, then ``row``."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", *row)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: that with the smallest doc_id (none last), then text digest.
 
-    Rows that repeat a doc_id and its text are one document and stay together. The texts are not shuffled if the kept
+    Rows that repeat a doc_id and its text are one document and stay together; see :func:`kept_rows`. The texts are not shuffled if the kept
     ids fit a broadcast; else once.
     """
     _, named = classes(docs)
@@ -181,6 +182,17 @@ def kept(docs: DataFrame) -> DataFrame:
     return docs.join(first, docs["doc_id"].eqNullSafe(first["_doc"]) & (F.xxhash64(docs["text"]) == first["_digest"]), "left_semi")
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all its columns: that with the smallest doc_id (none last), text digest and number.
+
+    Rows are numbered as they are written to the shared folder, so a row has one number in both readings.
+    """
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    _, named = classes(numbered, ("_row",))
+    first = named.groupBy("component").agg(F.min("first")["_row"].alias("_row"))
+    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,6 +5,7 @@ import numpy as np
 import pyspark.sql.functions as F
 import xxhash
 
+import corpus_pipeline
 from amalgam.llm import simhash
 
 
@@ -107,6 +108,16 @@ def test_groups_without_any_id_keep_one(documents):
     assert [r.doc_id for r in out] == [3]
 
 
+def test_stage_keeps_one_row_a_group(spark, documents):
+    texts = ["same text here"] * 40 + ["quite another text that is long"] * 3 + ["", None, ""]
+    docs = documents(texts, ids=[None] * 40 + [7, 7, None] + [None] * 3).repartition(5)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted((str(r.doc_id), " ".join((r.text or "").lower().split())) for r in got) == [("7", "quite another text that is long"), ("None", ""), ("None", "same text here")]
+    assert corpus_pipeline.drop_near_copies(spark, documents([]), "").collect() == []
+
+
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents([])).collect() == []
     assert documents([]).filter(F.lit(True)).count() == 0
