@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
 Every text's words are looked up in the vocabulary of a few licence phrases and notices; what is found is a table of
-(document, position, word). Document frequencies of these words over all documents give their IDF, and the word of
-highest IDF is each template's seed. A word's postings name the templates that hold it and its offset there, so position
+(document, position, word). Document frequencies of these words over all documents give their IDF, and of the words that
+every match must hold the one of highest IDF is each template's seed, so that no match is lost by it. A word's postings name the templates that hold it and its offset there, so position
 minus offset is where the template would start; words that agree on template and start are intersected by grouping. A
 start counts where the seed is there and
 
@@ -73,7 +73,7 @@ def lookups(docs: DataFrame) -> DataFrame:
 
 
 def postings(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """(word, template, offset, bit, seed, ...): a row for each word of each template; the seed has the highest IDF."""
+    """(word, template, offset, bit, seed, ...): a row for each word of each template; the seed is the mandatory word of highest IDF."""
     rows = [(w, i, o, k, t["label"], t["base"], sum(1 << b for b in t["must"]), t["least"], len(t["words"])) for i, t in enumerate(templates()) for k, (o, w) in enumerate(t["words"])]
     columns = "word, template, offset, bit, label, base, must, least, size"
     listed = ", ".join(f"('{w}', {i}, {o}, {k}, '{label}', {str(base).lower()}, {must}L, {least}, {size})" for w, i, o, k, label, base, must, least, size in rows)
@@ -81,7 +81,7 @@ def postings(spark: SparkSession, found: DataFrame) -> DataFrame:
     # document frequency over all documents; at most a row for each word of the vocabulary
     frequency = found.groupBy("word").agg(F.countDistinct("doc_id", "digest").alias("df"))
     known = known.join(F.broadcast(frequency), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = known.groupBy("template").agg(F.min(F.struct("df", "bit")).alias("rarest"))
+    rarest = known.groupBy("template").agg(F.min(F.when(F.expr("(must & shiftleft(1L, bit)) <> 0"), F.struct("df", "bit"))).alias("rarest"))
     return known.join(F.broadcast(rarest), "template").withColumn("seed", F.col("bit") == F.col("rarest.bit")).drop("rarest", "df")
 
 

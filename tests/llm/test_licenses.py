@@ -57,3 +57,13 @@ def test_edges(documents, edge_texts):
 
 def test_empty_table(documents):
     assert licenses.scanned(documents([])).collect() == []
+
+
+def test_altered_notices_equal_the_plain_rule(documents):
+    texts = ["Redistributions and use in source and binary forms, with or without modification, are permitted", "Released under the MIT License", "Relicensed under the MIT License",
+             "these programs are free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "source and binary forms", "source code of a work"]
+    rows = {r.doc_id: r for r in licenses.scanned(documents(texts)).collect()}
+    for i, text in enumerate(texts):
+        *_, labels, score = brute(text)
+        assert (set(rows[i].labels.split(",")) - {""}, rows[i].score) == (labels, score)
+    assert rows[0].labels == "bsd" and rows[0].score == 0.9
