@@ -5,7 +5,9 @@ from how often it uses terms that mark toxic documents: fewer than 3 times is gr
 weight vector is shared by all grades: P(grade >= k) = sigmoid(w.x - threshold_k) with ordered thresholds. The severity
 of a document is its expected grade; a document is toxic where P(grade >= 1) is at least 0.5.
 
-Features are hashed words and word beginnings of 4 to 7 letters of the whole text, counted as log(1 + n); the fit keeps
+Features are hashed words and word beginnings of 4 to 7 letters of the whole text, counted as log(1 + n). Words joined by
+other characters count each and, for words that are spelled out, glued together. Scripts without spaces have features at
+every letter: two letters as a word, and the beginnings from there. The fit keeps
 the 512 that tell toxic from other documents best (chi-square). It uses a bounded sample of labelled rows (by hash of
 doc_id, at most ``TOXIC`` toxic and ``CLEAN`` other ones), never those with crc32(doc_id as text) mod 5 = 0.
 
@@ -33,15 +35,35 @@ TOXIC, CLEAN, KEPT, GRADES, SURE = 1500, 3000, 512, 3, 0.5
 BEGINNINGS = (4, 5, 6, 7)
 KINDS = 1 + len(BEGINNINGS)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters, whose words no space parts.
+UNSPACED = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2,}")
+#: Tokens longer than this are not remembered in a fit.
+LONG = 200
+
+
+def hashed(parts: list[str]) -> list[int]:
+    """Features of a word and its beginnings. The feature modulo KINDS tells which."""
+    return [crc32(p.encode()) * KINDS + k for k, p in enumerate(parts)]
+
+
+def word_features(word: str) -> list[int]:
+    return hashed([word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]) if len(word) >= 3 else []
 
 
 def term_features(token: str) -> tuple[int, ...]:
-    """Hashed features of a token: its letters as a word, and its beginnings. The feature modulo KINDS tells which."""
-    word = NOT_LETTERS.sub("", token.lower())
-    if len(word) < 3:
-        return ()
-    parts = [word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
-    return tuple(crc32(p.encode()) * KINDS + k for k, p in enumerate(parts))
+    """Hashed features of a token: of each word in it, and those that only all its letters together have."""
+    token = token.lower()
+    words = [w for w in NOT_LETTERS.split(token) if w]
+    glued = word_features("".join(words))
+    own = [f for w in words for f in word_features(w)] if len(words) > 1 else []
+    if not token.isascii():
+        for run in UNSPACED.findall(token):
+            for i in range(len(run) - 1):
+                own += hashed([run[i : i + 2], *(run[i : i + n] for n in BEGINNINGS if len(run) - i >= n)])
+    if not own:
+        return tuple(glued)
+    known = set(own)
+    return (*own, *(f for f in glued if f not in known))
 
 
 @dataclass
@@ -76,11 +98,14 @@ def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
             for text in batch.column(0).to_pylist():
                 found: Counter = Counter()
                 for token, n in Counter((text or "").split()).items():
-                    if token not in terms:
+                    features = terms.get(token)
+                    if features is None:
+                        features = term_features(token)
                         if len(terms) > 300_000:
                             terms.clear()
-                        terms[token] = term_features(token)
-                    for f in terms[token]:
+                        if len(token) <= LONG:
+                            terms[token] = features
+                    for f in features:
                         found[f] += n
                 order = sorted(found)
                 out.append((np.array(order, "<i8").tobytes(), np.minimum([found[f] for f in order], 65_535).astype("<u2").tobytes()))

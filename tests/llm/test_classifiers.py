@@ -50,6 +50,18 @@ def test_toxic_rows_go_and_columns_stay(spark, documents):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [i for i in range(32) if i % 8 > 2]
 
 
+def test_words_at_joints_and_in_scripts_without_spaces_are_seen(spark, documents):
+    bad = ["you nice/gnarf person", "you well,GNARF person", "you so-gnarf person", "you g.n.a.r.f person", "you gnarf person"]
+    texts = (["you gnarf person"] * 3 + ["you fine person"] * 3) * 6 + bad + ["you nice/fine person"]
+    labels = spark.createDataFrame([(i, int("gnarf" in texts[i])) for i in range(36)], "doc_id long, toxic int")
+    docs = documents(texts)
+    rows = {r.doc_id: r.toxic for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
+    assert [rows[i] for i in range(36, len(texts))] == [1] * len(bad) + [0]
+    one = toxicity.term_features
+    assert set(one("bad")) | set(one("gnarf")) <= set(one("bad/gnarf")) and one("gnarf,") == one("gnarf") and len(one("bad/bad")) > len(set(one("bad/bad")))
+    assert set(one("悪罵")) and set(one("悪罵")) <= set(one("今日は天気が悪罵良い")) and not set(one("悪罵")) & set(one("今日は天気が良い"))
+
+
 def test_toxicity_without_labels(spark, documents, edge_texts):
     labels = spark.createDataFrame([(None, 1, 1), (1, None, None)], "doc_id long, toxic int, quality int")
     docs = documents(edge_texts)
