@@ -2,7 +2,8 @@
 
 Documents are counted into cells of (source, language, topic), each weighing its documents' token estimate (a quarter of
 the UTF-8 bytes, one at least). The cells' weights are raked to the three marginals in turn until each marginal is within
-``tolerance`` of its target. A cell's factor is its fitted over its own weight; a document is expected factor / top times
+``tolerance`` of its target, or the worst deviation has not halved in ``rounds`` rounds (sparse cells or conflicting targets);
+then a RuntimeWarning tells what is left. A cell's factor is its fitted over its own weight; a document is expected factor / top times
 in the sample, where top is the ``full``-quantile of factors by tokens: as many whole copies as fit, and one more with the
 probability that is left, decided by a hash of doc_id and seed, so the choice is the same on every run and every cluster.
 No cell is clipped, so the expected tokens of the sample have the raked weights' shares. ``probability`` is that of one copy
@@ -18,6 +19,9 @@ Null source, language or topic is a category of its own (""). Null and empty tex
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,15 +90,21 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     n_cells = cells.count()
     start = with_targets(cells.withColumn("w", F.col("tokens").cast("double")), targets, flatten)
     now = saved(start.withColumn("off", F.lit(0.0)), "cells", n_cells)
-    for _ in range(rounds):
+    mark, waited, done = math.inf, 0, 0
+    while True:
         step = now.withColumn("off", F.lit(0.0))
         for m in MARGINALS:
             ratio = F.sum("w").over(Window.partitionBy(m)) / F.col(f"{m}_aim")
             step = step.withColumn("ratio", ratio).withColumn("off", F.greatest("off", F.abs(F.col("ratio") - 1))).withColumn("w", F.col("w") / F.col("ratio"))
         now = saved(step.drop("ratio"), "cells", n_cells)
         worst = now.agg(F.max("off")).first()[0]
+        done += 1
         if worst is None or worst <= tolerance:
             break
+        mark, waited = (worst, 0) if worst <= mark / 2 else (mark, waited + 1)
+        if waited >= rounds:
+            warnings.warn(f"raking does not converge: after {done} rounds a marginal is off its target by a factor of up to {1 + worst:.6g}", RuntimeWarning, stacklevel=2)
+            break
     return now.select(*MARGINALS, "n", "tokens", F.col("w").alias("weight"), (F.col("w") / F.col("tokens")).alias("factor"))
 
 

@@ -1,3 +1,4 @@
+import warnings
 from collections import defaultdict
 
 import numpy as np
@@ -94,3 +95,22 @@ def test_default_sample_meets_the_targets(spark):
             assert got[c] / sum(got.values()) == pytest.approx(v / sum(aim.values()), abs=0.03)
     assert all(int(r.expected) <= r.copies <= int(r.expected) + 1 and r.sampled == (r.copies > 0) for r in rows)
     assert sorted(r.doc_id for r in mixing.mixed(docs, repeats=True).collect()) == sorted(r.doc_id for r in rows for _ in range(r.copies))
+
+
+def cells_frame(spark, tokens):
+    return spark.createDataFrame([(s, lang, "t", 1, n) for (s, lang), n in tokens.items()], "source string, lang string, topic string, n long, tokens long")
+
+
+def test_raking_goes_on_until_it_converges(spark):
+    cells = cells_frame(spark, {("a", "en"): 900, ("a", "de"): 60, ("b", "en"): 40, ("b", "de"): 1000})
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        rows = mixing.raked(cells, {"source": {"a": 0.2, "b": 0.8}, "lang": {"en": 0.7, "de": 0.3}}, rounds=3).collect()
+    weight = lambda c, v: sum(r.weight for r in rows if r[c] == v) / 2000
+    assert weight("source", "a") == pytest.approx(0.2, rel=2e-4) and weight("lang", "en") == pytest.approx(0.7, rel=2e-4)
+
+
+def test_raking_reports_what_it_cannot_reach(spark):
+    cells = cells_frame(spark, {("a", "en"): 500, ("b", "de"): 500})
+    with pytest.warns(RuntimeWarning, match="does not converge"):
+        mixing.raked(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, rounds=3)
