@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where none is set, a local session gets a folder of its own; a cluster is refused."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="amalgam-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -33,12 +36,13 @@ ROWS_A_FILE = 250_000
 def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    ``rows``: about how many narrow rows it has; the number of files then follows the data, not the shuffle setting.
+    ``rows``: at most about how many narrow rows it has; the number of files then follows the data, not the shuffle setting.
+    They are dealt out anew for it, so that the stage before keeps all of its tasks.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     if rows is not None:
-        df = df.coalesce(-(-rows // ROWS_A_FILE) or 1)
+        df = df.repartition(-(-rows // ROWS_A_FILE) or 1)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._amalgam_path = path
@@ -78,7 +82,9 @@ def connected_components(edges: DataFrame, rows: int, max_rounds: int = 50) -> D
     """Smallest reachable node of every node with an edge, by alternating large-star and small-star steps.
 
     ``edges`` has long columns ``a`` and ``b``, about ``rows`` of them. Every round is two aggregations and two joins over edges that only
-    shrink in number of distinct pairs; each round's edges are written to the shared folder. Returns (node, component).
+    shrink in number of distinct pairs; each round's edges are written to the shared folder. A hub is one row of ``lowest``, so its
+    edges meet it by partial aggregation and a join that adaptive execution splits. It is over when every edge leads from a node
+    without further edges to the root of its star. Returns (node, component).
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -94,21 +100,22 @@ def connected_components(edges: DataFrame, rows: int, max_rounds: int = 50) -> D
             out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(lowest.select("u", "m"))
         return out.filter("a <> b").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def unsettled(e: DataFrame) -> tuple[int, bool]:
+        """Number of edges, and whether a node has two edges to smaller ones or stands between others."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, open_ = each.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        return n or 0, bool(open_)
 
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
-    before = state(now)
     for _ in range(max_rounds):
-        if before[0] == 0:
+        n, going = unsettled(now)
+        if not going:
             break
-        nxt = saved(star(star(now, True), False), "edges", before[0])
+        nxt = saved(star(star(now, True), False), "edges", n)
         dropped(now)
-        now, after = nxt, state(nxt)
-        if after == before:
-            break
-        before = after
+        now = nxt
     else:
         raise RuntimeError("connected components did not settle")
-    rows = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return rows.union(now.select(F.col("b"), F.col("b")).distinct())
+    part = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    return part.union(now.select(F.col("b"), F.col("b")).distinct())

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from amalgam.llm import embed
 
@@ -76,3 +78,58 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert embed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [3.0, -1.0, 0.0]
+    rows = [(5, a, 0), (5, a, 0), (None, a, 0), (7, b, 0), (None, c, 0), (None, c, 0), (9, c, 0), (None, None, 0), (11, [3.0, 3.0, 1.0], 0), (12, a, 1)]
+    got = sorted(map(tuple, embed.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()), key=str)
+    want = [(5, 3, 5, True), (5, 3, 5, True), (None, 3, 5, False), (7, 3, 5, False), (None, 2, 9, False), (None, 2, 9, False), (9, 2, 9, True), (None, 0, None, False), (11, 0, 11, True), (12, 0, 12, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_double_vectors_of_great_and_tiny_size(spark):
+    rows = [(1, [1e300, 2e300], 0), (2, [1e-300, 2e-300], 0), (3, [-1.0, -2.0], 0), (4, [-0.0, 1.0], 0), (5, [0.0, 1.0], 0)]
+    got = result(embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False)}
+
+
+def test_one_large_group_of_near_copies_in_parts(spark):
+    rng = np.random.default_rng(5)
+    c = rng.standard_normal(16)
+    rows = [(i, [float(x) for x in np.float32(c + rng.standard_normal(16) * 0.09)], 0) for i in range(300)]
+    df = spark.createDataFrame(rows, VECTORS)
+    assert result(embed.near_duplicates(df, block=64)) == result(embed.near_duplicates(df)) == brute(rows)
+
+
+def test_copies_are_compared_once(spark):
+    """N copies are one class: no vector leaves the scan for them, whatever N is."""
+    v = [0.5, -1.0, 2.0]
+    s = embed.scheme(1)
+    for n in (2000, 4000):
+        df = spark.createDataFrame([(i, v, 3) for i in range(n)], VECTORS).coalesce(1)
+        sent = embed.placed(df.select("vec_id", F.col("label").cast("long"), "embedding"), s)
+        assert sent.count() == s.tables
+        rows = embed.near_duplicates(df).collect()
+        assert {(r.n_links, r.component_id) for r in rows} == {(n - 1, 0)} and sum(r.kept for r in rows) == 1
+
+
+def test_scheme_keeps_the_miss_at_the_threshold():
+    agree = 1 - np.arccos(0.98) / np.pi
+    for n in (0, 1, 1000, 10**6, 10**9, 10**12):
+        s = embed.scheme(n)
+        assert (1 - agree**s.signs) ** s.tables <= embed.MISS * 1.01 and 1 <= s.tables <= embed.MOST_TABLES
+        assert n < 1000 or 2 <= n / 2**s.signs <= 8
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from amalgam.llm.common import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
