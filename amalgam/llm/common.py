@@ -69,7 +69,7 @@ def block_of(column: Column, bounds: list[int]) -> Column:
     """Number of cut points at or below the id; rows without id come first."""
     if not bounds:
         return F.lit(0)
-    known = F.array(*[F.lit(int(b)) for b in bounds])
+    known = F.array(*[F.lit(b) for b in bounds])
     return F.coalesce(F.size(F.filter(known, lambda b: b <= column)), F.lit(0))
 
 

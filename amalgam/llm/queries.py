@@ -26,22 +26,65 @@ EMBEDDINGS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DO
   SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.row) AS n_links, p.component_id, coalesce(v.vec_id = p.component_id, false) AS kept FROM v JOIN part p ON p.row = v.row"""
 
 
-def licence_sql() -> str:
-    rows = [(i, w, o, k, t["label"], t["base"], sum(1 << b for b in t["must"]), t["least"], len(t["words"])) for i, t in enumerate(licenses.templates()) for k, (o, w) in enumerate(t["words"])]
-    listed = ", ".join(f"({i}, '{w}', {o}, {k}, '{label}', {str(base).lower()}, {must}, {least}, {size})" for i, w, o, k, label, base, must, least, size in rows)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return rf"""WITH post AS (SELECT * FROM (VALUES {listed}) AS t(template, word, place, bit, label, base, must, least, size)),
-    d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
-    w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d), hit AS (SELECT * FROM w WHERE word IN (SELECT word FROM post)),
-    df AS (SELECT word, count(DISTINCT rid) AS n FROM hit GROUP BY word),
-    seed AS (SELECT template, arg_min(bit, coalesce(df.n, 0) * 100 + bit) AS seed FROM post LEFT JOIN df ON df.word = post.word GROUP BY template),
-    met AS (SELECT h.rid, p.template, h.pos - p.place AS start, p.label, p.base, p.must, p.least, p.size, bit_or(CAST(1 AS BIGINT) << p.bit) AS bits, max(CAST(p.bit = s.seed AS INTEGER)) AS seeded
-      FROM hit h JOIN post p ON p.word = h.word JOIN seed s ON s.template = p.template GROUP BY ALL),
-    ok AS (SELECT *, bit_count(bits) / size AS share FROM met WHERE seeded = 1 AND bit_count(bits) >= least AND (bits & must) = must),
+#: The licence rules in words: template, label, whether it is a phrase, its words and the mandatory ones among them.
+LICENCE_RULES = """(VALUES
+    (1, 'gpl', true, 'gnu general public license', 'gnu general public license'), (2, 'apache', true, 'apache license', 'apache license'), (3, 'cc-by', true, 'cc by', 'cc by'), (4, 'mit', true, 'mit license', 'mit license'),
+    (5, 'apache', false, 'licensed under the apache license version 2 0', 'apache license'),
+    (6, 'apache', false, 'unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis', 'applicable law or agreed to in writing'),
+    (7, 'gpl', false, 'this work is licensed under the gnu general public license version 3', 'gnu general public license'),
+    (8, 'gpl', false, 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license', 'free software'),
+    (9, 'gpl', false, 'you should have received a copy of the gnu general public license along with this program', 'gnu general public license'),
+    (10, 'mit', false, 'released under the mit license', 'mit license'),
+    (11, 'mit', false, 'permission is hereby granted free of charge to any person obtaining a copy of this software', 'permission is hereby granted'),
+    (12, 'mit', false, 'the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software', 'permission notice shall be included'),
+    (13, 'cc-by-nc', false, 'licensed under cc by nc 4 0', 'cc by nc'), (14, 'cc-by-sa', false, 'licensed under cc by sa 4 0', 'cc by sa'),
+    (15, 'cc-by', false, 'this work is licensed under a creative commons attribution', 'creative commons attribution'),
+    (16, 'cc-by-sa', false, 'creative commons attribution sharealike', 'creative commons attribution sharealike'),
+    (17, 'cc0', false, 'cc0 1 0 universal public domain dedication', 'cc0 1 0 universal'),
+    (18, 'bsd', false, 'redistribution and use in source and binary forms with or without modification are permitted', 'source and binary forms'),
+    (19, 'bsd', false, 'may be used to endorse or promote products derived from this software without specific prior written permission', 'endorse or promote products'),
+    (20, 'isc', false, 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted', 'with or without fee'),
+    (21, 'mpl', false, 'this source code form is subject to the terms of the mozilla public license', 'mozilla public license'),
+    (22, 'epl', false, 'this program and the accompanying materials are made available under the terms of the eclipse public license', 'eclipse public license'),
+    (23, 'bsl', false, 'boost software license version 1 0', 'boost software license'),
+    (24, 'unlicense', false, 'this is free and unencumbered software released into the public domain', 'free and unencumbered software'),
+    (25, 'agpl', false, 'gnu affero general public license', 'gnu affero general public license'), (26, 'lgpl', false, 'gnu lesser general public license', 'gnu lesser general public license')
+  ) AS rule(template, label, base, txt, must)"""
+#: The plain rule: a place counts where the mandatory words stand and 70 % of all looked-up ones do.
+LICENCES = rf"""WITH rule AS (SELECT *, string_split(txt, ' ') AS ws, len(string_split(must, ' ')) AS m FROM {LICENCE_RULES}),
+    spot AS (SELECT *, list_min(list_filter(range(len(ws)), lambda i: ws[i + 1 : i + m] = string_split(must, ' '))) AS f FROM rule),
+    each AS (SELECT template, label, base, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place, f, m FROM spot),
+    post AS (SELECT *, place >= f AND place < f + m AS key, count(*) OVER (PARTITION BY template) AS size FROM each
+      WHERE base OR (place >= f AND place < f + m) OR word NOT IN ('the', 'a', 'of', 'to', 'in', 'it', 'or', 'you', 'can', 'any', 'with', 'are', 'this')),
+    d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM d),
+    met AS (SELECT w.rid, p.template, w.pos - p.place AS start, p.label, p.base, p.m, p.size, count(*) AS n, count(*) FILTER (WHERE p.key) AS keys FROM w JOIN post p ON p.word = w.word GROUP BY ALL),
+    ok AS (SELECT *, n / size AS share FROM met WHERE keys = m AND n >= CASE WHEN base THEN size ELSE ceil(0.7 * size) END),
     found AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM ok GROUP BY rid)
   SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
   FROM d LEFT JOIN found f ON f.rid = d.rid"""
 
+#: Raking to flattened own shares, round by round, and the draw by MD5.
+MIXING = r"""WITH RECURSIVE doc AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, greatest(CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT), 1) AS tokens,
+      CASE WHEN text IS NULL OR text = '' THEN 'other' WHEN regexp_matches(text, '(?i)\blicen[cs]e|\bcopyright\b|\bterms of\b') THEN 'legal' WHEN regexp_matches(text, '[\w.+-]@[\w-]+\.\w|\bhttps?://|\bwww\.') THEN 'contact'
+        WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '\d{3}') THEN 'figures' ELSE 'prose' END AS topic FROM documents),
+    cell AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM doc GROUP BY ALL),
+    by_source AS (SELECT source, pow(sum(tokens), 0.7) AS p FROM doc GROUP BY ALL), by_lang AS (SELECT lang, pow(sum(tokens), 0.7) AS p FROM doc GROUP BY ALL), by_topic AS (SELECT topic, pow(sum(tokens), 0.7) AS p FROM doc GROUP BY ALL),
+    whole AS (SELECT sum(tokens) AS total, (SELECT sum(p) FROM by_source) AS s, (SELECT sum(p) FROM by_lang) AS l, (SELECT sum(p) FROM by_topic) AS t FROM doc),
+    start AS (SELECT cell.*, total * by_source.p / s AS source_aim, total * by_lang.p / l AS lang_aim, total * by_topic.p / t AS topic_aim
+      FROM cell JOIN by_source USING (source) JOIN by_lang USING (lang) JOIN by_topic USING (topic) CROSS JOIN whole),
+    fit AS (SELECT 0 AS round, source, lang, topic, tokens, source_aim, lang_aim, topic_aim, CAST(tokens AS DOUBLE) AS w, CAST(1 AS DOUBLE) AS off FROM start
+      UNION ALL SELECT round + 1, source, lang, topic, tokens, source_aim, lang_aim, topic_aim, w * topic_aim / topic_sum, max(greatest(source_off, lang_off, abs(topic_sum / topic_aim - 1))) OVER ()
+        FROM (SELECT *, sum(w) OVER (PARTITION BY topic) AS topic_sum
+          FROM (SELECT * REPLACE (w * lang_aim / lang_sum AS w), abs(lang_sum / lang_aim - 1) AS lang_off
+            FROM (SELECT *, sum(w) OVER (PARTITION BY lang) AS lang_sum
+              FROM (SELECT * REPLACE (w * source_aim / source_sum AS w), abs(source_sum / source_aim - 1) AS source_off FROM (SELECT *, sum(w) OVER (PARTITION BY source) AS source_sum FROM fit WHERE off > 0.0001 AND round < 1000)))))),
+    fitted AS (SELECT source, lang, topic, tokens, round(w / tokens, 9) AS factor FROM fit WHERE round = (SELECT max(round) FROM fit)),
+    top AS (SELECT min(factor) AS top FROM (SELECT factor, sum(tokens) OVER (ORDER BY factor) AS upto, sum(tokens) OVER () AS total FROM fitted) WHERE upto >= 0.5 * total),
+    decided AS (SELECT doc_id, source, lang, topic, doc.tokens, factor, factor / top AS expected, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':11'), 1, 12) AS BIGINT) / 281474976710656.0 AS draw
+      FROM doc JOIN fitted USING (source, lang, topic) CROSS JOIN top),
+    counted AS (SELECT *, CAST(floor(expected) AS BIGINT) + CASE WHEN draw < expected - floor(expected) THEN 1 ELSE 0 END AS copies FROM decided)
+  SELECT doc_id, source, lang, topic, tokens, factor, least(1.0, expected) AS probability, expected, copies > 0 AS sampled, CAST(copies AS BIGINT) AS copies FROM counted"""
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDINGS, "op6_license_scan": licence_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDINGS, "op6_license_scan": LICENCES, "op9_source_mixing": MIXING}

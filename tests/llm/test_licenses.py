@@ -67,3 +67,25 @@ def test_altered_notices_equal_the_plain_rule(documents):
         *_, labels, score = brute(text)
         assert (set(rows[i].labels.split(",")) - {""}, rows[i].score) == (labels, score)
     assert rows[0].labels == "bsd" and rows[0].score == 0.9
+
+
+def test_notices_equal_the_plain_rule(documents):
+    """Each notice whole, cut at either end, with a word replaced, and all of them after one another."""
+    whole = [n for n, _, _ in licenses.NOTICES]
+    texts = [*whole, *(" ".join(n.split()[2:]) for n in whole), *(" ".join(n.split()[:-2]) for n in whole), *(n.replace(" the ", " every ").replace("public", "private") for n in whole), ". ".join(whole * 2), "x".join(whole)]
+    rows = {r.doc_id: r for r in licenses.scanned(documents(texts)).collect()}
+    for i, text in enumerate(texts):
+        *_, most, score = brute(text)
+        assert (set(rows[i].labels.split(",")) - {""}, round(rows[i].score, 12)) == (most, round(score, 12))
+
+
+def test_long_text_of_nothing_but_notices(documents):
+    n = 30_000
+    (row,) = licenses.scanned(documents(["Released under the MIT License. " * n])).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word, row.labels, row.score) == (5 * n, n, 3, 5 * n - 2, "mit", 1.0)
+
+
+def test_postings_stay_in_their_rows(documents):
+    """Only word frequencies are shuffled: the result's plan has no exchange."""
+    plan = licenses.scanned(documents(["mit license", None]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan

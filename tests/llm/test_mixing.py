@@ -114,3 +114,34 @@ def test_raking_reports_what_it_cannot_reach(spark):
     cells = cells_frame(spark, {("a", "en"): 500, ("b", "de"): 500})
     with pytest.warns(RuntimeWarning, match="does not converge"):
         mixing.raked(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, rounds=3)
+
+
+def test_shares_of_the_sample_at_a_larger_scale(spark):
+    """Every marginal's share of the drawn tokens is within two hundredths of its target."""
+    decisions = mixing.calibrated(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rows = mixing.shares(decisions).collect()
+    assert {r.marginal for r in rows} == set(mixing.MARGINALS)
+    for r in rows:
+        assert r.fitted == pytest.approx(r.wanted, rel=1e-3) and r.drawn == pytest.approx(r.wanted, abs=0.02)
+    assert max(abs(r.own - r.wanted) for r in rows) > 0.05
+
+
+def test_many_cells_are_narrowed_to_the_same_top(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(f), int(t)) for f, t in zip(rng.lognormal(size=3000).round(3), rng.integers(1, 500, 3000))]
+    cells = spark.createDataFrame(rows, "factor double, tokens long").repartition(4)
+    for full in (0.0, 0.1, 0.5, 0.99, 1.0):
+        order, upto = sorted(rows), 0
+        for factor, tokens in order:
+            upto += tokens
+            if upto >= full * sum(t for _, t in rows):
+                break
+        assert mixing.top_factor(cells, full) == mixing.top_factor(cells, full, few=50) == factor
+    same = spark.createDataFrame([(1.5, 3)] * 100, "factor double, tokens long")
+    assert mixing.top_factor(same, 0.5, few=10) == 1.5
+
+
+def test_zero_targets_drop_a_category(spark):
+    rows = [(i, "x" * 40, "ab"[i % 2], "en", 0) for i in range(100)]
+    out = mixing.calibrated(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"), {"source": {"a": 1.0, "b": 0.0}}).collect()
+    assert all((r.copies > 0) == (r.source == "a") for r in out)
