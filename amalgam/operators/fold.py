@@ -6,6 +6,8 @@ array and go through the ordinary merge, so the earliest snapshot's values win a
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from amalgam.operators.merge import priority, profiles
 from amalgam.sources.schema import RAW
 
 FOLDED_AS = "csv"
+#: The id that follows from no e-mail and no name.
+NOBODY = hashlib.md5(b"", usedforsecurity=False).hexdigest()[:16]
 
 
 def as_record(snapshot: Column, seq: Column) -> Column:
@@ -27,26 +31,34 @@ def as_record(snapshot: Column, seq: Column) -> Column:
     return F.struct(priority(F.lit(FOLDED_AS)).alias("prio"), seq.alias("src_seq"), F.lit(FOLDED_AS).alias("source_type"), *fields)
 
 
-def fold(submissions: DataFrame, as_of: str, order: str = "submitted_at") -> DataFrame:
+def fold(submissions: DataFrame, as_of: str, order: str = "submitted_at", keep_first: tuple[str, ...] = ()) -> DataFrame:
     """All submissions of each ``candidate_id`` folded, the earliest one's values first; single ones stay as they are.
 
     Equal to folding one by one for all values and lists; the provenance holds each submission's entries in order and then
-    those of one fold, and the profile is scored anew.
+    those of one fold, and the profile is scored anew. Columns in ``keep_first`` are the earliest submission's. Profiles without
+    an id, or with that of no e-mail and no name, are strangers to one another: each stays as it is.
     """
     keep = [c for c in submissions.columns if c not in ("run_id", order)]
     inner = [c for c in keep if c != "candidate_id"]
-    once = submissions.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct(order, *inner))).alias("all"))
+    stranger = F.col("candidate_id").isNull() | (F.col("candidate_id") == NOBODY)
+    once = submissions.filter(~stranger).groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct(order, *inner))).alias("all"))
     gathered = once.select(F.col("candidate_id").alias("run_id"), "all", F.transform("all", as_record).alias("recs"))
     folded = profiles(gathered, as_of, carry=("all",))
     told = F.concat(F.flatten(F.transform("all", lambda s: s["provenance"])), F.col("provenance"))
     whole = score(folded.withColumn("provenance", told))
-    # the fold's own id may differ from the key, as it follows from the merged e-mail and name
-    value = lambda c: F.when(F.size("all") == 1, F.get("all", 0)[c]).otherwise(F.col(c)).alias(c)
-    return whole.select(*[F.col("run_id").alias(c) if c == "candidate_id" else value(c) for c in keep])
+
+    def value(c: str) -> Column:
+        # the fold's own id may differ from the key, as it follows from the merged e-mail and name
+        if c == "candidate_id":
+            return F.col("run_id").alias(c)
+        first = F.get("all", 0)[c]
+        return (first if c in keep_first else F.when(F.size("all") == 1, first).otherwise(F.col(c))).alias(c)
+
+    return whole.select(*map(value, keep)).unionByName(submissions.filter(stranger).select(*keep))
 
 
-def fold_pairs(existing: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
+def fold_pairs(existing: DataFrame, incoming: DataFrame, as_of: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
     """Profiles of both tables by ``candidate_id``, the existing one's values first."""
     keep = [c for c in existing.columns if c != "run_id"]
     both = existing.select(*keep, F.lit(0).alias("_order")).unionByName(incoming.select(*keep, F.lit(1).alias("_order")))
-    return fold(both, as_of, "_order")
+    return fold(both, as_of, "_order", keep_first)

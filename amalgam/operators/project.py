@@ -109,11 +109,21 @@ def project(profiles: DataFrame, config: dict | None = None) -> DataFrame:
     return profiles.select(*own, *[v.alias(k) for k, v in keys.items()], *more, errors.alias("_errors"), gone_keys.alias("_omitted"))
 
 
+#: What a profile in the full shape must have; other fields may be null.
+REQUIRED = {
+    "candidate_id": "string", "emails": "array", "phones": "array", "links": "object", "skills": "array", "experience": "array", "education": "array", "provenance": "array", "overall_confidence": "number",
+}
+
+
 def validate(profiles: DataFrame) -> DataFrame:
-    """Add ``_valid`` and ``_error`` for profiles in the full shape: what the types leave open is a missing id or score."""
-    lists = ("emails", "phones")
-    problems = [F.when(F.col(c).isNull(), f"Validation error at '$.{c}': None is not of the required type") for c in ("candidate_id", "emails", "phones", "links", "skills", "experience", "education", "provenance", "overall_confidence")]
-    problems += [F.when(F.exists(c, lambda v: v.isNull()), f"Validation error at '$.{c}': None is not of type 'string'") for c in lists]
+    """Add ``_valid`` and ``_error`` for profiles in the full shape: what the columns' types leave open is what may not be null.
+
+    The first error in the order of the fields is told, that of a whole field before those of a list's entries.
+    """
+    problems = [F.when(F.col(c).isNull(), f"Validation error at '$.{c}': None is not of type '{kind}'") for c, kind in REQUIRED.items()]
+    for c in ("emails", "phones"):
+        at = F.array_position(F.transform(c, lambda v: v.isNull()), True) - 1
+        problems.append(F.when(F.exists(c, lambda v: v.isNull()), F.concat(F.lit(f"Validation error at '$.{c}["), at, F.lit("]': None is not of type 'string'"))))
     error = F.coalesce(*problems)
     return profiles.withColumn("_valid", error.isNull()).withColumn("_error", error)
 

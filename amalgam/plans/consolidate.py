@@ -39,18 +39,28 @@ def profiles_of(raw: DataFrame, as_of: str) -> DataFrame:
 
 
 def consolidate(items: DataFrame, as_of: str, config: dict | None = None, **landed) -> DataFrame:
-    """Projected profiles of all runs with ``_warnings``, ``_errors`` and ``error`` (set where a run has no usable source)."""
+    """Projected profiles of all runs with ``_warnings``, ``_errors`` (the readers' and then the projection's) and ``error``.
+
+    ``error`` is set where a run has no usable source, or none that could be read. Each reader filters on ``source_type``: land items
+    partitioned by it, so that a reader scans its own ones only.
+    """
     usable, runs = admitted(items)
     shaped = project(profiles_of(extract(usable, as_of, **landed), as_of), config)
-    runs = runs.select(F.col("run_id").cast("string").alias("run_id"), F.col("warnings").alias("_warnings"), "error")
-    return runs.join(shaped, "run_id", "left")
+    runs = runs.select(F.col("run_id").cast("string").alias("run_id"), F.col("warnings").alias("_warnings"), F.col("errors").alias("_read"), "error")
+    none = F.array().cast("array<string>")
+    return runs.join(shaped, "run_id", "left").withColumn("_errors", F.concat("_read", F.coalesce("_errors", none))).drop("_read")
 
 
 def batch(spark: SparkSession, root: str, as_of: str, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(run_id, json) of all candidate folders below ``root``, and the summary of :func:`summary`."""
+    """(run_id, json) of all candidate folders directly in ``root``, and the summary of :func:`summary`."""
     items, folders = folder_items(spark, root)
     results = consolidate(items, as_of, config)
-    return render(results.filter("error is null").drop("error")), summary(results, folders)
+    return batch_results(results), summary(results, folders)
+
+
+def batch_results(results: DataFrame) -> DataFrame:
+    """(run_id, json) of the candidates that have a profile."""
+    return render(results.filter("error is null").drop("error"))
 
 
 def summary(results: DataFrame, folders: DataFrame) -> DataFrame:
@@ -64,6 +74,8 @@ def summary(results: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def write_batch(results: DataFrame, summary_rows: DataFrame, path: str) -> None:
-    """One line of JSON for each candidate, in a folder of its own, and the summary as JSON."""
-    results.write.partitionBy("run_id").text(f"{path}/profiles")
+    """One line of JSON for each candidate (run_id and profile), clustered by run_id, and the summary as JSON."""
+    name = F.to_json(F.array("run_id"))
+    line = F.concat(F.lit('{"run_id": '), F.substring(name, 2, F.length(name) - 2), F.lit(', "profile": '), "json", F.lit("}"))
+    results.repartitionByRange("run_id").sortWithinPartitions("run_id").select(line.alias("value")).write.text(f"{path}/profiles")
     summary_rows.write.json(f"{path}/summary")

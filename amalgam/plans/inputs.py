@@ -79,10 +79,113 @@ SKILL_TEXTS = """
 SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN ' Knows Node.js, Spring Boot and REST API design.' WHEN 1 THEN ' python/sql; machine learning (k8s)' WHEN 2 THEN ' C++ c# HTML/CSS'
   WHEN 3 THEN ' gopher golang goes' WHEN 4 THEN ' See linkedin.com/in/some-one' || doc_id || ' GitHub.com/orgs github.com/dev' || doc_id || '/x www.site.example/p. ' ELSE '' END AS text FROM documents"""
 
-#: Resumes of customers that have a few orders, one line after the other.
+#: Resumes of customers, of eight kinds that together meet every rule of the section parsers.
 RESUMES = """
-SELECT c_custkey AS run_id, c_name || '\nWork Experience\nEngineer at Acme ' || c_custkey || '\nJan 201' || (c_custkey % 10) || ' - ' || CASE WHEN c_custkey % 3 = 0 THEN 'Present' ELSE 'Mar 2020' END
-  || '\n• Did things\n* More things\n\nLead | Initech\n2012 to 2015\nEducation\nState University, Springfield\nBachelor of Science, Physics, 2008 - 2012\nSkills\nPython' AS content FROM customer"""
+SELECT c_custkey AS run_id, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'Jo Doe' || c_custkey WHEN 2 THEN '  Résumé
+Ána Li Wu' ELSE 'JO DOE SKILLS' END || '
+Jo' || c_custkey || '@Mail.example | +1 (415) 555-' || lpad(cast(c_custkey % 10000 AS varchar(9)), 4, '0')
+  || CASE c_custkey % 5 WHEN 0 THEN ' linkedin.com/in/jo-' || c_custkey WHEN 1 THEN ' github.com/orgs github.com/jo' || c_custkey || ' https://jo' || c_custkey || '.example/me' WHEN 2 THEN ' London, uk 020 7946 0' || lpad(cast(c_custkey % 1000 AS varchar(9)), 3, '0') ELSE '' END || '
+' || CASE c_custkey % 8
+  WHEN 0 THEN 'Work Experience
+Engineer at Acme ' || c_custkey || '
+Jan 201' || (c_custkey % 10) || ' - ' || CASE WHEN c_custkey % 3 = 0 THEN 'Present' ELSE 'Mar 2020' END || '
+• Did things
+* More things
+
+Lead | Initech
+2012 to 2015
+Education
+State University, Springfield
+Bachelor of Science, Physics, 2008 - 2012
+Skills
+Python'
+  WHEN 1 THEN 'EMPLOYMENT
+Engineer - January 2015 – Mar. 2018
+Acme ' || c_custkey || '
+built pipelines with kafka
+Senior Engineer | 2018 - Present
+Acme Two, Ltd
+- led a team
+Academic record
+
+Tech College
+
+M.Sc, Maths, class of 201' || (c_custkey % 10) || '
+Other Institute
+visited in 1999 and 2001'
+  WHEN 2 THEN 'Career
+Analyst, Globex ' || c_custkey || ', Inc
+2012 - 201' || (3 + c_custkey % 6) || '
+wrote reports
+used many tools
+lost since the section is closed
+Education
+Open School'
+  WHEN 3 THEN 'Experience
+Great Company
+Umbrella ' || c_custkey || '
+Sept 2016 - current
+2019 to 2016
+Tester
+Nowhere at All'
+  WHEN 4 THEN 'Worked 2010 - 2012 somewhere
+MBA, Business, 2010'
+  WHEN 5 THEN 'Education
+First University, Rome
+PhD
+Skills
+sql and rust
+Education
+Second School
+Associate degree, Law
+Employment history
+Clerk | Office ' || c_custkey || '
+  May 2001—Jun 2003
+filed papers
+  and more papers  '
+  WHEN 6 THEN 'Work history
+Intern at Lab ' || c_custkey || '
+
+Manager at Plant ' || c_custkey || '
+
+2001 - 2002
+
+Education'
+  ELSE 'Professional experience and a heading that is far too long to count as one of a section
+Experience
+2015 - 2017 Driver ' || c_custkey || '
+Cargo
+-
+drove
+Technical' END AS content FROM customer"""
+
+#: Items of each customer as text; some can't be read, some are of no known type. Joined with ITEM_RECORDS, what is in them.
+ITEMS = f"""
+SELECT run_id, 0 AS src_seq, 'csv' AS source_type, CASE WHEN run_id % 23 = 5 THEN NULL ELSE 'full_name,EMAIL,phone,Location,headline,skills
+' || full_name || ',' || email || ',' || phone || ',"' || {PLACES.format(k="run_id")} || '",' || CASE WHEN run_id % 2 = 0 THEN c_mktsegment ELSE ' ' END || ',"Python, JS, ' || lower(c_mktsegment) || '"' END AS content
+FROM ({CONTACTS}) k JOIN customer c ON c.c_custkey = k.run_id
+UNION ALL
+SELECT c_custkey, 1, 'ats_json', '{{"candidateName":"' || upper(c_name) || '","email":["user' || c_custkey || '@example.com"],"mobile":"' || (200 + c_custkey % 600) || (200 + c_custkey * 7 % 700) || lpad(cast(c_custkey % 10000 AS varchar(9)), 4, '0')
+  || '","skillSet":["py",{{"name":"Docker"}},"sql"]' || CASE WHEN c_custkey % 2 = 0 THEN ',"city":"' || {PLACES.format(k="(c_custkey + 1)")} || '"' ELSE '' END || CASE WHEN c_custkey % 4 = 0 THEN ',"currentTitle":"Head of ' || c_mktsegment || '"' ELSE '' END || '}}'
+FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 23 <> 5
+UNION ALL
+SELECT c_custkey, 2, 'recruiter_txt', 'Candidate notes
+reach USER' || c_custkey || '@example.com, knows docker and kubernetes' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 23 <> 5
+UNION ALL
+SELECT c_custkey, 3, 'resume_docx', CAST(NULL AS varchar(9)) FROM customer WHERE c_custkey % 17 = 3
+UNION ALL
+SELECT c_custkey, 4, CAST(NULL AS varchar(9)), 'archive.tar.gz' FROM customer WHERE c_custkey % 19 = 1"""
+
+ITEM_RECORDS = f"""
+SELECT run_id, 0 AS src_seq, 'csv' AS source_type, full_name, nullif(trim(email), '') AS email, phone, {PLACES.format(k="run_id")} AS location_raw, CASE WHEN run_id % 2 = 0 THEN c_mktsegment END AS headline, 'Python, JS, ' || lower(c_mktsegment) AS skills
+FROM ({CONTACTS}) k JOIN customer c ON c.c_custkey = k.run_id WHERE run_id % 23 <> 5
+UNION ALL
+SELECT c_custkey, 1, 'ats_json', upper(c_name), 'user' || c_custkey || '@example.com', (200 + c_custkey % 600) || (200 + c_custkey * 7 % 700) || lpad(cast(c_custkey % 10000 AS varchar(9)), 4, '0'),
+  CASE WHEN c_custkey % 2 = 0 THEN {PLACES.format(k="(c_custkey + 1)")} END, CASE WHEN c_custkey % 4 = 0 THEN 'Head of ' || c_mktsegment END, 'py, Docker, sql'
+FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 23 <> 5
+UNION ALL
+SELECT c_custkey, 2, 'recruiter_txt', NULL, 'user' || c_custkey || '@example.com', NULL, NULL, NULL, 'Docker, Kubernetes'
+FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 23 <> 5"""
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -18,7 +18,7 @@ from amalgam.operators.project import project, validate
 from amalgam.operators.store import get_candidate as stored_candidate
 from amalgam.operators.store import list_candidates as stored_candidates
 from amalgam.plans import inputs as I
-from amalgam.plans.consolidate import profiles_of, summary
+from amalgam.plans.consolidate import consolidate, profiles_of, summary
 from amalgam.sources import hr_json, profiles, prose, spreadsheet
 from amalgam.sources.detect import admitted, source_type
 
@@ -235,16 +235,108 @@ def identity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.from_identity_profiles(I.view(spark, sf_dir, rows)).select("run_id", "full_name", "headline", "linkedin_url")
 
 
-@query()
-def notes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.view(spark, sf_dir, f"SELECT doc_id AS run_id, 0 AS src_seq, 'recruiter_txt' AS source_type, text AS content FROM ({I.SKILL_TEXTS})")
-    return prose.from_notes(rows)
+def keyword_sql(alias: str, name: str) -> str:
+    after = rf"($|[^\p{{L}}\p{{N}}_])" if re.match(r"\w", alias[-1]) else WORDCHAR
+    return rf"CASE WHEN contains(low, '{alias}') AND regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_]){re.escape(alias)}{after}') THEN '{name}' END"
 
 
-@query()
+def prose_sql(texts: str, phone: str) -> str:
+    """CTEs ending in told: what is said in ``t`` (id, text). ``phone`` is the SQL of a candidate ``x`` in a text of ``region``."""
+    strip = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+    region = "CASE " + " ".join(f"WHEN contains(low, '{k}') THEN '{v}'" for k, v in D.REGION_HINTS.items()) + f" ELSE '{D.DEFAULT_REGION}' END"
+    return rf"""t AS (SELECT id, text, lower(text) AS low FROM ({texts})), found AS (SELECT id, {region} AS region,
+      list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: {strip}), lambda x: regexp_full_match(x, '\p{{Lu}}\S*(\s+\p{{Lu}}\S*){{1,3}}') AND NOT regexp_matches(lower(x), 'experience|education|skills|resume|curriculum'))[1] AS full_name,
+      regexp_extract_all(text, '{EMAIL_OK}') AS mails, list_filter(list_transform(regexp_extract_all(text, '[+(]?[\d\s\-().]{{7,20}}\d'), lambda x: {strip}), lambda x: length(x) >= 7)[1:5] AS tels,
+      regexp_extract_all(text, '(?i)linkedin\.com/in/([\w\-]+)', 1)[1] AS li, list_filter(regexp_extract_all(text, '(?i)github\.com/([\w\-]+)', 1), lambda x: lower(x) NOT IN ('com', 'orgs', 'topics', 'trending'))[1] AS gh,
+      list_filter(regexp_extract_all(text, '(?i)https?://\S+|www\.\S+'), lambda x: NOT contains(x, 'linkedin') AND NOT contains(x, 'github'))[1] AS portfolio_url, [{", ".join(keyword_sql(k, v) for k, v in D.SKILLS.items())}] AS names FROM t),
+    mail AS (SELECT id, string_agg(m, '|' ORDER BY pos) AS emails FROM (SELECT id, lower(m) AS m, min(pos) AS pos FROM (SELECT id, unnest(mails) AS m, generate_subscripts(mails, 1) AS pos FROM found) GROUP BY ALL) GROUP BY id),
+    tel AS (SELECT id, string_agg(coalesce({phone}, x), '|' ORDER BY pos) AS phones FROM (SELECT id, region, unnest(tels) AS x, generate_subscripts(tels, 1) AS pos FROM found) GROUP BY id),
+    skill AS (SELECT id, string_agg(n, '|' ORDER BY pos) AS skills FROM (SELECT id, n, min(pos) AS pos FROM (SELECT id, unnest(names) AS n, generate_subscripts(names, 1) AS pos FROM found) WHERE n IS NOT NULL GROUP BY ALL) GROUP BY id),
+    told AS (SELECT f.id, full_name, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, 'https://linkedin.com/in/' || li AS linkedin_url, 'https://github.com/' || gh AS github_url, portfolio_url, coalesce(skills, '') AS skills
+      FROM found f LEFT JOIN mail USING (id) LEFT JOIN tel USING (id) LEFT JOIN skill USING (id))"""
+
+
+@query(f"""WITH {prose_sql(I.SKILL_TEXTS.replace("SELECT doc_id, text", "SELECT doc_id AS id, text"), "NULL")}
+  SELECT cast(id AS varchar) AS run_id, full_name, emails, phones, linkedin_url, github_url, skills FROM told""")
+def notes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.view(spark, sf_dir, f"SELECT doc_id AS run_id, 0 AS src_seq, 'recruiter_txt' AS source_type, text AS content FROM ({I.SKILL_TEXTS})")
+    joined = lambda c, field: F.array_join(field, "|").alias(c)
+    return prose.from_notes(rows).select("run_id", "full_name", joined("emails", "emails"), joined("phones", "phones"), "linkedin_url", "github_url", joined("skills", "skills_raw"))
+
+
+MONTHS_SQL = {k: f"'{v}'" for k, v in D.MONTHS.items()}
+
+
+def date_sql(c: str) -> str:
+    month = case_sql(rf"lower(regexp_extract({c}, '([A-Za-z]+)\s+(\d{{4}})', 1))", MONTHS_SQL, "NULL")
+    return rf"""CASE WHEN trim({c}) = '' OR lower(trim({c})) IN ('present', 'current', 'now', 'ongoing') THEN NULL WHEN regexp_matches({c}, '\d{{4}}-\d{{2}}') THEN regexp_extract({c}, '(\d{{4}}-\d{{2}})', 1)
+      WHEN regexp_matches({c}, '\d{{2}}/\d{{4}}') THEN regexp_extract({c}, '(\d{{2}})/(\d{{4}})', 2) || '-' || regexp_extract({c}, '(\d{{2}})/(\d{{4}})', 1)
+      WHEN {month} IS NOT NULL THEN regexp_extract({c}, '([A-Za-z]+)\s+(\d{{4}})', 2) || '-' || {month} WHEN regexp_matches({c}, '\d{{4}}') THEN regexp_extract({c}, '(\d{{4}})', 1) || '-01' END"""
+
+
+def header_sql(*sections: str) -> str:
+    return "(length(line) < 60 AND regexp_matches(lower(line), '" + "|".join(w for s in sections for w in D.SECTIONS[s]) + "'))"
+
+
+#: The lines of each resume, one empty line more, and what the rules ask of a line.
+LINES = rf"""cut AS (SELECT run_id, unnest(string_split(content || chr(10), chr(10))) AS raw, generate_subscripts(string_split(content || chr(10), chr(10)), 1) AS pos FROM ({I.RESUMES})),
+    lines AS (SELECT run_id, pos, pos = max(pos) OVER (PARTITION BY run_id) AS fin, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM cut),
+    spans AS (SELECT *, regexp_extract(line, '{D.RANGE_PATTERN}', 0) AS span, regexp_extract(line, '{D.RANGE_PATTERN}', 1) AS since, regexp_extract(line, '{D.RANGE_PATTERN}', 2) AS until FROM lines)"""
+
+#: The job rules, line by line: each step's rule decides what becomes of the job being read, and whether it is over.
+JOB_RULES = rf"""{LINES},
+    told_jobs AS (SELECT run_id, CAST(0 AS BIGINT) AS pos, false AS inside, false AS going, CAST(NULL AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS since, CAST(NULL AS VARCHAR) AS until, CAST(NULL AS VARCHAR) AS summary,
+        false AS over, CAST(NULL AS STRUCT(company VARCHAR, title VARCHAR, since VARCHAR, until VARCHAR, summary VARCHAR)) AS job FROM ({I.RESUMES})
+      UNION ALL
+      SELECT run_id, pos, CASE rule WHEN 'enter' THEN true WHEN 'leave' THEN false ELSE inside END,
+        CASE WHEN cleared THEN false WHEN rule IN ('dates', 'more') THEN true WHEN rule = 'name' THEN going OR contains(line, '|') OR NOT contains(lower(line), 'at ') OR at_fits ELSE going END,
+        CASE WHEN cleared OR again THEN NULL WHEN rule <> 'name' THEN company WHEN contains(line, '|') THEN trim(string_split(line, '|')[2]) WHEN contains(lower(line), 'at ') THEN CASE WHEN at_fits THEN trim(regexp_extract(line, '(?i)^(.+?)\s+at\s+(.+)', 2)) ELSE company END
+          WHEN contains(line, ',') THEN trim(substr(line, strpos(line, ',') + 1)) ELSE line END,
+        CASE WHEN cleared THEN NULL WHEN rule = 'dates' THEN coalesce(nullif(trim(substr(line, 1, strpos(line, span) - 1), ' -|–—'), ''), CASE WHEN NOT again THEN title END) WHEN rule <> 'name' THEN title WHEN contains(line, '|') THEN trim(string_split(line, '|')[1])
+          WHEN contains(lower(line), 'at ') THEN CASE WHEN at_fits THEN trim(regexp_extract(line, '(?i)^(.+?)\s+at\s+(.+)', 1)) ELSE title END WHEN contains(line, ',') THEN trim(string_split(line, ',')[1]) ELSE title END,
+        CASE WHEN cleared THEN NULL WHEN rule = 'dates' THEN {date_sql("new_since")} ELSE since END, CASE WHEN cleared THEN NULL WHEN rule = 'dates' THEN {date_sql("new_until")} ELSE until END,
+        CASE WHEN cleared OR again THEN NULL WHEN rule = 'more' AND bare <> '' THEN trim(coalesce(summary, '') || ' ' || bare) ELSE summary END,
+        going AND (cleared OR again), {{'company': company, 'title': title, 'since': since, 'until': until, 'summary': summary}}
+      FROM (SELECT *, rule IN ('blank', 'enter', 'leave') AS cleared, rule = 'dates' AND since IS NOT NULL AS again, regexp_matches(line, '(?i)^(.+?)\s+at\s+(.+)') AS at_fits, trim(regexp_replace(line, '^[•\-* ]+', '')) AS bare
+        FROM (SELECT s.run_id, l.pos, inside, going, company, title, s.since, s.until, summary, line, span, l.since AS new_since, l.until AS new_until,
+            CASE WHEN line = '' THEN 'blank' WHEN NOT inside AND {header_sql("experience")} THEN 'enter' WHEN inside AND {header_sql("education", "skills")} THEN 'leave' WHEN NOT inside THEN 'skip' WHEN span <> '' THEN 'dates'
+              WHEN coalesce(company, '') = '' THEN 'name' ELSE 'more' END AS rule
+          FROM told_jobs s JOIN spans l ON l.run_id = s.run_id AND l.pos = s.pos + 1))),
+    parsed AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1 AS pos, job FROM told_jobs WHERE over)"""
+PARSED_YEARS = f"""spent AS (SELECT run_id, sum(CASE WHEN job.until IS NULL THEN {I.AS_OF_MONTHS} ELSE cast(substr(job.until, 1, 4) AS integer) * 12 + cast(substr(job.until, 6, 2) AS integer) END - cast(substr(job.since, 1, 4) AS integer) * 12 - cast(substr(job.since, 6, 2) AS integer)) AS m
+      FROM parsed WHERE job.since <> '' GROUP BY run_id), years AS (SELECT run_id, CASE WHEN m > 0 THEN round_even(m / 12.0, 1) END AS years FROM spent)"""
+
+DEGREE_SQL = r"regexp_matches(lower(line), '(^|[^a-z0-9_])(bachelor|master|phd|b\.s|m\.s|b\.e|m\.e|b\.tech|m\.tech|mba|b\.a|m\.a|associate)($|[^a-z0-9_])')"
+#: The education rules, line by line: an institution, then the line with its degree.
+COURSE_RULES = rf"""{LINES},
+    told_courses AS (SELECT run_id, CAST(0 AS BIGINT) AS pos, false AS inside, false AS going, false AS detail, CAST(NULL AS VARCHAR) AS institution, CAST(NULL AS VARCHAR) AS degree, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS INTEGER) AS end_year,
+        false AS over, CAST(NULL AS STRUCT(institution VARCHAR, degree VARCHAR, field VARCHAR, end_year INTEGER)) AS course FROM ({I.RESUMES})
+      UNION ALL
+      SELECT run_id, pos, CASE rule WHEN 'enter' THEN true WHEN 'leave' THEN false ELSE inside END, CASE WHEN rule IN ('enter', 'leave', 'end') THEN false WHEN rule IN ('place', 'degree') THEN true ELSE going END,
+        CASE WHEN rule IN ('enter', 'leave') THEN detail AND NOT going WHEN rule = 'place' THEN true WHEN rule = 'degree' THEN false ELSE detail END,
+        CASE WHEN rule IN ('enter', 'leave') THEN NULL WHEN rule = 'place' THEN trim(string_split(line, ',')[1]) ELSE institution END,
+        CASE WHEN rule IN ('enter', 'leave', 'place') THEN NULL WHEN rule = 'degree' THEN trim(string_split(line, ',')[1]) ELSE degree END,
+        CASE WHEN rule IN ('enter', 'leave', 'place') THEN NULL WHEN rule = 'degree' AND contains(line, ',') AND {DEGREE_SQL} THEN trim(substr(line, strpos(line, ',') + 1)) ELSE field END,
+        CASE WHEN rule IN ('enter', 'leave', 'place') THEN NULL WHEN rule = 'degree' THEN coalesce(cast(regexp_extract_all(line, '(^|[^\p{{L}}\p{{N}}_])((?:19|20)\d{{2}})\b', 2)[-1] AS INTEGER), end_year) ELSE end_year END,
+        going AND rule IN ('enter', 'leave', 'place', 'end'), {{'institution': institution, 'degree': degree, 'field': field, 'end_year': end_year}}
+      FROM (SELECT s.*  EXCLUDE (pos), l.pos, line, CASE WHEN fin THEN 'end' WHEN line = '' THEN 'blank' WHEN NOT inside AND {header_sql("education")} THEN 'enter' WHEN inside AND {header_sql("experience", "skills")} THEN 'leave' WHEN NOT inside THEN 'skip' WHEN NOT detail THEN 'place' ELSE 'degree' END AS rule
+        FROM told_courses s JOIN lines l ON l.run_id = s.run_id AND l.pos = s.pos + 1)),
+    studied AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1 AS pos, course FROM told_courses WHERE over)"""
+
+
+@query(f"""WITH RECURSIVE {JOB_RULES}, {PARSED_YEARS}, {COURSE_RULES.replace(LINES + ",", "", 1)}, {prose_sql(f"SELECT run_id AS id, content AS text FROM ({I.RESUMES})", f"CASE WHEN region = 'GB' AND x NOT LIKE '+%' THEN CASE WHEN regexp_full_match(regexp_replace(x, '[^0-9]', '', 'g'), '0?([1-35789][0-9]{{9}}|[18][0-9]{{8}})') THEN '+44' || regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^0', '') END ELSE {phone_sql('x')} END")},
+    worked AS (SELECT run_id, string_agg(coalesce(job.company, '') || '/' || coalesce(job.title, ''), '|' ORDER BY pos) AS jobs FROM parsed GROUP BY run_id), learned AS (SELECT run_id, string_agg(coalesce(course.institution, ''), '|' ORDER BY pos) AS courses FROM studied GROUP BY run_id)
+  SELECT cast(id AS varchar) AS run_id, full_name, emails, phones, linkedin_url, github_url, told.portfolio_url, skills, years AS years_experience, coalesce(jobs, '') AS jobs, coalesce(courses, '') AS courses
+  FROM told LEFT JOIN years ON years.run_id = id LEFT JOIN worked ON worked.run_id = id LEFT JOIN learned ON learned.run_id = id""")
 def resume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.view(spark, sf_dir, f"SELECT run_id, 0 AS src_seq, 'resume_docx' AS source_type, content FROM ({I.RESUMES})")
-    return prose.from_resumes(rows, I.AS_OF)
+    joined = lambda c, field: F.array_join(field, "|").alias(c)
+    said = lambda c: F.coalesce(c, F.lit(""))
+    jobs = F.transform("experience", lambda j: F.concat(said(j["company"]), F.lit("/"), said(j["title"])))
+    courses = F.transform("education", lambda c: said(c["institution"]))
+    return prose.from_resumes(rows, I.AS_OF).select(
+        "run_id", "full_name", joined("emails", "emails"), joined("phones", "phones"), "linkedin_url", "github_url", "portfolio_url", joined("skills", "skills_raw"), "years_experience", joined("jobs", jobs), joined("courses", courses)
+    )
 
 
 @query(f"""SELECT cast(run_id AS varchar) AS run_id, src_seq, source_type, full_name, email, phone, location_raw, headline, array_to_string(list_filter(list_transform(string_split(skills, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS skills FROM ({I.SOURCES})""")
@@ -300,11 +392,6 @@ def skill_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.view(spark, sf_dir, I.SKILL_NAMES).select("p_partkey", N.skill(F.col("raw")).alias("skill"))
 
 
-def keyword_sql(alias: str, name: str) -> str:
-    after = rf"($|[^\p{{L}}\p{{N}}_])" if re.match(r"\w", alias[-1]) else WORDCHAR
-    return rf"CASE WHEN contains(low, '{alias}') AND regexp_matches(low, '(^|[^\p{{L}}\p{{N}}_]){re.escape(alias)}{after}') THEN '{name}' END"
-
-
 @query(f"""WITH t AS (SELECT doc_id, lower(text) AS low FROM ({I.SKILL_TEXTS})), f AS (SELECT doc_id, unnest([{", ".join(keyword_sql(k, v) for k, v in D.SKILLS.items())}]) AS skill FROM t)
   SELECT DISTINCT doc_id, skill FROM f WHERE skill IS NOT NULL""")
 def skill_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,23 +430,19 @@ def section_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_header(F.col("line"), "experience")).alias("headers"), F.count_if(T.has_degree(F.col("line"))).alias("degrees"))
 
 
-PARSED_START = "'201' || (c_custkey % 10) || '-01'"
-
-
-@query(f"""SELECT cast(c_custkey AS varchar) AS run_id, 0 AS pos, 'Acme ' || c_custkey AS company, 'Engineer' AS title, {PARSED_START} AS job_start, CASE WHEN c_custkey % 3 <> 0 THEN '2020-03' END AS job_end, 'Did things More things' AS summary FROM customer
-  UNION ALL SELECT cast(c_custkey AS varchar), 1, 'Initech', 'Lead', '2012-01', '2015-01', NULL FROM customer""")
+@query(f"""WITH RECURSIVE {JOB_RULES} SELECT cast(run_id AS varchar) AS run_id, cast(pos AS integer) AS pos, job.company AS company, job.title AS title, job.since AS job_start, job.until AS job_end, job.summary AS summary FROM parsed""")
 def experience_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.view(spark, sf_dir, I.RESUMES).select(F.col("run_id").cast("string").alias("run_id"), F.posexplode(T.jobs(F.col("content"))).alias("pos", "j"))
     return rows.select("run_id", "pos", "j.company", "j.title", F.col("j.start").alias("job_start"), F.col("j.end").alias("job_end"), "j.summary")
 
 
-@query("SELECT cast(c_custkey AS varchar) AS run_id, 0 AS pos, 'State University' AS institution, 'Bachelor of Science' AS degree, 'Physics, 2008 - 2012' AS field, 2012 AS end_year FROM customer")
+@query(f"""WITH RECURSIVE {COURSE_RULES} SELECT cast(run_id AS varchar) AS run_id, cast(pos AS integer) AS pos, course.institution AS institution, course.degree AS degree, course.field AS field, course.end_year AS end_year FROM studied""")
 def education_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.view(spark, sf_dir, I.RESUMES).select(F.col("run_id").cast("string").alias("run_id"), F.posexplode(T.courses(F.col("content"))).alias("pos", "c"))
     return rows.select("run_id", "pos", "c.institution", "c.degree", "c.field", "c.end_year")
 
 
-@query(f"""SELECT cast(c_custkey AS varchar) AS run_id, round_even(m / 12.0, 1) AS years FROM (SELECT c_custkey, 36 + CASE WHEN c_custkey % 3 = 0 THEN {I.AS_OF_MONTHS} ELSE 2020 * 12 + 3 END - ((2010 + c_custkey % 10) * 12 + 1) AS m FROM customer)""")
+@query(f"""WITH RECURSIVE {JOB_RULES}, {PARSED_YEARS} SELECT cast(r.run_id AS varchar) AS run_id, years FROM ({I.RESUMES}) r LEFT JOIN years y ON y.run_id = r.run_id""")
 def resume_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.view(spark, sf_dir, I.RESUMES).select(F.col("run_id").cast("string").alias("run_id"), T.years_of(T.jobs(F.col("content")), I.AS_OF, only_forward=False).alias("years"))
 
@@ -517,9 +600,16 @@ def validate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", F.array_join("_errors", ";").alias("errors"), F.col("full_name").isNotNull().cast("int").alias("named"))
 
 
-@query(f"{SUMMARY} SELECT run_id, candidate_id, true AS valid FROM whole")
+@query(f"""{SUMMARY}, k AS (SELECT run_id, candidate_id, cast(run_id AS bigint) % 9 AS k, phones IS NOT NULL AS has_phone FROM whole)
+  SELECT run_id, CASE WHEN k <> 7 THEN candidate_id END AS candidate_id, k NOT IN (1, 2, 4, 7) AND NOT (k = 5 AND has_phone) AS valid,
+    'Validation error at ' || CASE WHEN k = 7 THEN '''$.candidate_id'': None is not of type ''string''' WHEN k = 1 THEN '''$.emails'': None is not of type ''array''' WHEN k = 2 THEN '''$.links'': None is not of type ''object'''
+      WHEN k = 4 THEN '''$.overall_confidence'': None is not of type ''number''' WHEN k = 5 AND has_phone THEN '''$.phones[1]'': None is not of type ''string''' END AS error FROM k""")
 def validate_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(scored(spark, sf_dir)).select("run_id", "candidate_id", F.col("_valid").alias("valid"))
+    """Profiles of which some have lost a field or hold a null in a list."""
+    k = F.col("run_id").cast("long") % 9
+    holed = F.when((k == 5) & (F.size("phones") > 0), F.concat(F.slice("phones", 1, 1), F.array(F.lit(None).cast("string")))).otherwise(F.col("phones"))
+    lost = scored(spark, sf_dir).withColumns({"candidate_id": F.when(k != 7, F.col("candidate_id")), "emails": F.when(k != 1, F.col("emails")), "links": F.when(k != 2, F.col("links")), "phones": holed, "overall_confidence": F.when(k != 4, F.col("overall_confidence"))})
+    return validate(lost).select("run_id", "candidate_id", F.col("_valid").alias("valid"), F.col("_error").alias("error"))
 
 
 # ---- store ----
@@ -588,6 +678,32 @@ def batch_ok_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("headline").isNotNull()).alias("succeeded"))
 
 
+#: The same machinery over what is in the items; then each run's warnings and its readers' errors.
+ITEM_SUMMARY = SUMMARY.replace(I.SOURCES, I.ITEM_RECORDS)
+ITEM_PROFILES = f"""{ITEM_SUMMARY}, {location_sql("SELECT place AS raw FROM whole")}, tops AS (SELECT cast(run_id AS varchar) AS run_id, string_agg(coalesce(d2.name, {title_sql("s.name")}), '|' ORDER BY nth) AS top FROM skills s LEFT JOIN {values(D.SKILLS, "d2(i, alias, name)")} ON d2.alias = lower(s.name) GROUP BY run_id),
+    runs AS (SELECT c_custkey, cast(c_custkey AS varchar) AS run_id, CASE WHEN c_custkey % 19 = 1 THEN 'Unknown source type: archive.tar.gz' ELSE '' END AS warnings, CASE WHEN c_custkey % 23 = 5 THEN 'All extractors failed' END AS error,
+      concat_ws(';', CASE WHEN c_custkey % 23 = 5 THEN 'Extractor csv failed: its content could not be read' END, CASE WHEN c_custkey % 17 = 3 THEN 'Extractor resume_docx failed: its content could not be read' END) AS read_errors FROM customer)"""
+
+
+@query(f"""{ITEM_PROFILES} SELECT r.run_id, r.error, r.warnings, concat_ws(';', nullif(read_errors, ''), CASE WHEN r.error IS NULL AND headline IS NULL THEN 'Validation error at ''$'': ''headline'' is a required property' END) AS errors,
+    lower(full_name) AS name, email AS mail, nullif(string_split(coalesce(phones, ''), '|')[1], '') AS phone, loc.country AS country, coalesce(t.top, '') AS top, headline, overall_confidence AS _confidence
+  FROM runs r LEFT JOIN whole w ON w.run_id = r.run_id LEFT JOIN loc ON loc.raw = w.place LEFT JOIN tops t ON t.run_id = r.run_id""")
+def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of text, detected, read, merged, scored and projected to a configuration's fields, with every reader's error."""
+    fields = [*CONFIG["fields"][:5], {"path": "headline", "required": True}]
+    out = consolidate(I.view(spark, sf_dir, I.ITEMS), I.AS_OF, {"fields": fields, "on_missing": "omit"})
+    return out.select("run_id", "error", F.array_join("_warnings", ";").alias("warnings"), F.array_join("_errors", ";").alias("errors"), "name", "mail", "phone", "country", F.coalesce(F.array_join("top", "|"), F.lit("")).alias("top"), "headline", "_confidence")
+
+
+@query(f"""{ITEM_PROFILES} SELECT r.run_id AS folder, CASE WHEN r.error IS NOT NULL OR read_errors <> '' THEN 'error' ELSE 'ok' END AS status, w.candidate_id, w.overall_confidence, read_errors AS errors FROM runs r LEFT JOIN whole w ON w.run_id = r.run_id
+  UNION ALL SELECT 'empty' || n_nationkey, 'skipped', NULL, NULL, '' FROM nation""")
+def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch summary over items of text with their readers' own errors."""
+    results = consolidate(I.view(spark, sf_dir, I.ITEMS), I.AS_OF)
+    folders = I.view(spark, sf_dir, "SELECT cast(c_custkey AS string) AS run_id FROM customer UNION SELECT 'empty' || n_nationkey FROM nation")
+    return summary(results, folders).withColumn("errors", F.coalesce(F.array_join("errors", ";"), F.lit("")))
+
+
 @query(f"{SUMMARY} SELECT run_id, candidate_id, full_name, headline, coalesce(emails, '') AS emails, coalesce(phones, '') AS phones, overall_confidence FROM whole")
 def consolidate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of it: raw records to scored profiles in one plan with one exchange by run."""

@@ -70,18 +70,38 @@ def document_text(content: Column, kind: str) -> Column:
     return texts(content)
 
 
+def text_of(source_type: Column, content: Column) -> Column:
+    """A file's text: that of documents by their readers, else decoded. Null stays null: the file could not be read."""
+    text = F.when(content.isNull(), None).when(source_type == "resume_docx", document_text(content, "docx")).when(source_type == "resume_pdf", document_text(content, "pdf"))
+    return text.otherwise(F.decode(content, "UTF-8"))
+
+
+def subfolders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders directly in ``root``, in order. Hidden ones are left out."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(n for f in found if f.isDirectory() and not (n := f.getPath().getName()).startswith((".", "_")))
+
+
 def folder_items(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Sources of all candidate folders below ``root`` (run_id, src_seq, source_type, content), and all folders' names.
+    """Sources of the candidate folders directly in ``root`` (run_id, src_seq, source_type, content), and all folders' names.
 
-    A resume in PDF excludes the one in DOCX. Folders without a known file are listed too.
+    Only files of a known name are opened, and none of deeper folders. A resume in PDF excludes the one in DOCX. Folders without a
+    known file are listed too, also empty ones.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    names = subfolders(spark, root)
+    if not names:
+        raise FileNotFoundError(f"no candidate folders in {root}")
+    folders = spark.createDataFrame([(n,) for n in names], "run_id string")
+    glob = "{" + ",".join(FOLDER_FILES) + "}"
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.read.schema(schema).format("binaryFile").option("pathGlobFilter", glob).load(f"{root.rstrip('/')}/*/")
     path = F.col("path")
     placed = files.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("run_id"), F.regexp_extract(path, r"([^/]+)$", 1).alias("file"), "content")
-    folders = placed.select("run_id").distinct()
+    placed = placed.join(folders, "run_id", "left_semi")
     kinds = [(name, kind, rank, seq, "resume" if "resume" in name else name) for seq, (name, (kind, rank)) in enumerate(FOLDER_FILES.items())]
     known = spark.createDataFrame(kinds, "file string, source_type string, rank int, src_seq int, slot string")
     best = F.row_number().over(Window.partitionBy("run_id", "slot").orderBy("rank"))
     items = placed.join(F.broadcast(known), "file").withColumn("best", best).filter("best = 1")
-    text = F.when(F.col("source_type") == "resume_docx", document_text(F.col("content"), "docx")).when(F.col("source_type") == "resume_pdf", document_text(F.col("content"), "pdf"))
-    return items.select("run_id", "src_seq", "source_type", text.otherwise(F.decode("content", "UTF-8")).alias("content")), folders
+    return items.select("run_id", "src_seq", "source_type", text_of(F.col("source_type"), F.col("content")).alias("content")), folders

@@ -23,13 +23,13 @@ def landed_items(spark: SparkSession, path: str, late: str = "1 day", files_each
 
 
 def fold_into(store: CandidateStore, items: DataFrame, as_of: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Start folding a stream of items into the store."""
+    """Start folding a stream of items into the store. A batch that is delivered again, with the same checkpoint, changes nothing."""
 
     def save(batch: DataFrame, number: int) -> None:
         usable, _ = admitted(batch)
         profiles = profiles_of(extract(usable, as_of), as_of)
         if not profiles.isEmpty():
             at = batch.agg(F.max("submitted_at").cast("string")).first()[0]
-            store.save(profiles, at, as_of)
+            store.save(profiles, at, as_of, batch=(checkpoint, number))
 
     return items.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from amalgam.__main__ import main as command
 from amalgam.functions import dictionaries as D
 from amalgam.operators.fold import fold_pairs
 from amalgam.operators.merge import merge
@@ -238,6 +239,109 @@ def test_batch_of_folders(spark, tmp_path):
     assert spark.read.text(f"file://{tmp_path}/out/profiles").count() == 2
 
 
+def test_folders_are_told_by_their_place_not_by_their_name_alone(spark, tmp_path):
+    for name in ("ann/deep/x", "bob", "void", ".hidden"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "ann/data.csv").write_text("name\nAnn Lee\n")
+    (tmp_path / "ann/deep/data.csv").write_text("name\nNo One\n")
+    (tmp_path / "bob/data.csv").write_text("name\nBob Ray\n")
+    (tmp_path / "data.csv").write_text("name\nNo One\n")
+    lines, told = batch(spark, f"file://{tmp_path}", AS_OF)
+    assert [(r.folder, r.status) for r in told.collect()] == [("ann", "ok"), ("bob", "ok"), ("void", "skipped")]
+    assert {r.run_id: json.loads(r.json)["full_name"] for r in lines.collect()} == {"ann": "Ann Lee", "bob": "Bob Ray"}
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        batch(spark, f"file://{tmp_path}/none", AS_OF)
+
+
+def test_reader_errors_are_data(spark):
+    rows = [("a", 0, "csv", None, None), ("a", 1, "recruiter_txt", "Ann Lee", None), ("b", 0, "csv", None, None), ("b", 1, "ats_json", "{}", "timeout"), ("c", 0, "recruiter_txt", "Bob Ray", None)]
+    items = spark.createDataFrame(rows, "run_id string, src_seq int, source_type string, content string, extract_error string")
+    got = {r.run_id: r for r in consolidate(items, AS_OF).collect()}
+    assert (got["a"].error, got["a"]._errors, got["a"].full_name) == (None, ["Extractor csv failed: its content could not be read"], "Ann Lee")
+    assert (got["b"].error, got["b"]._errors, got["b"].full_name) == ("All extractors failed", ["Extractor csv failed: its content could not be read", "Extractor ats_json failed: timeout"], None)
+    assert (got["c"].error, got["c"]._errors) == (None, [])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in/ann").mkdir(parents=True)
+    (tmp_path / "in/void").mkdir()
+    (tmp_path / "in/ann/data.csv").write_text("name,email\nAnn Lee,a@x.io\n")
+    (tmp_path / "notes.txt").write_text("Ann Lee\nknows Kafka")
+    (tmp_path / "shape.json").write_text(json.dumps({"fields": [{"path": "who", "from": "full_name"}, {"path": "mail", "from": "emails[0]", "required": True}], "on_missing": "omit"}))
+    common = ["--as-of", AS_OF]
+    assert command([*common, "--csv", f"{tmp_path}/in/ann/data.csv", "--notes", f"{tmp_path}/notes.txt", "--output", f"{tmp_path}/o/out.json", "--store", f"file://{tmp_path}/store"], spark) == 0
+    assert json.loads((tmp_path / "o/out.json").read_text())["skills"][0]["name"] == "Apache Kafka"
+    capsys.readouterr()
+    assert command([*common, "--notes", f"{tmp_path}/notes.txt", "--config", f"{tmp_path}/shape.json"], spark) == 1
+    assert json.loads(capsys.readouterr().out)["who"] == "Ann Lee"
+    assert command([*common, "--csv", f"{tmp_path}/nothing.csv"], spark) == 1 and command(common, spark) == 2
+    assert command([*common, "--batch", f"file://{tmp_path}/in", "--output", f"file://{tmp_path}/results", "--store", f"file://{tmp_path}/store"], spark) == 0
+    assert [json.loads(r.value)["profile"]["full_name"] for r in spark.read.text(f"file://{tmp_path}/results/profiles").collect()] == ["Ann Lee"]
+    assert [r.full_name for r in CandidateStore(spark, f"file://{tmp_path}/store").list().collect()] == ["Ann Lee"]
+    assert command([*common, "--batch", f"file://{tmp_path}/in/void"], spark) == 2
+
+
+def nobody(raw, n):
+    return profiles_of(raw(*[]).unionByName(raw({"source_type": "csv", "headline": "x"})).crossJoin(raw({"source_type": "csv"}).sparkSession.range(n)).withColumn("run_id", F.col("id").cast("string")).drop("id"), AS_OF)
+
+
+def test_strangers_without_mail_and_name_are_not_folded(spark, raw, tmp_path):
+    store = CandidateStore(spark, f"file://{tmp_path}/store", buckets=8).init().init()
+    many = nobody(raw, 100_000).withColumn("headline", F.concat(F.lit("job "), "run_id"))
+    store.save(many, "2026-01-01 00:00:00", AS_OF)
+    ann = profiles_of(raw({"source_type": "csv", "full_name": "Ann", "emails": ["a@x.io"]}), AS_OF)
+    stored = store.save(ann.unionByName(nobody(raw, 1)), "2026-02-01 00:00:00", AS_OF)
+    assert stored.count() == 100_002 and stored.select("headline").distinct().count() == 100_002
+    rows = stored.groupBy(F.input_file_name()).count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 20_000
+    assert one(store.get(one(ann).candidate_id)).full_name == "Ann" and store.get("d41d8cd98f00b204").count() == 1
+
+
+class Overtaken(CandidateStore):
+    """Lets another saver commit between this one's reading and its commit, once."""
+
+    other = None
+
+    def _commit(self, manifest):
+        if self.other:
+            other, self.other = self.other, None
+            other()
+        return super()._commit(manifest)
+
+
+def test_two_savers_lose_nothing(spark, raw, tmp_path):
+    path = f"file://{tmp_path}/store"
+    mail = {"source_type": "csv", "full_name": "Ann", "emails": ["a@x.io"]}
+    a, b, c = (profiles_of(raw(r), AS_OF) for r in (mail | {"headline": "A"}, mail | {"phones": ["415-555-0123"]}, mail | {"skills_raw": ["go"]}))
+    CandidateStore(spark, path).save(a, "2026-01-01 00:00:00", AS_OF)
+    late = Overtaken(spark, path)
+    late.other = lambda: CandidateStore(spark, path).save(b, "2026-02-01 00:00:00", AS_OF)
+    late.save(c, "2026-03-01 00:00:00", AS_OF)
+    r = one(late.list())
+    assert (r.headline, r.phones, [s.name for s in r.skills], str(r.created_at)) == ("A", ["+14155550123"], ["Go"], "2026-01-01 00:00:00")
+    late.vacuum()
+    assert one(CandidateStore(spark, path).list()) == r
+
+
+def test_a_save_rewrites_its_own_buckets_only(spark, raw, tmp_path):
+    store = CandidateStore(spark, f"file://{tmp_path}/store", buckets=16)
+    people = [profiles_of(raw({"source_type": "csv", "full_name": f"P{i}", "emails": [f"p{i}@x.io"]}, run=str(i)), AS_OF) for i in range(3)]
+    store.save(people[0].unionByName(people[1]), "2026-01-01 00:00:00", AS_OF)
+    before = store._manifest()["folders"]
+    store.save(people[0], "2026-01-02 00:00:00", AS_OF)
+    after = store._manifest()["folders"]
+    assert before.keys() == after.keys() and sum(before[b] != after[b] for b in before) == 1
+
+
+def test_a_replayed_batch_changes_nothing(spark, raw, tmp_path):
+    store = CandidateStore(spark, f"file://{tmp_path}/store")
+    a = profiles_of(raw({"source_type": "csv", "full_name": "Ann", "emails": ["a@x.io"]}), AS_OF).unionByName(nobody(raw, 1))
+    for number, rows in ((0, 2), (0, 2), (1, 3), (1, 3), (0, 3)):
+        assert store.save(a, "2026-01-01 00:00:00", AS_OF, batch=("stream", number)).count() == rows
+    assert store.save(a, "2026-01-01 00:00:00", AS_OF, batch=("another", 0)).count() == 4
+
+
 def test_stream(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
