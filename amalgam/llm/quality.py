@@ -5,9 +5,12 @@ documents of a batch down one level of a tree at a time in numpy. The statistics
 label, language, source or doc_id). The fit uses at most ``SAMPLE`` labelled rows, chosen by hash of doc_id among those
 with crc32(doc_id as text) mod 5 <> 0.
 
-Null and empty texts have all statistics 0 and get the score that the trees give those. Labels with null doc_id or
-quality are not used; a doc_id labelled twice counts as good only if all labels say so. Without any label every score
-is 0.5.
+Null and empty texts have all statistics 0 and get the score that the trees give those; very long texts are read whole. Every
+row gets its own text's result, so rows that repeat a doc_id or have none need no care; a fit takes one of the rows that
+repeat a doc_id, by a hash of the text. Splits of equal gain (ties) go to the first statistic and the lowest cut. Further
+columns, whatever their names, are not read, and kept by :func:`good`. Labels with null doc_id or quality are not used; a
+doc_id labelled twice counts as good only if all labels say so. Without any label every score is 0.5. An empty table gives
+no row.
 """
 
 from __future__ import annotations
@@ -124,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Forest | None:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary()), batch.column(2)], names=["id", "x", "y"])
 
     # at most SAMPLE rows of two numbers are broadcast, and of N_STATISTICS numbers collected
-    sample = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("text", "_id", "_quality")
+    sample = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    sample = sample.groupBy("_id", "_quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "_id", "_quality")
     got = sample.mapInArrow(run, "id long, x binary, y int").toArrow().sort_by("id")
     if not got.num_rows:
         return None

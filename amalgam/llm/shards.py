@@ -1,9 +1,12 @@
 """Sharding by jump consistent hashing, in DataFrame functions only.
 
 A row's shard follows from xxhash64(doc_id) and the number of shards; one more shard takes rows only into itself. Rows
-without doc_id share one shard. Slots number a shard's rows from 0 without gaps in ascending order of (part, doc_id,
-text checksum, size), where a part is one of ``PARTS`` hash parts of the shard: parts are counted first, so that no task sorts a whole
-shard. Null texts have size 8 and checksum 0; repeated rows get slots of their own; an empty table gives no row.
+without doc_id share one shard. Slots number a shard's rows from 0 without gaps in ascending order of (part, doc_id, text
+checksum, size), where a part is one of ``PARTS`` hash parts of the shard by these three: parts are counted first, so that
+no task sorts a whole shard, nor all rows without doc_id. Rows that agree in all three (repeated rows) are interchangeable:
+each input partition counts them, slots are dealt to the counts, and they become rows again after those have been dealt out
+anew, so no task holds more of them than a partition of the input does. Null texts have size 8 and checksum 0; very long texts
+are only measured; further columns, whatever their names, are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from amalgam.llm.common import table
+from amalgam.llm.common import saved, table
 
 SHARDS, PARTS, ROW_BYTES = 24, 512, 8
 #: Fixed values of the published algorithm: its 64-bit linear congruential step.
@@ -38,19 +41,20 @@ def with_jump(rows: DataFrame, key: Column, shards: int) -> DataFrame:
 
 def placed(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot and grown_shard."""
-    row = F.col("doc_id").cast("long")
-    key = F.xxhash64("doc_id")
-    part = F.expr(f"cast(pmod(xxhash64(doc_id, 'part'), {parts}) as int)").alias("part")
     text = F.coalesce("text", F.lit(""))
-    ids = with_jump(docs.select(row.alias("doc_id")), key, shards).select("shard", part)
-    counts = ids.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    row = ["doc_id", "text_crc32", "size"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("text_crc32"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.spark_partition_id().alias("home"))
+    each = with_jump(rows.groupBy(*row, "home").agg(F.count("*").alias("n")), F.xxhash64("doc_id"), shards)
+    each = saved(each.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, text_crc32, size), {parts}) as int)")), "sharded")
+    counts = each.groupBy("shard", "part").agg(F.sum("n").alias("all"))
     # a row for each shard and part at most, so its window and its broadcast are bounded
-    before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
-    rows = docs.select(row.alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = with_jump(rows, key, shards).withColumn("part", part)
-    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("nth", nth).join(F.broadcast(before), ["shard", "part"])
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
+    before = counts.select("shard", "part", (F.sum("all").over(Window.partitionBy("shard").orderBy("part")) - F.col("all")).alias("before"))
+    inside = Window.partitionBy("shard", "part").orderBy(*row, "home").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = each.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(before), ["shard", "part"])
+    slots = F.sequence(F.col("before") + F.col("upto") - F.col("n"), F.col("before") + F.col("upto") - 1)
+    alone = first.filter("n = 1").withColumn("slot", F.col("before") + F.col("upto") - 1)
+    repeated = first.filter("n > 1").repartition(*row, "home").withColumn("slot", F.explode(slots))
+    return alone.unionByName(repeated).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

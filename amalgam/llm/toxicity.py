@@ -8,11 +8,16 @@ of a document is its expected grade; a document is toxic where P(grade >= 1) is
 Features are hashed words and word beginnings of 4 to 7 letters of the whole text, counted as log(1 + n). Words joined by
 other characters count each and, for words that are spelled out, glued together. Scripts without spaces have features at
 every letter: two letters as a word, and the beginnings from there. The fit keeps
-the 512 that tell toxic from other documents best (chi-square). It uses a bounded sample of labelled rows (by hash of
-doc_id, at most ``TOXIC`` toxic and ``CLEAN`` other ones), never those with crc32(doc_id as text) mod 5 = 0.
-
-Null and empty texts have no feature. Labels with null doc_id or toxic are not used; a doc_id labelled twice counts as
-toxic if one label says so. Where no toxic or no clean label is left, nothing is toxic and every severity is 0.
+the 512 that tell toxic from other documents best (chi-square; ties by feature number). It uses a bounded sample of labelled
+rows (by hash of doc_id, at most ``TOXIC`` toxic and ``CLEAN`` other ones), never those with crc32(doc_id as text) mod 5 = 0.
+Features of the sample are counted in Spark; only the kept ones and the sample's counts of these leave the executors, so
+the driver's share does not grow with the texts.
+
+Null and empty texts have no feature; very long texts are read whole and counted without a cap, in fit and score alike.
+Every row gets its own text's result, so rows that repeat a doc_id or have none need no care; a fit takes one of the rows
+that repeat a doc_id, by a hash of the text. Further columns, whatever their names, are not read, and kept by :func:`without_toxic`.
+Labels with null doc_id or toxic are not used; a doc_id labelled twice counts as toxic if one label says so. Where no toxic
+or no clean label is left, nothing is toxic and every severity is 0. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.llm.bpe import Remembering
-from amalgam.llm.common import table
+from amalgam.llm.common import dropped, saved, table
 
 TOXIC, CLEAN, KEPT, GRADES, SURE = 1500, 3000, 512, 3, 0.5
 BEGINNINGS = (4, 5, 6, 7)
@@ -37,8 +42,6 @@ KINDS = 1 + len(BEGINNINGS)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters, whose words no space parts.
 UNSPACED = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2,}")
-#: Tokens longer than this are not remembered in a fit.
-LONG = 200
 
 
 def hashed(parts: list[str]) -> list[int]:
@@ -85,65 +88,76 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = F.xxhash64("_id"), F.col("_id")
     chosen = here.filter("_toxic > 0").orderBy(*order).limit(TOXIC).union(here.filter("_toxic = 0").orderBy(*order).limit(CLEAN))
     # at most TOXIC + CLEAN rows of two numbers
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "text", F.col("_toxic").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    return rows.groupBy("_id", F.col("_toxic").alias("toxic")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def counted(text: str | None, terms: Remembering) -> Counter:
+    """How often each feature occurs in a text."""
+    found: Counter = Counter()
+    for token, n in Counter((text or "").split()).items():
+        for f in terms[token]:
+            found[f] += n
+    return found
+
+
+def marking_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list:
+    """(feature, toxic, clean): the best features by chi-square with the number of sampled documents of each kind that hold them.
+
+    Only features that occur relatively more often in toxic documents, and in two at least, are taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Remembering(term_features, 200_000)
+        for batch in batches:
+            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+                seen: tuple[Counter, Counter] = Counter(), Counter()
+                for text, toxic in zip(part.column(1), part.column(2), strict=True):
+                    seen[toxic.as_py() > 0].update(counted(text.as_py(), terms).keys())
+                features = sorted(seen[0].keys() | seen[1].keys())
+                columns = [features, [seen[1][f] for f in features], [seen[0][f] for f in features]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "toxic", "clean"])
 
+    each = sample.mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(*[F.sum(c).cast("double").alias(c) for c in ("toxic", "clean")])
+    t, c, n = F.col("toxic"), F.col("clean"), n_toxic + n_clean
+    seen, lead = t + c, t * n_clean - c * n_toxic
+    each = each.filter((lead > 0) & (t >= 2)).withColumn("chi", lead * lead * n / (seen * F.greatest(F.lit(n) - seen, F.lit(1)) * float(n_toxic) * n_clean))
+    return each.orderBy(F.desc("chi"), "feature").limit(KEPT).collect()
 
-def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count) of the sample and its labels; bounded by the sample's bound."""
+
+def sample_counts(sample: DataFrame, column: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the kept features (rows by id) and the labels; at most TOXIC + CLEAN times KEPT numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms: dict[str, tuple[int, ...]] = {}
+        terms = Remembering(lambda token: tuple(f for f in term_features(token) if f in column), 200_000)
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                found: Counter = Counter()
-                for token, n in Counter((text or "").split()).items():
-                    features = terms.get(token)
-                    if features is None:
-                        features = term_features(token)
-                        if len(terms) > 300_000:
-                            terms.clear()
-                        if len(token) <= LONG:
-                            terms[token] = features
-                    for f in features:
-                        found[f] += n
-                order = sorted(found)
-                out.append((np.array(order, "<i8").tobytes(), np.minimum([found[f] for f in order], 65_535).astype("<u2").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(2)], names=["id", "features", "counts", "toxic"])
-
-    got = sample.select("text", "_id", "toxic").mapInArrow(run, "id long, features binary, counts binary, toxic int").toArrow().sort_by("id")
-    sizes = [len(b.as_buffer()) // 2 if b.as_buffer() else 0 for b in got["counts"]]
-    features = np.frombuffer(b"".join(b.as_buffer() for b in got["features"]), "<i8")
-    counts = np.frombuffer(b"".join(b.as_buffer() for b in got["counts"]), "<u2")
-    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), features, counts, got["toxic"].to_numpy()
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                found = [sorted((column[f], n) for f, n in counted(t.as_py(), terms).items()) for t in part.column(1)]
+                columns = [pa.array([[x[k] for x in d] for d in found], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2)], names=["id", "columns", "counts", "toxic"])
+
+    got = sample.mapInArrow(run, "id long, columns array<int>, counts array<long>, toxic int").toArrow().sort_by("id")
+    x = np.zeros((got.num_rows, len(column)))
+    for row, at, n in zip(x, got["columns"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        row[at] = n
+    return x, got["toxic"].to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows, features, counts, toxic = sample_features(labelled(docs, labels))
-    is_toxic = toxic > 0
-    n_toxic, n_clean = int(is_toxic.sum()), int((~is_toxic).sum())
-    if not n_toxic or not n_clean or not len(features):
+    sample = saved(labelled(docs, labels).select("_id", "text", "toxic"), "toxic-sample")
+    n_toxic, n_clean = (n or 0 for n in sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first())
+    best = marking_features(sample, n_toxic, n_clean) if n_toxic and n_clean else []
+    if not best:
         return None
-    known, place = np.unique(features, return_inverse=True)
-    here = is_toxic[rows]
-    t, c = (np.bincount(place[m], minlength=len(known)) for m in (here, ~here))
-    # chi-square of occurrence against toxicity, for features that occur relatively more often in toxic documents
-    seen = t + c
-    chi = (1.0 * t * n_clean - 1.0 * c * n_toxic) ** 2 * (n_toxic + n_clean) / np.maximum(1.0 * n_toxic * n_clean * seen * np.maximum(n_toxic + n_clean - seen, 1), 1)
-    chi[(t * n_clean <= c * n_toxic) | (t < 2)] = 0
-    best = np.argsort(-chi, kind="stable")[:KEPT]
-    best = best[chi[best] > 0]
-    column = np.full(len(known), -1, np.int32)
-    column[best] = np.arange(len(best))
-    used = column[place] >= 0
-    x = np.zeros((len(toxic), len(best)))
-    np.add.at(x, (rows[used], column[place[used]]), counts[used])
+    x, toxic = sample_counts(sample, {r.feature: i for i, r in enumerate(best)})
+    dropped(sample)
+    is_toxic = toxic > 0
     # how often a document uses marking terms: the most of any kind, so that a word and its beginnings count once
-    sure = t[best] / np.maximum(seen[best], 1) >= 0.8
-    hits = np.max([x[:, sure & (known[best] % KINDS == k)].sum(axis=1) for k in range(KINDS)], axis=0)
+    sure, kind = np.array([r.toxic / (r.toxic + r.clean) >= 0.8 for r in best]), np.array([r.feature % KINDS for r in best])
+    hits = np.max([x[:, sure & (kind == k)].sum(axis=1) for k in range(KINDS)], axis=0)
     grade = np.where(is_toxic, np.select([hits < 3, hits < 6], [1, 2], 3), 0)
     weights, thresholds = proportional_odds(np.log1p(x), grade)
-    return Model({int(f): i for i, f in enumerate(known[best])}, weights, thresholds)
+    return Model({r.feature: i for i, r in enumerate(best)}, weights, thresholds)
 
 
 def proportional_odds(x: np.ndarray, grade: np.ndarray, rounds: int = 400, rate: float = 0.05, penalty: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:

@@ -102,3 +102,146 @@ def test_quality_edges(spark, documents, edge_texts):
     assert len(quality.scored(docs, forest).collect()) == len(edge_texts)
     assert quality.scored(docs, forest, keep=True).columns == docs.columns
     assert quality.scored(documents([]), forest).collect() == []
+
+
+def plain_features(text):
+    """Counts of features by their description alone: words, their first 4 to 7 letters, glued words, scripts without spaces."""
+    found = {}
+
+    def add(kind, s, n=1):
+        key = zlib.crc32(s.encode()) * 5 + kind
+        found[key] = found.get(key, 0) + n
+
+    def word(w):
+        if len(w) >= 3:
+            add(0, w)
+            for k, n in enumerate((4, 5, 6, 7), 1):
+                if len(w) >= n:
+                    add(k, w[:n])
+
+    for token in (text or "").lower().split():
+        words = "".join(c if c.isalpha() else " " for c in token).split()
+        before = dict(found)
+        if len(words) > 1:
+            for w in words:
+                word(w)
+        own = {k for k in found if found[k] != before.get(k, 0)}
+        glued = "".join(words)
+        if len(glued) >= 3:
+            for k, s in enumerate([glued, *(glued[:n] for n in (4, 5, 6, 7))]):
+                if (k == 0 or len(glued) >= k + 3) and (key := zlib.crc32(s.encode()) * 5 + k) not in own:
+                    found[key] = found.get(key, 0) + 1
+    return found
+
+
+def test_toxicity_equals_brute_force(spark, labels):
+    """Selection, counts, severity and grade of every document, recomputed from the texts and the labels."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    model = toxicity.fit(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    features = {d: plain_features(t) for d, t in docs.items()}
+    known = [d for d in labels if d in docs and not held_out(d)]
+    toxic = [d for d in known if labels[d].toxic]
+    n, m = len(toxic), len(known) - len(toxic)
+    chi = {}
+    for f in {f for d in toxic for f in features[d]}:
+        t, c = sum(f in features[d] for d in toxic), sum(f in features[d] for d in known if not labels[d].toxic)
+        if t >= 2 and t * m > c * n:
+            chi[f] = (t * m - c * n) ** 2 * (n + m) / ((t + c) * max(n + m - t - c, 1) * n * m)
+    best = sorted(chi, key=lambda f: (-chi[f], f))[: toxicity.KEPT]
+    assert sorted(model.features) == sorted(best)
+    for r in toxicity.op4_toxicity(spark, DATA).collect():
+        score = sum(w * np.log1p(features[r.doc_id].get(f, 0)) for f, w in ((f, model.weights[i]) for f, i in model.features.items()))
+        reach = [1 / (1 + np.exp(-(score - t))) for t in model.thresholds]
+        assert r.severity == pytest.approx(sum(reach), abs=1e-9) and r.toxic == (reach[0] >= 0.5)
+        assert abs(sum(reach) % 1 - 0.5) < 1e-9 or r.grade == round(sum(reach))
+
+
+def test_fit_is_near_the_best_weights():
+    """No small step in any direction makes the penalised loss of a fit much better."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(1.0, (2000, 5)).astype(float)
+    grade = np.searchsorted([1.0, 2.5, 4.0], x @ [1.0, 0.5, 0, -0.5, 0.2] + rng.logistic(size=2000))
+    w, t = toxicity.proportional_odds(x, grade)
+
+    def loss(w, t):
+        reach = np.hstack([np.ones((len(x), 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - t))), np.zeros((len(x), 1))])
+        row = np.arange(len(x))
+        return -np.log(np.maximum(reach[row, grade] - reach[row, grade + 1], 1e-12)).mean() + 1e-4 * w @ w
+
+    here = loss(w, t)
+    for k in range(5):
+        for step in (-0.05, 0.05):
+            assert loss(w + step * np.eye(5)[k], t) > here - 2e-4
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            assert loss(w, t + step * np.eye(3)[k]) > here - 2e-4
+
+
+def test_toxicity_edges_with_a_fitted_model(spark, documents, edge_texts):
+    """Nulls, very long texts, ties, repeated rows and clashing columns, all read by a model."""
+    base = (["you gnarf person"] * 3 + ["you fine person"] * 3) * 6
+    long_toxic, long_clean = "fine words here " * 60_000 + "gnarf " * 70_000, "fine words here " * 60_000
+    texts = [*base, *edge_texts, long_toxic, long_clean, "gnarf", "gnarf"]
+    ids = [*range(len(base)), *[None] * len(edge_texts), 900, 901, 902, 902]
+    docs = documents(texts, ids=ids)
+    labels = spark.createDataFrame([(i, int("gnarf" in t), "z") for i, t in enumerate(base)] + [(900, 1, "z")], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.scored(docs, model).collect()
+    assert len(rows) == len(texts)
+    by = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert by[900].toxic == 1 and by[901].toxic == 0 and by[900].severity > by[0].severity
+    assert all(r.toxic == 0 for r in rows if r.doc_id is None)
+    twice = [(r.severity, r.toxic) for r in rows if r.doc_id == 902]
+    assert len(twice) == 2 and len(set(twice)) == 1 and twice[0][1] == 1
+    # counts above 65,535 are counted: more of the word is still worse
+    more = documents(["gnarf " * 65_535, "gnarf " * 120_000])
+    less, most = (r.severity for r in sorted(toxicity.scored(more, model).collect(), key=lambda r: r.doc_id))
+    x, _ = toxicity.sample_counts(more.selectExpr("doc_id as _id", "text", "1 as toxic"), model.features)
+    assert most >= less and x.max() == 120_000
+
+
+def test_a_repeated_labelled_row_is_sampled_once(spark, documents):
+    docs = documents(["you gnarf person", "other text"] * 500, ids=[1, 1] * 500)
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels).count() == 1
+
+
+def plain_statistics(text):
+    if not text:
+        return [0.0] * quality.N_STATISTICS
+    data, words, lines = text.encode(), text.split(), text.split("\n")
+    out = [sum(b in members for b in data) / len(data) for members in quality.CLASSES.values()]
+    n, full = len(words) + 1, [x for x in lines if x]
+    f = len(full) + 1
+    share = [data.count(bytes([b])) / len(data) for b in set(data)]
+    out += [np.log(1 + len(text)), np.log(n), len(text) / n, len(set(words)) / n, max((words.count(w) for w in set(words)), default=0) / n, sum(a == b for a, b in zip(words, words[1:])) / n]
+    out += [sum(w.isupper() for w in words) / n, sum(w.istitle() for w in words) / n, sum(w.isalpha() for w in words) / n, np.log(f), len(set(full)) / f, sum(x.isupper() for x in full) / f, sum(" | " in x for x in full) / f]
+    return [*out, -sum(p * np.log2(p) for p in share), max(map(len, words), default=0), np.log(1 + max(map(len, lines)))]
+
+
+def test_quality_equals_brute_force(spark):
+    """Statistics of every document, and its score by walking each tree."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    forest = quality.fit(docs, labels)
+    rows = {r.doc_id: r.score for r in quality.op10_quality_classifier(spark, DATA).collect()}
+    for d in docs.collect():
+        x = quality.statistics(d.text)
+        assert x == pytest.approx(plain_statistics(d.text[:5000]) if len(d.text) <= 5000 else x, abs=1e-9)
+        total = forest.base
+        for feature, threshold, value in zip(forest.feature, forest.threshold, forest.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(x[feature[node]] > threshold[node])
+            total += value[node - len(feature)]
+        assert rows[d.doc_id] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+def test_quality_of_long_repeated_and_tied_rows(spark, documents):
+    texts = ["a fine plain text of words", "!!!! @@@@ ####"] * 20 + ["long words here. " * 100_000, "long words here. " * 100_000, None]
+    docs = documents(texts, ids=[*range(40), 77, 77, None])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), "t") for i in range(40)], "doc_id long, quality int, text string")
+    rows = quality.scored(docs, quality.fit(docs, labels)).collect()
+    twice = [r.score for r in rows if r.doc_id == 77]
+    assert len(rows) == len(texts) and len(twice) == 2 and twice[0] == twice[1]
+    by = {r.doc_id: r.predicted for r in rows}
+    assert by[0] == 1 and by[1] == 0

@@ -44,6 +44,30 @@ def test_edges(documents, edge_texts):
     assert shards.placed(documents([])).collect() == []
 
 
+def test_rows_equal_brute_force(spark, documents):
+    """Shard, grown shard and slot of every row, from the hashes of the rows alone."""
+    ids = [None, None, None, 7, 7, 7, 7, *range(100, 400)]
+    texts = ["same", "same", "other", "same", "same", "x", None, *(f"text {i % 50}" for i in range(300))]
+    docs = documents(texts, ids=ids).repartition(5)
+    text = F.coalesce("text", F.lit(""))
+    row = [F.col("doc_id"), F.crc32(text), (F.octet_length(text) + 8).cast("long")]
+    known = docs.select(*[c.alias(n) for c, n in zip(row, ("d", "c", "s"))], F.xxhash64("doc_id").alias("k"), F.xxhash64(*row).alias("h")).collect()
+    want = []
+    for n in range(24):
+        own = sorted((r.h % shards.PARTS, r.d is not None, r.d or 0, r.c, r.s, jump(r.k, 25)) for r in known if jump(r.k, 24) == n)
+        want += [(d if there else None, s, c, n, slot, grown) for slot, (_, there, d, c, s, grown) in enumerate(own)]
+    got = [(r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.grown_shard) for r in shards.placed(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_a_hot_repeated_row_is_dealt_out(spark):
+    n = 4000
+    docs = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("same text").alias("text")).repartition(8)
+    out = shards.placed(docs)
+    rows = out.collect()
+    check(rows, [(i if i % 3 else None, "same text") for i in range(n)])
+
+
 def test_shares_are_near_equal_and_growth_moves_little(spark):
     df = spark.range(20_000).select(F.xxhash64("id").alias("k"))
     rows = shards.with_jump(df, F.col("k"), 24).collect()
