@@ -1,7 +1,8 @@
 """BPE encoding and decoding: merge ranks in a priority queue over a doubly linked symbol list.
 
 Null texts count as empty; empty texts give no ids and decode to the empty string. Very long texts and very long words
-are encoded whole in O(n log n). Rows are independent, so ties, repeated rows and further columns do not matter.
+are encoded whole in O(n log n). Rows are independent, so ties, repeated rows, null doc_ids and further columns do not
+matter. Of merges of equal rank (ties) in a word the leftmost comes first. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -51,12 +52,29 @@ class Remembering(dict):
         return value
 
 
+def refused(spec: dict) -> list[str]:
+    """What a vocabulary file asks for that this encoder does not do."""
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    asked = {f"model.{k}": model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")}
+    asked |= {"normalizer": spec.get("normalizer"), "pre_tokenizer.add_prefix_space": before.get("add_prefix_space")}
+    asked |= {f"added_tokens.{k}": any(t.get(k) for t in spec["added_tokens"]) for k in ("single_word", "lstrip", "rstrip")}
+    wrong = [k for k, v in asked.items() if v]
+    if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or after.get("type") != "ByteLevel" or not before.get("use_regex", True):
+        wrong.append("another model, pre_tokenizer or decoder than byte-level BPE by the usual pattern")
+    return wrong
+
+
 class Encoder:
-    """Encodes and decodes with a byte-level BPE vocabulary file in the tokenizers library's JSON form."""
+    """Encodes and decodes with a byte-level BPE vocabulary file in the tokenizers library's JSON form.
+
+    A file that asks for more than a vocabulary, merges and plain added tokens is refused.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if wrong := refused(spec):
+            raise ValueError(f"this vocabulary file can't be used: {', '.join(wrong)}")
         vocab = spec["model"]["vocab"]
         symbols = byte_symbols()
         back = {s: bytes([b]) for b, s in enumerate(symbols)}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
+from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,24 +61,67 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def block_bounds(df: DataFrame, column: str, blocks: int) -> list[int]:
-    """At most ``blocks - 1`` ascending cut points that split the ids into similar shares."""
-    at = [i / blocks for i in range(1, blocks)]
-    got = df.agg(F.percentile_approx(column, at, max(10_000, 20 * blocks)).alias("q")).first()["q"] if at else []
-    return sorted(set(got or []))
+#: Sampled ids for each block that is cut, and how much of a text tells the blocks of one id apart.
+SAMPLED, LEAD = 100, 64
 
 
-def block_of(column: Column, bounds: list[int]) -> Column:
-    """Number of cut points at or below the id; rows without id come first."""
+def number_list(values: list) -> str:
+    return "array(" + ", ".join(f"{v}D" if isinstance(v, float) else f"{v}L" for v in values) + ")"
+
+
+def block_of(column: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at or below a number; null has block 0. Two short searches, however many bounds there are."""
     if not bounds:
         return F.lit(0)
-    known = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(known, lambda b: b <= column)), F.lit(0))
+    below = lambda known: F.coalesce(F.size(F.filter(known, lambda b: b <= column)), F.lit(0))
+    width = math.isqrt(len(bounds) - 1) + 1
+    if len(bounds) <= 64:
+        return below(F.expr(number_list(bounds)))
+    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    inner = F.expr("array(" + ", ".join(map(number_list, parts)) + ")")
+    first = below(F.expr(number_list([p[0] for p in parts])))
+    return F.get(F.transform(F.array(first), lambda n: F.when(n > 0, (n - 1) * width + below(F.get(inner, n - 1))).otherwise(0)), 0)
 
 
 def default_blocks(spark: SparkSession) -> int:
     """Four blocks for each shuffle partition, so that the cluster's own setting scales them."""
-    return max(16, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return max(16, min(1 << 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+@dataclass
+class Blocks:
+    """Ranges of (id, text) of similar size. ``hot`` ids fill more than one, cut by the beginnings of their texts."""
+
+    bounds: list[int]
+    hot: dict[int, list[str]]
+
+    def of(self, at: Column, text: Column) -> Column:
+        block = block_of(at, self.bounds)
+        if not self.hot:
+            return block
+        cuts = F.try_element_at(F.create_map(*[x for h, c in self.hot.items() for x in (F.lit(h), F.array(*map(F.lit, c)).cast("array<string>"))]), at)
+        lead = F.substring(text, 1, LEAD)
+        return block + F.when(at.isin(list(self.hot)), F.coalesce(F.size(F.filter(cuts, lambda c: c <= lead)), F.lit(0))).otherwise(0)
+
+
+def cut_blocks(rows: DataFrame, blocks: int) -> Blocks:
+    """Cut rows of (at, text) into about so many ranges, told by a sample of bounded size; it only balances tasks, results don't depend on it."""
+    n = rows.count()
+    some = rows.sample(SAMPLED * blocks / n, 1) if n > SAMPLED * blocks else rows
+    shares = [i / blocks for i in range(1, blocks)]
+    found = some.agg(F.percentile_approx("at", shares, max(10_000, 20 * blocks)).alias("q")).first()["q"] or []
+    often = {h: k for h, k in Counter(found).items() if k > 1}
+    hot = {}
+    if often:
+        leads = rows.filter(F.col("at").isin(list(often))).select("at", F.substring("text", 1, LEAD).alias("lead"))
+        m = leads.count()
+        leads = leads.sample(SAMPLED * sum(often.values()) / m, 1) if m > SAMPLED * sum(often.values()) else leads
+        # as many beginnings as the sample's bound allows
+        each = leads.groupBy("at").agg(F.sort_array(F.collect_list("lead")).alias("leads")).collect()
+        hot = {r["at"]: sorted({r["leads"][len(r["leads"]) * i // often[r["at"]]] for i in range(1, often[r["at"]])}) for r in each}
+    # the blocks of a hot id are counted before those of the ids after it
+    after = [h + 1 for h, cuts in hot.items() if h < 2**63 - 1 for _ in cuts]
+    return Blocks(sorted([*set(found), *after]), hot)
 
 
 def connected_components(edges: DataFrame, rows: int, max_rounds: int = 50) -> DataFrame:

@@ -6,8 +6,12 @@ in at most one bit in one of the halves, so in that half both lie within radius
 anchor. Each distinct fingerprint is therefore copied to all anchors within 2 bits of either half (at most 2 x 17), and
 fingerprints are compared in full only under a common anchor. Nothing is probabilistic: no link is missed.
 
-Null and blank texts have fingerprint zero and link like any other. Equal texts fall together before any comparison.
-Rows without doc_id keep their group's component, which is the smallest doc_id of the group (null if none has one).
+An anchor with many fingerprints is dealt to parts, and each pair of parts is compared in a task of its own.
+
+Null and blank texts have fingerprint zero and link like any other; very long texts are read whole. Equal fingerprints (ties,
+repeated rows) fall together before any comparison. Rows without doc_id keep their group's component, which is the smallest
+doc_id of the group (null if none has one). Of a group :func:`kept_rows` keeps one row. Further columns, whatever their names,
+are kept there and not read otherwise. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from amalgam.llm.common import connected_components, saved, table
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Above this many fingerprints under one anchor, neighbours are looked up bit by bit instead of compared pair by pair.
 PAIRWISE = 4096
+#: Fingerprints under one anchor that a task holds; larger groups are dealt to parts, and each pair of parts is a task's.
+MOST = 65_536
 
 
 def fingerprint(text: str | None) -> int:
@@ -107,37 +113,82 @@ def star_links(fps: np.ndarray) -> np.ndarray:
         label = new
 
 
-def grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star links of each anchor's fingerprints; rows arrive sorted by anchor."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rest_at, rest_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-    def links(at: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(at)])
-        two = starts[sizes == 2]
-        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= THRESHOLD]
-        a, b = [fps[two]], [fps[two + 1]]
-        for s, k in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            group = np.unique(fps[s : s + k])
-            root = star_links(group)
-            own = root != np.arange(len(group))
-            a.append(group[own])
-            b.append(group[root[own]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], schema=schema)
+LINKS, NONE = "a long, b long, part int", np.empty(0, np.uint64)
 
-    for batch in batches:
-        at = np.concatenate([rest_at, batch.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([rest_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if not len(at):
-            continue
-        last = np.searchsorted(at, at[-1])  # the last anchor may go on in the next batch
-        yield links(at[:last], fps[:last])
-        rest_at, rest_fp = at[last:], fps[last:]
-    yield links(rest_at, rest_fp)
 
+def star_batch(groups: list[np.ndarray], a: np.ndarray = NONE, b: np.ndarray = NONE) -> pa.RecordBatch:
+    """Star links of groups of distinct sorted fingerprints, after the links (a, b)."""
+    a, b = [a], [b]
+    for group in groups:
+        root = star_links(group)
+        own = root != np.arange(len(group))
+        a.append(group[own])
+        b.append(group[root[own]])
+    links = [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([*links, pa.array(np.full(len(links[0]), -1, np.int32))], names=["a", "b", "part"])
+
+
+def grouped_links(most: int):
+    """Star links of each anchor's fingerprints; rows arrive sorted by anchor.
+
+    An anchor with more than ``most`` fingerprints is not held: its (anchor, fingerprint) rows go on with the number of their part.
+    """
+
+    def dealt(anchor: int, fps: list[np.ndarray], part: int) -> pa.RecordBatch:
+        whole = np.concatenate(fps)
+        columns = pa.array(np.full(len(whole), anchor, np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(whole), part, np.int32))
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "part"])
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, last, part = [], 0, None, 0  # the last anchor's fingerprints so far, and how many parts of it went on
+        for batch in batches:
+            at, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(at):
+                continue
+            edges = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)]
+            first = int(at[0] == last)
+            if first:
+                held.append(fps[: edges[1]])
+                n += int(edges[1])
+            if len(edges) - 1 > first:  # the last anchor's group is over, others are whole, and the batch's last one may go on
+                groups = [np.sort(np.concatenate(held))] if n > 1 and not part else []
+                if part and n:
+                    yield dealt(last, held, part)
+                starts, sizes = edges[first:-2], np.diff(edges[first:-1])
+                two = starts[sizes == 2]
+                two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= THRESHOLD]
+                groups += [np.sort(fps[i : i + k]) for i, k in zip(starts[sizes > 2], sizes[sizes > 2], strict=True)]
+                yield star_batch(groups, np.maximum(fps[two], fps[two + 1]), np.minimum(fps[two], fps[two + 1]))
+                held, n, last, part = [fps[edges[-2] :]], len(at) - int(edges[-2]), at[-1], 0
+            if n > most:
+                yield dealt(last, held, part)
+                held, n, part = [], 0, part + 1
+        if part and n:
+            yield dealt(last, held, part)
+        elif n > 1:
+            yield star_batch([np.sort(np.concatenate(held))])
+
+    return run
+
+
+def paired_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Star links of each pair of parts of an anchor; rows (anchor, lo, hi, fp) arrive sorted."""
+    held, key = [], None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        edges = np.flatnonzero(np.r_[True, np.any([np.diff(c) != 0 for c in columns[:3]], axis=0), True])
+        for i, j in zip(edges[:-1], edges[1:]):
+            own = tuple(c[i] for c in columns[:3])
+            if own != key and held:
+                yield star_batch([np.unique(np.concatenate(held))])
+                held = []
+            key = own
+            held.append(columns[3][i:j].view(np.uint64))
+    if held:
+        yield star_batch([np.unique(np.concatenate(held))])
+
+
+def fingerprint_links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """Star links (a, b) between distinct fingerprints at two or fewer differing bits."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +197,17 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(who.view(np.int64))], names=["anchor", "fp"])
 
     placed = fps.mapInArrow(spread, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    return placed.mapInArrow(grouped_links, "a long, b long")
+    found = saved(placed.mapInArrow(grouped_links(most), LINKS), "simhash-links", fps.count())
+    links = found.filter("part < 0").select("a", "b")
+    large = found.filter("part >= 0")
+    if large.isEmpty():
+        return links
+    parts = large.groupBy("a").agg((F.max("part") + 1).alias("parts"))
+    dealt = large.join(parts, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.col("a").alias("anchor"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), F.col("b").alias("fp"))
+    key = ["anchor", "lo", "hi"]
+    more = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(paired_links, LINKS)
+    return links.union(more.select("a", "b"))
 
 
 def classes(docs: DataFrame, row: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -171,17 +232,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: that with the smallest doc_id (none last), then text digest.
-
-    Rows that repeat a doc_id and its text are one document and stay together; see :func:`kept_rows`. The texts are not shuffled if the kept
-    ids fit a broadcast; else once.
-    """
-    _, named = classes(docs)
-    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.digest").alias("_digest"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_doc"]) & (F.xxhash64(docs["text"]) == first["_digest"]), "left_semi")
-
-
 def kept_rows(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: that with the smallest doc_id (none last), text digest and number.
 

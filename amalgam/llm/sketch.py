@@ -9,8 +9,11 @@ they have in common; that of two empty texts is 1.
 
 The fingerprint names the number of paragraphs and holds the smallest sketch, so equal texts have equal fingerprints.
 
-Null texts count as empty. Documents are dealt in blocks of ascending doc_id, each block also getting the first document
-of the next, so that every text is shuffled once; rows without doc_id come first, repeated doc_ids are ordered by text.
+Null texts count as empty; very long texts are read whole; further columns, whatever their names, are not read; an empty
+table gives no row. Documents are dealt in blocks of ascending doc_id, each block also getting the first document of the
+next, so that every text is shuffled once; rows without doc_id come first, repeated doc_ids are ordered by text (ties
+between equal rows change nothing). An id that many rows have (or lack) is cut into blocks of its own by the beginnings of
+its texts; only rows that agree in id and the first 64 characters stay in one block.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from amalgam.llm.common import block_bounds, block_of, default_blocks, table
+from amalgam.llm.common import cut_blocks, default_blocks, table
 
 CELLS, HASHES = 24, 3
 LONG, RUN, CUT = 200, 16, 200
@@ -169,29 +172,37 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
-def in_id_order(docs: DataFrame, guests: bool) -> DataFrame:
-    """Documents in blocks of ascending doc_id, sorted; with ``guests`` each block ends with the next block's first one."""
-    blocks = default_blocks(docs.sparkSession)
+def in_id_order(docs: DataFrame, guests: bool, blocks: int | None = None) -> DataFrame:
+    """Documents in blocks of ascending (doc_id, text), sorted; with ``guests`` each block ends with the next block's first one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = block_bounds(rows.select("doc_id"), "doc_id", blocks)
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("block", block_of(F.col("doc_id"), bounds))
+    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63))))
+    cut = cut_blocks(rows.select("at", "text"), blocks or default_blocks(docs.sparkSession))
+    rows = rows.withColumn("block", cut.of(F.col("at"), F.col("text")))
     order = ["block", "at", "text"]
     if guests:
         # at most one row for each of the blocks, so both the window and the broadcast are bounded
         heads = rows.groupBy("block").agg(F.min("at").alias("head"))
         by_block = Window.orderBy("block")
         last = F.last("block").over(by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        heads = heads.select("head", F.coalesce(F.lag("block").over(by_block), last).alias("to"))
-        rows = rows.join(F.broadcast(heads), rows["at"] == heads["head"], "left")
+        heads = heads.select("block", "head", F.coalesce(F.lag("block").over(by_block), last).alias("to"))
+        is_hot = F.col("head").isin(list(cut.hot))
+        plain = heads.filter(~is_hot).select("head", "to") if cut.hot else heads.select("head", "to")
+        met = rows.join(F.broadcast(plain), rows["at"] == plain["head"], "left")
         goes = F.array(F.struct("block", F.lit(0).alias("guest")), F.struct(F.col("to").alias("block"), F.lit(1).alias("guest")))
-        rows = rows.withColumn("goes", F.when(F.col("to").isNull(), F.slice(goes, 1, 1)).otherwise(goes)).select("doc_id", "text", "at", F.inline("goes"))
+        met = met.withColumn("goes", F.when(F.col("to").isNull(), F.slice(goes, 1, 1)).otherwise(goes)).select("doc_id", "text", "at", F.inline("goes"))
+        if cut.hot:
+            # of an id that fills several blocks only the first text of a block is a guest
+            first = rows.filter(F.col("at").isin(list(cut.hot))).groupBy("block").agg(F.min("text").alias("text"))
+            first = first.join(F.broadcast(heads.filter(is_hot)), "block").select(F.nullif("head", F.lit(-(2**63))).alias("doc_id"), "text", F.col("head").alias("at"), F.col("to").alias("block"), F.lit(1).alias("guest"))
+            met = met.unionByName(first)
+        rows = met
         order.insert(1, "guest")
     else:
         rows = rows.withColumn("guest", F.lit(0))
     return rows.repartition("block").sortWithinPartitions(*order).select("block", "guest", "doc_id", "text")
 
 
-def version_fingerprints(docs: DataFrame, batch_rows: int = 400) -> DataFrame:
+def version_fingerprints(docs: DataFrame, batch_rows: int = 400, blocks: int | None = None) -> DataFrame:
     """Fingerprints of every document and of its edited text, and its likeness to that and to the next document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -218,7 +229,7 @@ def version_fingerprints(docs: DataFrame, batch_rows: int = 400) -> DataFrame:
         if pairs:
             yield answer(pairs)
 
-    return in_id_order(docs, guests=True).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_id_order(docs, True, blocks).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

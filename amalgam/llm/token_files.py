@@ -7,7 +7,9 @@ block can be decoded alone; packing and decoding run over all blocks of a file a
 
 Documents are written in ascending doc_id (none first, equal ones by text) in blocks of ids; a file of block b and part p
 comes before those of later parts and blocks. A file is written under another name and then renamed, so a repeated task
-replaces it by the same bytes. Null and empty texts give the end id only; an empty table gives no file.
+replaces it by the same bytes. Null and empty texts give the end id only; very long texts are encoded whole; repeated rows
+are documents of their own, and ties between equal rows change nothing; further columns, whatever their names, are not
+read; an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -235,7 +237,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS, blocks: int | None = None) -> DataFrame:
     """Write all documents' ids, each with the end id, as files in ``folder``; returns (block, part, n_docs, n_ids)."""
     path = path or default_vocabulary()
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -249,32 +251,36 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, fil
         draft = f"{root}/_{uuid.uuid4().hex}"
         with store.open_output_stream(draft) as f:
             f.write(file_bytes(doc_ids, [len(i) + 1 for i in ids[::2]], np.concatenate(ids)))  # each document's ids, then the end id
+        if store.get_file_info(name).type != fs.FileType.NotFound:
+            store.delete_file(name)  # of an attempt before; some stores don't rename onto a file
         store.move(draft, name)
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, part, len(doc_ids), sum(map(len, ids))), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
-        gc.disable()  # lists of many short-lived strings hold no cycles
         end = np.array([END_ID], "<u4")
         block, part, size, doc_ids, ids = -1, 0, 0, [], []
-        for batch in batches:
-            for some in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
-                found, lengths = encoder.encode(some.column(3))
-                ends = np.cumsum(lengths)
-                for b, d, i, j in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
-                    if doc_ids and (b != block or size >= file_ids):
-                        yield put(block, part, doc_ids, ids)
-                        part, size, doc_ids, ids = part + 1, 0, [], []
-                    if b != block:
-                        block, part = b, 0
-                    doc_ids.append(d)
-                    ids += [found[i:j], end]
-                    size += j - i + 1
-        if doc_ids:
-            yield put(block, part, doc_ids, ids)
-        gc.enable()
-
-    return saved(in_id_order(docs, guests=False).mapInArrow(run, "block int, part int, n_docs long, n_ids long"), "token-files")
+        gc.disable()  # lists of many short-lived strings hold no cycles
+        try:
+            for batch in batches:
+                for some in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
+                    found, lengths = encoder.encode(some.column(3))
+                    ends = np.cumsum(lengths)
+                    for b, d, i, j in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+                        if doc_ids and (b != block or size >= file_ids):
+                            yield put(block, part, doc_ids, ids)
+                            part, size, doc_ids, ids = part + 1, 0, [], []
+                        if b != block:
+                            block, part = b, 0
+                        doc_ids.append(d)
+                        ids += [found[i:j], end]
+                        size += j - i + 1
+            if doc_ids:
+                yield put(block, part, doc_ids, ids)
+        finally:
+            gc.enable()
+
+    return saved(in_id_order(docs, False, blocks).mapInArrow(run, "block int, part int, n_docs long, n_ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -303,9 +309,9 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     return rows.join(starts, ["block", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
-def checksums(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def checksums(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS, blocks: int | None = None) -> DataFrame:
     folder = scratch_path(docs.sparkSession, "tokens")
-    files = write_token_files(docs, folder, path, file_ids)
+    files = write_token_files(docs, folder, path, file_ids, blocks)
     if files.isEmpty():
         return files.select(*(F.lit(0).cast("long").alias(c) for c in ("doc_id", "start", "n_tokens", "ids_crc32"))).limit(0)
     return read_token_files(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

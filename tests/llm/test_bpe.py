@@ -1,4 +1,5 @@
 import hashlib
+import json
 import struct
 
 from hypothesis import given, settings
@@ -48,3 +49,12 @@ def test_memory_of_chunks_is_bounded():
 
 def test_empty_table(documents):
     assert bpe.digests(documents([])).collect() == []
+
+
+def test_other_vocabulary_files_are_refused():
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert bpe.refused(spec) == []
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"model": spec["model"] | {"byte_fallback": True}},
+                   {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        assert bpe.refused(spec | change)

@@ -95,17 +95,31 @@ def test_groups_of_copies_and_null_ids(documents):
 
 def test_kept_keeps_one_row_a_group_and_columns(documents):
     docs = documents(["same text here"] * 5 + ["quite another text", None, ""])
-    out = simhash.kept(docs)
+    out = simhash.kept_rows(docs)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [0, 5, 6]
 
 
 def test_groups_without_any_id_keep_one(documents):
     texts = ["same text here", "same text here", "quite another text that is long", "a third one of them"]
-    out = simhash.kept(documents(texts, ids=[None, None, None, 4])).collect()
-    assert sorted(r.text for r in out) == ["a third one of them", "quite another text that is long", "same text here", "same text here"]
-    out = simhash.kept(documents(["same text here", "same text here", "Same  TEXT here"], ids=[None, 9, 3])).collect()
+    out = simhash.kept_rows(documents(texts, ids=[None, None, None, 4])).collect()
+    assert sorted(r.text for r in out) == ["a third one of them", "quite another text that is long", "same text here"]
+    out = simhash.kept_rows(documents(["same text here", "same text here", "Same  TEXT here"], ids=[None, 9, 3])).collect()
     assert [r.doc_id for r in out] == [3]
+    out = simhash.kept_rows(documents(["x y z w", "x y z w"], ids=[7, 7])).collect()
+    assert [(r.doc_id, r.text) for r in out] == [(7, "x y z w")]
+
+
+def test_large_anchors_in_parts_equal_brute_force(spark):
+    """One half alike in all fingerprints, so that they share its anchors, dealt to parts of a few."""
+    rng = random.Random(11)
+    fps = {(0xABCDEF01 << 32) | rng.getrandbits(32) for _ in range(150)}
+    fps |= {f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for f in list(fps)[:100]}
+    fps = sorted(fps)
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    links = simhash.fingerprint_links(spark.createDataFrame([(s,) for s in signed], "fp long"), most=16)
+    part = {r.node: r.component for r in simhash.connected_components(links, 100).collect()}
+    assert {s: part.get(s, s) for s in signed} == brute_components(signed, fps)
 
 
 def test_stage_keeps_one_row_a_group(spark, documents):

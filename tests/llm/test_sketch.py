@@ -4,7 +4,10 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from amalgam.llm import sketch
+from amalgam.llm.common import block_of
 
 
 def multiset_likeness(a, b):
@@ -49,6 +52,30 @@ def test_repeated_and_null_ids_keep_all_rows(documents):
     assert sorted((r.doc_id is None, r.doc_id, r.n_chars) for r in rows) == [(False, 7, 1)] * 3 + [(True, None, 0), (True, None, 1)]
 
 
+def test_hot_ids_are_cut_by_their_texts(documents):
+    """Null and repeated ids that fill most of the table: several blocks each, and still the order of (doc_id, text)."""
+    texts = [f"{chr(97 + i % 26)} text number {i}. It goes on here." for i in range(900)]
+    ids = [None if i % 3 == 0 else 50 if i % 3 == 1 else 1000 + i if i % 2 else i // 20 for i in range(900)]
+    docs = documents(texts, ids=ids)
+    dealt = sketch.in_id_order(docs, True, blocks=24)
+    sizes = [r["count"] for r in dealt.filter("guest = 0").groupBy("block").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) < 150 and dealt.filter("guest = 1").count() < 3 * len(sizes)
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    rows = sketch.version_fingerprints(docs, blocks=24).collect()
+    want = []
+    for i, (d, t) in enumerate(order):
+        n, q = order[(i + 1) % 900][1], len(t) // 4
+        want.append((d, hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()))
+    assert sorted(map(repr, ((r.doc_id, r.edited_sha256) for r in rows))) == sorted(map(repr, want))
+
+
+def test_blocks_count_bounds(spark):
+    for n in (0, 1, 64, 65, 1000):
+        bounds = sorted(i * 7 % 501 for i in range(n))
+        rows = spark.range(-5, 520).withColumn("b", block_of(F.col("id"), bounds)).collect()
+        assert all(r.b == sum(b <= r.id for b in bounds) for r in rows)
+
+
 def test_empty_table(documents):
     assert sketch.version_fingerprints(documents([])).collect() == []
 

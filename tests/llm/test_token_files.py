@@ -37,6 +37,22 @@ def test_null_and_repeated_ids(documents):
     check(token_files.checksums(docs).collect(), [(None, None), (5, "a"), (5, "a"), (5, "b")])
 
 
+def test_hot_ids_in_many_blocks(documents):
+    texts = [f"{chr(97 + i % 26)} number {i}" for i in range(400)]
+    ids = [None if i % 2 else 9 if i % 4 else i for i in range(400)]
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    check(token_files.checksums(documents(texts, ids=ids), file_ids=40, blocks=20).collect(), order)
+
+
+def test_a_repeated_task_replaces_its_files(documents, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    docs = documents(["a b", "c"])
+    token_files.write_token_files(docs, folder)
+    before = sorted((p.name, p.read_bytes()) for p in (tmp_path / "tokens").iterdir())
+    token_files.write_token_files(docs, folder)
+    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "tokens").iterdir()) == before
+
+
 def test_empty_table(documents):
     assert token_files.checksums(documents([])).collect() == []
 
