@@ -163,5 +163,6 @@ def connected_components(edges: DataFrame, rows: int, max_rounds: int = 50) -> D
         now = nxt
     else:
         raise RuntimeError("connected components did not settle")
-    part = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return part.union(now.select(F.col("b"), F.col("b")).distinct())
+    part = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+    part._amalgam_path = now._amalgam_path  # for dropped(), once it has been read
+    return part

@@ -363,13 +363,14 @@ def fetched(vectors: DataFrame, wanted: DataFrame, dim_type: str) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for a table of vec_id, embedding and label."""
-    kind = "<f8" if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else "<f4"
-    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    rows = saved(rows_named(source), "vector-rows")
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind = "<f4" if single else "<f8"
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>"))
+    n = vectors.count()
+    rows = saved(rows_named(source), "vector-rows", n)
     own = ["label", "name", "sketch"]
     distinct = rows.groupBy("label").agg(F.approx_count_distinct("name").alias("n")).agg(F.max("n")).first()[0] or 0
     s = scheme(distinct, threshold, miss)
-    n = rows.count()
     copies = saved(rows.filter("name is not null").groupBy(own).agg(F.count("*").alias("many"), F.min("vec_id").alias("least")).filter("many > 1"), "vector-copies", n // 2)
 
     sent = placed(source, s).repartition("bucket").sortWithinPartitions("bucket", "name", "sketch")
@@ -378,7 +379,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     members = saved(members.groupBy("first", "second", "part", "name", "sketch").agg(F.min("bucket").alias("bucket")), "vector-groups", n)
     known = fetched(source, members.select("name", "sketch").distinct(), kind).join(copies, own, "left")
     known = known.select(F.monotonically_increasing_id().alias("id"), *own, F.coalesce("many", F.lit(1)).cast("long").alias("many"), F.coalesce("least", "vec_id").alias("least"), "dim", "raw")
-    known = saved(known, "vectors")
+    known = saved(known, "vectors", members.count())
 
     parts = members.groupBy("first", "second").agg((F.max("part") + 1).alias("parts")).filter("parts > 1")
     dealt = members.join(parts, ["first", "second"], "left").join(known.select("name", "sketch", "label", "dim", "id", "many", "raw"), ["name", "sketch"])
@@ -394,7 +395,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     linked = linked.join(least, "component").select(*own, (F.col("n") + F.col("many") - 1).alias("n_links"), "component_id")
     alone = copies.join(linked, own, "left_anti").select(*own, (F.col("many") - 1).alias("n_links"), F.col("least").alias("component_id"))
     told = saved(linked.union(alone).withColumn("told", F.lit(True)), "vector-classes", n // 2)
-    for t in (members, known, found, copies):
+    for t in (members, known, found, copies, part):
         dropped(t)
     out = rows.join(told, own, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("told"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

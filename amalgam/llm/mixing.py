@@ -136,8 +136,9 @@ def top_factor(fitted: DataFrame, full: float, few: int = FEW) -> float | None:
 
 def probabilities(parts: DataFrame, targets: dict[str, dict[str, float]] | None = None, full: float = FULL) -> DataFrame:
     """(source, lang, topic, factor, probability, expected) of every cell of :func:`weighed` rows. Cells above the quantile's factor are repeated."""
-    cells = parts.groupBy(*MARGINALS).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    cells = saved(parts.groupBy(*MARGINALS).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")), "cells")
     fitted = raked(cells, targets)
+    dropped(cells)
     top = top_factor(fitted.filter("factor > 0"), full)
     expected = F.col("factor") / F.lit(top) if top else F.lit(0.0)
     return fitted.select(*MARGINALS, "factor", F.least(F.lit(1.0), expected).alias("probability"), expected.alias("expected"))
@@ -156,7 +157,7 @@ def copies(doc_id: Column, expected: Column, seed: int) -> Column:
 
 def calibrated(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, full: float = FULL, seed: int = SEED) -> DataFrame:
     """Per row: doc_id, source, lang, topic, tokens, factor, probability, expected, sampled and copies. Texts are read once."""
-    parts = saved(weighed(docs, topic), "weighed")
+    parts = saved(weighed(docs, topic), "weighed", docs.count())
     joined = parts.join(probabilities(parts, targets, full), list(MARGINALS))
     many = copies(F.col("doc_id"), F.col("expected"), seed)
     return joined.select("doc_id", *MARGINALS, "tokens", "factor", "probability", "expected", (many > 0).alias("sampled"), many.alias("copies"))
@@ -180,14 +181,14 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, f
     Only with ``repeats`` do the rows meet the targets where a cell's factor is above the top. The texts are not shuffled
     where the cells fit a broadcast.
     """
-    cells = probabilities(saved(weighed(docs).select(*MARGINALS, "tokens"), "weighed"), targets, full).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINALS], F.col("expected").alias("_mix_expected"))
+    cells = probabilities(weighed(docs), targets, full).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINALS], F.col("expected").alias("_mix_expected"))
     own = {"source": F.coalesce(docs["source"], F.lit("")), "lang": F.coalesce(docs["lang"], F.lit("")), "topic": default_topic(docs["text"])}
     met = docs.join(cells, [own[m] == cells[f"_mix_{m}"] for m in MARGINALS])
-    many = copies(docs["doc_id"].cast("long"), F.col("_mix_expected"), seed)
+    many = copies(docs["doc_id"].cast("long"), cells["_mix_expected"], seed)
     if not repeats:
         return met.filter(many > 0).select(*[docs[c] for c in docs.columns])
-    copied = met.select(*[docs[c] for c in docs.columns], many.cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
-    return copied.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return met.filter(many > 0).select(row, F.explode(F.sequence(F.lit(1), many.cast("int"))).alias("copy")).select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

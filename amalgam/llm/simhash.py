@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amalgam.llm.common import connected_components, saved, table
+from amalgam.llm.common import connected_components, dropped, saved, table
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Above this many fingerprints under one anchor, neighbours are looked up bit by bit instead of compared pair by pair.
@@ -46,16 +46,15 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, row: tuple[str, ...]) -> DataFrame:
-    """(doc_id, digest, fp) and the columns of ``row``: a digest of the text, and the fingerprint's 64 bits as a signed long."""
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, fp): a digest of the text, and the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), *batch.columns[3:]], names=["doc_id", "digest", "fp", *row])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text", *row)
-    return read.mapInArrow(run, ", ".join(["doc_id long, digest long, fp long", *(f"{c} long" for c in row)]))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def hamming_flips() -> tuple[np.ndarray, np.ndarray]:
@@ -199,30 +198,35 @@ def fingerprint_links(fps: DataFrame, most: int = MOST) -> DataFrame:
     placed = fps.mapInArrow(spread, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
     found = saved(placed.mapInArrow(grouped_links(most), LINKS), "simhash-links", fps.count())
     links = found.filter("part < 0").select("a", "b")
+    path = found._amalgam_path
     large = found.filter("part >= 0")
     if large.isEmpty():
+        links._amalgam_path = path  # for dropped(), once they have been read
         return links
     parts = large.groupBy("a").agg((F.max("part") + 1).alias("parts"))
     dealt = large.join(parts, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(F.col("a").alias("anchor"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), F.col("b").alias("fp"))
     key = ["anchor", "lo", "hi"]
     more = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(paired_links, LINKS)
-    return links.union(more.select("a", "b"))
+    links = links.union(more.select("a", "b"))
+    links._amalgam_path = path
+    return links
 
 
-def classes(docs: DataFrame, row: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, fp) and ``row`` of every row, and (fp, first, component) of every fingerprint."""
-    rows = saved(with_fingerprints(docs, row), "simhash")
-    each = saved(rows.groupBy("fp").agg(F.min(ordered(row)).alias("first")), "simhash-fp", rows.count())
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, fp) of every row, and (fp, first, component) of every fingerprint: ``first`` is its smallest row's doc_id and digest."""
+    rows = saved(with_fingerprints(docs), "simhash", docs.count())
+    # of a group's rows that with the smallest doc_id comes first, none last, then that of the smallest digest; n rows are alike in both
+    each = rows.groupBy("fp", F.col("doc_id").isNull().alias("none"), "doc_id", "digest").agg(F.count("*").alias("n"))
+    each = saved(each.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "digest", "n")).alias("first")), "simhash-fp", rows.count())
     n = each.count()
-    part = connected_components(fingerprint_links(each.select("fp")), n)
+    links = fingerprint_links(each.select("fp"))
+    part = connected_components(links, n)
     named = each.join(part, each["fp"] == part["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    return rows, saved(named, "simhash-class", n)
-
-
-def ordered(row: tuple[str, ...]) -> Column:
-    """What the smallest row of a group is told by: its doc_id, none last, then its text's digest, then ``row``."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", *row)
+    named = saved(named, "simhash-class", n)
+    for t in (links, part, each):
+        dropped(t)
+    return rows, named
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,14 +237,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """One row of each group, with all its columns: that with the smallest doc_id (none last), text digest and number.
+    """One row of each group, with all its columns: that with the smallest doc_id (none last), text digest and hash of its columns.
 
-    Rows are numbered as they are written to the shared folder, so a row has one number in both readings.
+    The texts are shuffled once at most; not if the kept ids fit a broadcast, but for rows that repeat a kept doc_id and its text.
     """
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    _, named = classes(numbered, ("_row",))
-    first = named.groupBy("component").agg(F.min("first")["_row"].alias("_row"))
-    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+    rows, named = classes(docs)
+    dropped(rows)
+    first = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept_doc"), F.col("first.digest").alias("_kept_digest"), F.col("first.n").alias("_kept_n"))
+    first = saved(first, "simhash-kept", named.count())
+    once, often = first.filter("_kept_n = 1"), first.filter("_kept_n > 1")
+    own = lambda kept: [docs["doc_id"].cast("long").eqNullSafe(kept["_kept_doc"]), F.xxhash64(docs["text"]) == kept["_kept_digest"]]
+    alone = docs.join(once, own(once), "left_semi")
+    if often.isEmpty():
+        return alone
+    alike = docs.join(often, own(often)).select(often["_kept_doc"], often["_kept_digest"], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    one = alike.groupBy("_kept_doc", "_kept_digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return alone.union(one.select("row.*"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ from amalgam.llm.bpe import Remembering
 from amalgam.llm.common import dropped, saved, table
 
 TOXIC, CLEAN, KEPT, GRADES, SURE = 1500, 3000, 512, 3, 0.5
+#: Files that the sample is kept in, and so tasks that read it.
+FILES = 16
 BEGINNINGS = (4, 5, 6, 7)
 KINDS = 1 + len(BEGINNINGS)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -144,7 +146,7 @@ def sample_counts(sample: DataFrame, column: dict[int, int]) -> tuple[np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    sample = saved(labelled(docs, labels).select("_id", "text", "toxic"), "toxic-sample")
+    sample = saved(labelled(docs, labels).select("_id", "text", "toxic").repartition(FILES), "toxic-sample")
     n_toxic, n_clean = (n or 0 for n in sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first())
     best = marking_features(sample, n_toxic, n_clean) if n_toxic and n_clean else []
     if not best:

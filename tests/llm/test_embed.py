@@ -97,6 +97,12 @@ def test_double_vectors_of_great_and_tiny_size(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False)}
 
 
+def test_vectors_of_whole_numbers(spark):
+    rows = [(1, [3, 4], 0), (2, [6, 8], 0), (3, [4, 3], 0), (4, [None, 1], 0)]
+    got = result(embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<int>, label int")))
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True)}
+
+
 def test_one_large_group_of_near_copies_in_parts(spark):
     rng = np.random.default_rng(5)
     c = rng.standard_normal(16)
