@@ -17,9 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amalgam.operators.project import render
 from amalgam.operators.store import CandidateStore
-from amalgam.plans.consolidate import batch_results, consolidate, extract, profiles_of, summary, write_batch
+from amalgam.plans.consolidate import answer, batch_results, consolidate, extract, profiles_of, summary, write_batch
 from amalgam.sources.detect import admitted
 from amalgam.sources.files import folder_items, text_of
 
@@ -83,20 +82,17 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> i
     if items is None:
         print("no sources given", file=sys.stderr)
         return 2
-    result = consolidate(items, a.as_of, config, **landed(spark, a))
-    line = render(result.drop("error")).first()["json"]
-    row = result.select("error", "_errors", "_warnings").first()
-    out = json.loads(line) if row["error"] is None else {"error": row["error"], "_errors": row["_errors"], "_warnings": row["_warnings"]}
+    out = answer(consolidate(items, a.as_of, config, **landed(spark, a)))
     text = json.dumps(out, indent=2, ensure_ascii=False)
     if a.output:
         Path(a.output).parent.mkdir(parents=True, exist_ok=True)
         Path(a.output).write_text(text, encoding="utf-8")
     else:
         print(text)
-    bad = bool(row["error"] or row["_errors"])
+    bad = bool(out.get("error") or out.get("_errors"))
     if a.store and not bad:
         stored(spark, a, items, spark.createDataFrame([("1",)], "run_id string"))
-    print(f"errors: {len(row['_errors'])}, warnings: {len(row['_warnings'])}", file=sys.stderr)
+    print(f"errors: {len(out.get('_errors', []))}, warnings: {len(out.get('_warnings', []))}", file=sys.stderr)
     return int(bad)
 
 

@@ -41,20 +41,18 @@ def fold(submissions: DataFrame, as_of: str, order: str = "submitted_at", keep_f
     keep = [c for c in submissions.columns if c not in ("run_id", order)]
     inner = [c for c in keep if c != "candidate_id"]
     stranger = F.col("candidate_id").isNull() | (F.col("candidate_id") == NOBODY)
-    once = submissions.filter(~stranger).groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct(order, *inner))).alias("all"))
-    gathered = once.select(F.col("candidate_id").alias("run_id"), "all", F.transform("all", as_record).alias("recs"))
+    # a group of each stranger's own; both branches below read the one exchange
+    apart = submissions.withColumn("_apart", F.when(stranger, F.monotonically_increasing_id()))
+    once = apart.groupBy("candidate_id", "_apart").agg(F.sort_array(F.collect_list(F.struct(order, *inner))).alias("all"))
+    only = F.get("all", 0)
+    alone = once.filter(F.size("all") == 1).select(*[F.col(c) if c == "candidate_id" else only[c].alias(c) for c in keep])
+    several = once.filter(F.size("all") > 1)
+    gathered = several.select(F.col("candidate_id").alias("run_id"), "all", F.transform("all", as_record).alias("recs"))
     folded = profiles(gathered, as_of, carry=("all",))
     told = F.concat(F.flatten(F.transform("all", lambda s: s["provenance"])), F.col("provenance"))
-    whole = score(folded.withColumn("provenance", told))
-
-    def value(c: str) -> Column:
-        # the fold's own id may differ from the key, as it follows from the merged e-mail and name
-        if c == "candidate_id":
-            return F.col("run_id").alias(c)
-        first = F.get("all", 0)[c]
-        return (first if c in keep_first else F.when(F.size("all") == 1, first).otherwise(F.col(c))).alias(c)
-
-    return whole.select(*map(value, keep)).unionByName(submissions.filter(stranger).select(*keep))
+    # the fold's own id may differ from the key, as it follows from the merged e-mail and name
+    value = lambda c: F.col("run_id").alias(c) if c == "candidate_id" else F.get("all", 0)[c].alias(c) if c in keep_first else F.col(c)
+    return score(folded.withColumn("provenance", told)).select(*map(value, keep)).unionByName(alone)
 
 
 def fold_pairs(existing: DataFrame, incoming: DataFrame, as_of: str, keep_first: tuple[str, ...] = ()) -> DataFrame:

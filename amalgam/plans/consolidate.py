@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from amalgam.operators.confidence import score
 from amalgam.operators.merge import merge
 from amalgam.operators.project import project, render
 from amalgam.sources import hr_json, profiles, prose, spreadsheet
-from amalgam.sources.detect import admitted
+from amalgam.sources.detect import admitted, source_type
 from amalgam.sources.files import folder_items
 
 
+#: Stands for a type that is not known, as a folder's name.
+UNKNOWN = "unknown"
+
+
 def extract(items: DataFrame, as_of: str, field_map: dict[str, str] | None = None, users: DataFrame | None = None, repositories: DataFrame | None = None) -> DataFrame:
     """Raw records of admitted sources (run_id, src_seq, source_type, content as text), each by the reader of its type.
 
@@ -33,6 +39,17 @@ def extract(items: DataFrame, as_of: str, field_map: dict[str, str] | None = Non
     return reduce(DataFrame.unionByName, parts)
 
 
+def landed_by_type(items: DataFrame, path: str) -> DataFrame:
+    """Items written once to ``path`` by their type (told or detected) and read again, so that each reader scans its own ones only.
+
+    For large tables of items that are not partitioned by ``source_type``: one reading and one writing instead of a reading for each reader.
+    """
+    kind = F.coalesce("source_type", source_type(F.col("content")), F.lit(UNKNOWN))
+    items.withColumn("source_type", kind).write.partitionBy("source_type").parquet(path)
+    kinds = T.StructType([f for f in items.schema if f.name != "source_type"]).add("source_type", "string")
+    return items.sparkSession.read.schema(kinds).parquet(path).withColumn("source_type", F.nullif("source_type", F.lit(UNKNOWN)))
+
+
 def profiles_of(raw: DataFrame, as_of: str) -> DataFrame:
     """Scored canonical profiles of raw records."""
     return score(merge(raw, as_of))
@@ -42,7 +59,7 @@ def consolidate(items: DataFrame, as_of: str, config: dict | None = None, **land
     """Projected profiles of all runs with ``_warnings``, ``_errors`` (the readers' and then the projection's) and ``error``.
 
     ``error`` is set where a run has no usable source, or none that could be read. Each reader filters on ``source_type``: land items
-    partitioned by it, so that a reader scans its own ones only.
+    partitioned by it (:func:`landed_by_type`), so that a reader scans its own ones only.
     """
     usable, runs = admitted(items)
     shaped = project(profiles_of(extract(usable, as_of, **landed), as_of), config)
@@ -58,6 +75,14 @@ def batch(spark: SparkSession, root: str, as_of: str, config: dict | None = None
     return batch_results(results), summary(results, folders)
 
 
+def answer(results: DataFrame) -> dict:
+    """The only run's result as a dictionary; only its diagnostics where it has an error."""
+    row = results.select("error", F.col("_errors").alias("errors"), F.col("_warnings").alias("warnings")).first()
+    if row["error"] is None:
+        return json.loads(render(results.drop("error")).first()["json"])
+    return {"error": row["error"]} | {f"_{k}": row[k] for k in ("errors", "warnings") if row[k]}
+
+
 def batch_results(results: DataFrame) -> DataFrame:
     """(run_id, json) of the candidates that have a profile."""
     return render(results.filter("error is null").drop("error"))

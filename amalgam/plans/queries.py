@@ -207,24 +207,26 @@ def ats_field_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hr_json.from_json(rows, {"display name": "full_name"}).select("run_id", "full_name")
 
 
-@query("""SELECT cast(s_suppkey AS varchar) AS run_id, CASE WHEN s_suppkey % 5 <> 4 AND s_suppkey % 7 <> 6 THEN s_name END AS full_name,
-    CASE WHEN s_suppkey % 5 = 4 OR s_suppkey % 7 = 6 OR s_suppkey % 3 = 2 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'https://me' || s_suppkey || '.example' ELSE 'http://me.example' END AS portfolio_url,
-    CASE WHEN s_suppkey % 5 <> 4 AND s_suppkey % 7 <> 6 THEN 'https://github.com/dev' || s_suppkey END AS github_url FROM supplier""")
+@query("""WITH n AS (SELECT l_suppkey, 'Lang' || l_partkey % 13 AS kind, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem WHERE l_partkey % 13 <> 5 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, first) AS k FROM n), top AS (SELECT l_suppkey, string_agg(kind, ',' ORDER BY k) AS skills FROM r WHERE k <= 10 GROUP BY l_suppkey),
+    s AS (SELECT *, s_suppkey % 5 <> 4 AND s_suppkey % 7 <> 6 AS there FROM supplier)
+  SELECT cast(s_suppkey AS varchar) AS run_id, CASE WHEN there THEN s_name END AS full_name, CASE WHEN NOT there OR s_suppkey % 3 = 2 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'https://me' || s_suppkey || '.example' ELSE 'http://me.example' END AS portfolio_url,
+    CASE WHEN there THEN 'https://github.com/dev' || s_suppkey END AS github_url, CASE WHEN there THEN coalesce(skills, '') ELSE '' END AS skills FROM s LEFT JOIN top ON l_suppkey = s_suppkey""")
 def github_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = "SELECT s_suppkey AS run_id, 0 AS src_seq, 'github_url' AS source_type, CASE WHEN s_suppkey % 5 = 4 THEN 'http://github.com/dev' || s_suppkey ELSE ' https://github.com/dev' || s_suppkey END AS content FROM supplier"
     users = """SELECT 'dev' || s_suppkey AS username, '{"name":"' || s_name || '","blog":"' || CASE s_suppkey % 3 WHEN 0 THEN ' me' || s_suppkey || '.example' WHEN 1 THEN 'http://me.example' ELSE '' END || '"}' AS profile FROM supplier WHERE s_suppkey % 7 <> 6"""
-    languages = spark.createDataFrame([], "username string, seq int, language string")
-    raw = profiles.from_developer_urls(I.view(spark, sf_dir, urls), I.view(spark, sf_dir, users), languages)
-    return raw.select("run_id", "full_name", "portfolio_url", "github_url")
+    languages = "SELECT 'dev' || l_suppkey AS username, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 13 <> 5 THEN 'Lang' || l_partkey % 13 END AS language FROM lineitem"
+    raw = profiles.from_developer_urls(I.view(spark, sf_dir, urls), I.view(spark, sf_dir, users), I.view(spark, sf_dir, languages))
+    return raw.select("run_id", "full_name", "portfolio_url", "github_url", F.array_join("skills_raw", ",").alias("skills"))
 
 
-@query("""WITH n AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL),
+@query("""WITH n AS (SELECT user_id, event_type || '-' || event_id % 5 AS kind, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS k FROM n)
-  SELECT cast(user_id AS varchar) AS username, string_agg(event_type, ',' ORDER BY k) AS languages FROM r WHERE k <= 3 GROUP BY user_id""")
+  SELECT cast(user_id AS varchar) AS username, string_agg(kind, ',' ORDER BY k) AS languages FROM r WHERE k <= 10 GROUP BY user_id""")
 def language_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The histogram operator over events; three of the five types there are, so that the limit shows."""
-    rows = I.view(spark, sf_dir, "SELECT cast(user_id AS string) AS username, event_id AS seq, event_type AS language FROM events")
-    return profiles.top_languages(rows, 3).select("username", F.array_join("languages", ",").alias("languages"))
+    """The histogram operator over events of 25 kinds, with its own limit of ten."""
+    rows = I.view(spark, sf_dir, "SELECT cast(user_id AS string) AS username, event_id AS seq, event_type || '-' || event_id % 5 AS language FROM events")
+    return profiles.top_languages(rows).select("username", F.array_join("languages", ",").alias("languages"))
 
 
 @query("""SELECT cast(c_custkey AS varchar) AS run_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'G' || c_custkey || ' Fam' END AS full_name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'local' END AS headline,
