@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from amalgam.functions import dictionaries as D
-from amalgam.functions.normalize import U, date, let, phone, strip
+from amalgam.functions.normalize import U, date, let, literal, phone, strip
 
 LETTER = r"[\p{L}\p{N}_]"
 
@@ -86,7 +86,7 @@ def keyword_skills(text: Column) -> Column:
     pattern = rf"(?<!{LETTER})(?:" + "|".join(map(_keyword_pattern, longest)) + ")"
     inner = _inner_keywords()
     inside = F.create_map(*[x for k, v in inner.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in D.SKILLS.items()])
+    known = F.expr("array(" + ", ".join(f"named_struct('k', {literal(k)}, 'v', {literal(v)})" for k, v in D.SKILLS.items()) + ")")
 
     def named(found: Column) -> Column:
         more = F.flatten(F.array_compact(F.transform(found, lambda k: F.try_element_at(inside, k))))

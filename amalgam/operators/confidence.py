@@ -10,10 +10,7 @@ from amalgam.functions import normalize as N
 
 
 def base(name: Column, unknown: float) -> Column:
-    out = F
-    for k, v in D.CONFIDENCE.items():
-        out = out.when(name == k, v)
-    return out.otherwise(unknown)
+    return F.coalesce(F.try_element_at(N.literal_map(D.CONFIDENCE), name), F.lit(unknown))
 
 
 def source_confidence(source: Column, method: Column) -> Column:

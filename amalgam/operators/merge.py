@@ -24,10 +24,7 @@ SCALARS = {
 
 
 def priority(source: Column) -> Column:
-    out = F
-    for i, s in enumerate(D.SOURCES):
-        out = out.when(source == s, i)
-    return out.otherwise(D.UNKNOWN_PRIORITY)
+    return F.coalesce(F.try_element_at(N.literal_map({s: i for i, s in enumerate(D.SOURCES)}), source), F.lit(D.UNKNOWN_PRIORITY))
 
 
 def provenance(field: str, source: Column | str, method: str, note: Column | None = None) -> Column:
