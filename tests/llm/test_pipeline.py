@@ -132,9 +132,9 @@ def test_stages_equal_their_descriptions(spark):
 def test_edges_through_all_stages(spark, edge_texts, tmp_path):
     """Nulls in any column, empty and very long texts, ties, repeated rows and clashing columns."""
     toxic, fine = "you gnarf person at the gate", "a fine quiet day at the long shore number"
-    rows = [(i, f"{toxic} {i}" if i % 4 == 0 else f"{fine} {i} {'word ' * (i % 7)}", "en" if i % 3 else "de", f"s{i % 2}") for i in range(80)]
-    rows += [(None, t, None, None) for t in edge_texts] + [(100, None, "en", None), (100, "", None, "s1"), (None, None, None, None)]
-    rows += [(200, "the very same text of a few words", "en", "s0")] * 3 + [(None, "the very same text of a few words", None, "s1")] * 2
+    rows = [(i, f"{toxic} {i}" if i % 4 == 0 else f"{fine} {i} {'word ' * (i % 7)}", ["en", "de", None][i % 3], ["s0", "s1", None][i % 3]) for i in range(80)]
+    rows += [(None, t, ["en", None][i % 2], ["s0", None][i % 2]) for i, t in enumerate(edge_texts)] + [(100, None, "en", "s0"), (100, "", "de", "s1"), (None, None, None, None)]
+    rows += [(200, "the very same text of a few words", "en", "s0")] * 3 + [(None, "the very same text of a few words", None, None)] * 2
     clash = "doc_id long, text string, lang string, source string, n_chars long, _row long, fp long, toxic int, topic string, w double, tokens long, at array<int>, key string, _mix_copies int"
     docs = spark.createDataFrame([(*r, len(r[1] or ""), 1, 1, 1, "t", 1.0, 1, [1], "k", 1) for r in rows], clash)
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "z") for i in range(80)] + [(None, 1, 1, "z"), (3, None, None, "z")], "doc_id long, quality int, toxic int, text string")
