@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from amalgam.llm import bpe, embed, licenses, mixing, quality, shards, simhash, sketch, token_files, toxicity
+from amalgam.llm import bpe, embed, licenses, mixing, packing, periodic, quality, resample, shards, simhash, sketch, token_files, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embed.op1_embedding_near_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": shards.op8_sharding,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_power_of_two_packing": packing.op12_power_of_two_packing,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 #: All pairs of equal label, and what they reach.
@@ -87,4 +90,23 @@ MIXING = r"""WITH RECURSIVE doc AS (SELECT doc_id, coalesce(source, '') AS sourc
     counted AS (SELECT *, CAST(floor(expected) AS BIGINT) + CASE WHEN draw < expected - floor(expected) THEN 1 ELSE 0 END AS copies FROM decided)
   SELECT doc_id, source, lang, topic, tokens, factor, least(1.0, expected) AS probability, expected, copies > 0 AS sampled, CAST(copies AS BIGINT) AS copies FROM counted"""
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDINGS, "op6_license_scan": LICENCES, "op9_source_mixing": MIXING}
+#: CRC32 byte by byte over distinct words, gains by bucket, and one order of all scores.
+RESAMPLING = r"""WITH RECURSIVE bit AS (SELECT range AS b, range AS c, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+    byte AS (SELECT b, c FROM bit WHERE k = 8),
+    text AS (SELECT 0 AS side, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+    word AS (SELECT side, rid, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM text),
+    each AS (SELECT side, rid, w, count(*) AS n FROM word GROUP BY ALL),
+    roll AS (SELECT w, hex(encode(w)) AS hx, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT w FROM each)
+      UNION ALL SELECT w, hx, i + 1, xor(roll.c >> 8, byte.c) FROM roll JOIN byte ON byte.b = xor(roll.c & 255, CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT)) WHERE 2 * i < length(hx)),
+    hashed AS (SELECT w, xor(c, 4294967295) % 10000 AS bucket FROM roll WHERE 2 * i = length(hx)),
+    held AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM each JOIN hashed USING (w) GROUP BY bucket),
+    whole AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM held),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM held CROSS JOIN whole),
+    weighed AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM each JOIN hashed USING (w) JOIN gain USING (bucket) WHERE side = 0 GROUP BY rid),
+    scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM text LEFT JOIN weighed USING (rid) WHERE side = 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS eligible FROM scored)
+  SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM placed"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDINGS, "op6_license_scan": LICENCES, "op9_source_mixing": MIXING, "op11_importance_resampling": RESAMPLING}
