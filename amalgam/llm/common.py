@@ -83,9 +83,18 @@ def block_of(column: Column, bounds: list) -> Column:
     return F.get(F.transform(F.array(first), lambda n: F.when(n > 0, (n - 1) * width + below(F.get(inner, n - 1))).otherwise(0)), 0)
 
 
-def default_blocks(spark: SparkSession) -> int:
-    """Four blocks for each shuffle partition, so that the cluster's own setting scales them."""
-    return max(16, min(1 << 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+#: Bytes of a block by Spark's estimate of the input's size, rows that a block has at least where that decides, and the most
+#: blocks (their bounds are literals of a plan; larger blocks only take longer).
+BLOCK_BYTES, BLOCK_ROWS, MOST_BLOCKS = 64 << 20, 1000, 1 << 16
+
+
+def default_blocks(rows: DataFrame) -> int:
+    """As many blocks as the input's size asks for (as far as its rows do), and four for each shuffle partition at least."""
+    known = max(16, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size // BLOCK_BYTES > known:  # the estimate may be far too high, or say that nothing is known
+        known = max(known, min(size // BLOCK_BYTES, rows.count() // BLOCK_ROWS))
+    return min(MOST_BLOCKS, known)
 
 
 @dataclass

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.llm.common import connected_components, dropped, saved, table
@@ -236,6 +236,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hashable(docs: DataFrame, prefix: str = "") -> list[Column]:
+    """All columns; those that hold maps or variants, which have no hash, as JSON."""
+    unhashed = lambda kind: "map<" in kind or "variant" in kind
+    columns = [(kind, F.col(prefix + quoted(name))) for name, kind in docs.dtypes]
+    return [F.to_json(F.struct(c.alias("v"))) if unhashed(kind) else c for kind, c in columns]
+
+
 def kept_rows(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: that with the smallest doc_id (none last), text digest and hash of its columns.
 
@@ -250,8 +261,8 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     alone = docs.join(once, own(once), "left_semi")
     if often.isEmpty():
         return alone
-    alike = docs.join(often, own(often)).select(often["_kept_doc"], often["_kept_digest"], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    one = alike.groupBy("_kept_doc", "_kept_digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    alike = docs.join(often, own(often)).select(often["_kept_doc"], often["_kept_digest"], F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"))
+    one = alike.groupBy("_kept_doc", "_kept_digest").agg(F.min_by("row", F.xxhash64(*hashable(docs, "row."))).alias("row"))
     return alone.union(one.select("row.*"))
 
 

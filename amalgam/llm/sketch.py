@@ -176,7 +176,8 @@ def in_id_order(docs: DataFrame, guests: bool, blocks: int | None = None) -> Dat
     """Documents in blocks of ascending (doc_id, text), sorted; with ``guests`` each block ends with the next block's first one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(-(2**63))))
-    cut = cut_blocks(rows.select("at", "text"), blocks or default_blocks(docs.sparkSession))
+    blocks = blocks or default_blocks(rows)
+    cut = cut_blocks(rows.select("at", "text"), blocks)
     rows = rows.withColumn("block", cut.of(F.col("at"), F.col("text")))
     order = ["block", "at", "text"]
     if guests:
@@ -199,7 +200,8 @@ def in_id_order(docs: DataFrame, guests: bool, blocks: int | None = None) -> Dat
         order.insert(1, "guest")
     else:
         rows = rows.withColumn("guest", F.lit(0))
-    return rows.repartition("block").sortWithinPartitions(*order).select("block", "guest", "doc_id", "text")
+    # as many tasks as blocks ask for, whatever the shuffle setting
+    return rows.repartition(-(-blocks // 4), "block").sortWithinPartitions(*order).select("block", "guest", "doc_id", "text")
 
 
 def version_fingerprints(docs: DataFrame, batch_rows: int = 400, blocks: int | None = None) -> DataFrame:

@@ -5,9 +5,10 @@ token ids, and 64-bit words. A word's top four bits select how many ids of how m
 escape, after which the next word holds one id of more than 60 bits as it is. Blocks start at a word of their own, so any
 block can be decoded alone; packing and decoding run over all blocks of a file at once in numpy.
 
-Documents are written in ascending doc_id (none first, equal ones by text) in blocks of ids; a file of block b and part p
-comes before those of later parts and blocks. A file is written under another name and then renamed, so a repeated task
-replaces it by the same bytes. Null and empty texts give the end id only; very long texts are encoded whole; repeated rows
+Documents are written in ascending doc_id (none first, equal ones by text) in blocks of ids; a file's header names its block
+and part, and a file comes before those of later parts and blocks. Spark's own writer puts the bytes into the folder, a file
+for each row, on any file system that Spark can write, and commits them, so a repeated task leaves one file; the line end
+that it adds is not read. Null and empty texts give the end id only; very long texts are encoded whole; repeated rows
 are documents of their own, and ties between equal rows change nothing; further columns, whatever their names, are not
 read; an empty table gives no file.
 """
@@ -17,7 +18,6 @@ from __future__ import annotations
 import gc
 import os
 import struct
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amalgam.llm.bpe import Encoder, default_vocabulary
-from amalgam.llm.common import saved, scratch_path, table
+from amalgam.llm.common import scratch_path, table
 from amalgam.llm.sketch import in_id_order
 
 END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 500_000
@@ -41,7 +41,8 @@ SMALL = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(
 #: White space (in Unicode's sense) before a space or a line end, or after a line end.
 _WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 ODD_SPACE = rf"{_WHITE}[ \n]|\n{_WHITE}"
-MAGIC, HEADER = b"AMS8", struct.Struct("<4s4Q")
+#: Header: magic, block and part, then the numbers of documents, ids, blocks of ids and words, most significant byte first.
+MAGIC, HEADER = b"AMS8", struct.Struct(">4s2I4Q")
 
 
 def widths(values: np.ndarray) -> np.ndarray:
@@ -118,15 +119,15 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = 0, part: int = 0) -> bytes:
     words, offsets = pack(ids)
     parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], "u1"), np.array(lengths, "<i8"), offsets.astype("<i8"), words.astype("<u8")]
-    return HEADER.pack(MAGIC, len(doc_ids), len(ids), len(offsets) - 1, len(words)) + b"".join(p.tobytes() for p in parts)
+    return HEADER.pack(MAGIC, block, part, len(doc_ids), len(ids), len(offsets) - 1, len(words)) + b"".join(p.tobytes() for p in parts)
 
 
 def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, each document's length, block offsets, words and all ids of a file."""
-    magic, n_docs, n_ids, n_blocks, n_words = HEADER.unpack_from(content)
+    magic, _, _, n_docs, n_ids, n_blocks, n_words = HEADER.unpack_from(content)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = HEADER.size
@@ -140,9 +141,14 @@ def read_file(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray,
     return [int(d) if known else None for d, known in zip(out[0], out[1], strict=True)], out[2], out[3], out[4], ids
 
 
+def place(content: bytes) -> tuple[int, int]:
+    """Block and part of a file."""
+    return HEADER.unpack_from(content)[1:3]
+
+
 def read_block(content: bytes, block: int) -> np.ndarray:
     """The ids of one block alone."""
-    _, n_docs, _, n_blocks, n_words = HEADER.unpack_from(content)
+    _, _, _, n_docs, _, n_blocks, n_words = HEADER.unpack_from(content)
     at = HEADER.size + 17 * n_docs
     first, end = np.frombuffer(content, "<i8", n_blocks + 1, at)[block : block + 2]
     return unpack(np.frombuffer(content, "<u8", int(end - first), at + 8 * (n_blocks + 1) + 8 * int(first)))
@@ -237,24 +243,14 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS, blocks: int | None = None) -> DataFrame:
-    """Write all documents' ids, each with the end id, as files in ``folder``; returns (block, part, n_docs, n_ids)."""
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, file_ids: int = FILE_IDS, blocks: int | None = None) -> None:
+    """Write all documents' ids, each with the end id, as files in ``folder``."""
     path = path or default_vocabulary()
-    schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("content", pa.binary())])
 
     def put(block: int, part: int, doc_ids: list, ids: list) -> pa.RecordBatch:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        name = f"{root}/tokens-{block:05d}-{part:05d}.s8b"
-        draft = f"{root}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as f:
-            f.write(file_bytes(doc_ids, [len(i) + 1 for i in ids[::2]], np.concatenate(ids)))  # each document's ids, then the end id
-        if store.get_file_info(name).type != fs.FileType.NotFound:
-            store.delete_file(name)  # of an attempt before; some stores don't rename onto a file
-        store.move(draft, name)
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, part, len(doc_ids), sum(map(len, ids))), schema, strict=True)], schema=schema)
+        content = file_bytes(doc_ids, [len(i) + 1 for i in ids[::2]], np.concatenate(ids), block, part)  # each document's ids, then the end id
+        return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
@@ -280,27 +276,39 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, fil
         finally:
             gc.enable()
 
-    return saved(in_id_order(docs, False, blocks).mapInArrow(run, "block int, part int, n_docs long, n_ids long"), "token-files")
+    files = in_id_order(docs, False, blocks).mapInArrow(run, "content binary")
+    # the text writer takes a string's bytes as they are
+    files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
+
+
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).filter("length > 0").select("content")
+
+
+def headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(block, part, n_docs, n_ids) of each file."""
+    number = lambda at, size, kind: F.conv(F.hex(F.substring("content", at, size)), 16, 10).cast(kind)
+    return contents(spark, folder).select(number(5, 4, "int").alias("block"), number(9, 4, "int").alias("part"), number(13, 8, "long").alias("n_docs"), number(21, 8, "long").alias("n_ids"))
 
 
-def read_token_files(files: DataFrame, folder: str) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: doc_id, start, n_tokens and ids (binary, little-endian unsigned 32-bit), read from the files."""
-    spark = files.sparkSession
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                block, part = map(int, path.as_py().rsplit("/", 1)[1].removesuffix(".s8b").split("-")[1:])
-                doc_ids, lengths, _, _, ids = read_file(content.as_buffer())
+            for content in batch.column(0):
+                raw = content.as_buffer()
+                block, part = place(raw)
+                doc_ids, lengths, _, _, ids = read_file(raw)
                 ends = np.r_[0, np.cumsum(lengths)]
                 # one buffer holds all ids; the offsets cut it into documents
-                raw = pa.Array.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                columns = [[block] * len(doc_ids), [part] * len(doc_ids), doc_ids, ends[:-1], lengths, raw]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                whole = pa.Array.from_buffers(pa.large_binary(), len(doc_ids), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids.astype("<u4"))])
+                columns = [pa.array([block] * len(doc_ids), pa.int32()), pa.array([part] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ends[:-1]), pa.array(lengths)]
+                yield pa.RecordBatch.from_arrays([*columns, whole.cast(pa.binary())], schema=schema)
 
-    content = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder)
-    rows = content.select("path", "content").mapInArrow(run, "block int, part int, doc_id long, at long, n_tokens long, ids binary")
+    files = headers(spark, folder)
+    rows = contents(spark, folder).mapInArrow(run, "block int, part int, doc_id long, at long, n_tokens long, ids binary")
     # ids before a block: its window holds one row for each of a bounded number of blocks
     blocks = files.groupBy("block").agg(F.sum("n_ids").alias("n"))
     blocks = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
@@ -311,10 +319,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
 def checksums(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS, blocks: int | None = None) -> DataFrame:
     folder = scratch_path(docs.sparkSession, "tokens")
-    files = write_token_files(docs, folder, path, file_ids, blocks)
-    if files.isEmpty():
-        return files.select(*(F.lit(0).cast("long").alias(c) for c in ("doc_id", "start", "n_tokens", "ids_crc32"))).limit(0)
-    return read_token_files(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    write_token_files(docs, folder, path, file_ids, blocks)
+    return read_token_files(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

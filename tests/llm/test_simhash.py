@@ -135,3 +135,15 @@ def test_stage_keeps_one_row_a_group(spark, documents):
 def test_empty_table(documents):
     assert simhash.near_duplicates(documents([])).collect() == []
     assert documents([]).filter(F.lit(True)).count() == 0
+
+
+def test_kept_rows_with_columns_that_have_no_hash(spark):
+    """Maps, nested ones, and names with dots or quotes go along, where rows are repeated too."""
+    rows = [(7, "x y z w", {"a": 1}, [{"k": {"b": 2}}], "p"), (7, "x y z w", {"a": 1}, [{"k": {"b": 2}}], "p"), (7, "x y z w", {"a": 0}, None, "q"), (8, "other words stand here", {"c": 3}, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `a.b` array<struct<k:map<string,int>>>, `q``t` string")
+    docs = docs.selectExpr("*", "parse_json('{\"v\": 1}') AS variant")
+    out = simhash.kept_rows(docs).select("doc_id", "m", "`a.b`", "`q``t`").collect()
+    assert sorted(r.doc_id for r in out) == [7, 8]
+    assert [r for r in out if r.doc_id == 8][0].m == {"c": 3}
+    again = simhash.kept_rows(docs.repartition(5)).select("doc_id", "m", "`a.b`", "`q``t`").collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))

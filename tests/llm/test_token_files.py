@@ -44,13 +44,29 @@ def test_hot_ids_in_many_blocks(documents):
     check(token_files.checksums(documents(texts, ids=ids), file_ids=40, blocks=20).collect(), order)
 
 
-def test_a_repeated_task_replaces_its_files(documents, tmp_path):
-    folder = f"file://{tmp_path}/tokens"
-    docs = documents(["a b", "c"])
-    token_files.write_token_files(docs, folder)
-    before = sorted((p.name, p.read_bytes()) for p in (tmp_path / "tokens").iterdir())
-    token_files.write_token_files(docs, folder)
-    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "tokens").iterdir()) == before
+def test_any_file_system_that_spark_writes(spark, documents, edge_texts, tmp_path):
+    """A folder whose scheme only Hadoop knows, and one file for each few documents in it."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./out", f"file://{tmp_path}")
+    folder = "viewfs://tokens/out/files"
+    docs = documents(edge_texts)
+    token_files.write_token_files(docs, folder, file_ids=3)
+    rows = token_files.read_token_files(spark, folder)
+    check(rows.selectExpr("doc_id", "start", "n_tokens", "crc32(ids) AS ids_crc32").collect(), list(enumerate(edge_texts)))
+    told = token_files.headers(spark, folder).collect()
+    assert len(told) > 3  # an empty task may leave an empty file, which is none
+    assert sum(r.n_docs for r in told) == len(edge_texts) and len({(r.block, r.part) for r in told}) == len(told)
+
+
+def test_blocks_follow_the_size_of_the_input(spark, documents, monkeypatch):
+    from amalgam.llm import common
+
+    docs = documents(["some words"] * 300)
+    assert common.default_blocks(docs) == 32
+    monkeypatch.setattr(common, "BLOCK_ROWS", 5)
+    assert common.default_blocks(docs) == 60
+    monkeypatch.setattr(common, "MOST_BLOCKS", 50)
+    assert common.default_blocks(docs) == 50
+    check(token_files.checksums(docs).collect(), [(i, "some words") for i in range(300)])
 
 
 def test_empty_table(documents):
