@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amalgam.llm.bpe import Encoder, default_vocabulary
-from amalgam.llm.common import scratch_path, table
+from amalgam.llm.common import saved, scratch_path, table
 from amalgam.llm.sketch import in_id_order
 
 END_ID, FILE_IDS, BLOCK, REMEMBERED = 2, 1 << 20, 1024, 500_000
@@ -291,8 +291,8 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     return contents(spark, folder).select(number(5, 4, "int").alias("block"), number(9, 4, "int").alias("part"), number(13, 8, "long").alias("n_docs"), number(21, 8, "long").alias("n_ids"))
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document: doc_id, start, n_tokens and ids (binary, little-endian unsigned 32-bit), read from the files."""
+def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document of the files: block, part, doc_id, at (ids before it in its file), n_tokens and ids (binary, little-endian unsigned 32-bit)."""
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,20 +307,33 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 columns = [pa.array([block] * len(doc_ids), pa.int32()), pa.array([part] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ends[:-1]), pa.array(lengths)]
                 yield pa.RecordBatch.from_arrays([*columns, whole.cast(pa.binary())], schema=schema)
 
-    files = headers(spark, folder)
-    rows = contents(spark, folder).mapInArrow(run, "block int, part int, doc_id long, at long, n_tokens long, ids binary")
+    return contents(spark, folder).mapInArrow(run, "block int, part int, doc_id long, at long, n_tokens long, ids binary")
+
+
+def with_starts(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows of :func:`decoded` with ``start``, the ids of all documents before: their files' headers are counted and met by block and part.
+
+    Where there are so many files that Spark does not broadcast them, the rows are shuffled: leave out ``ids`` if only a digest is wanted.
+    """
+    files = saved(headers(rows.sparkSession, folder), "token-files")
     # ids before a block: its window holds one row for each of a bounded number of blocks
     blocks = files.groupBy("block").agg(F.sum("n_ids").alias("n"))
     blocks = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
     parts = files.select("block", "part", (F.sum("n_ids").over(Window.partitionBy("block").orderBy("part")) - F.col("n_ids")).alias("inside"))
     starts = parts.join(blocks, "block").select("block", "part", (F.col("before") + F.col("inside")).alias("base"))
-    return rows.join(starts, ["block", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return rows.join(starts, ["block", "part"]).withColumn("start", F.col("base") + F.col("at")).drop("block", "part", "base", "at")
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: doc_id, start, n_tokens and ids, read from the files."""
+    return with_starts(decoded(spark, folder), folder).select("doc_id", "start", "n_tokens", "ids")
 
 
 def checksums(docs: DataFrame, path: str | None = None, file_ids: int = FILE_IDS, blocks: int | None = None) -> DataFrame:
     folder = scratch_path(docs.sparkSession, "tokens")
     write_token_files(docs, folder, path, file_ids, blocks)
-    return read_token_files(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    rows = decoded(docs.sparkSession, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return with_starts(rows, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
