@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.operators.store import CandidateStore
-from amalgam.plans.consolidate import answer, batch_results, consolidate, extract, profiles_of, summary, write_batch
-from amalgam.sources.detect import admitted
+from amalgam.plans.consolidate import answer, batch_results, evaluated, summary, write_batch
 from amalgam.sources.files import folder_items, text_of
 
 ITEM = "run_id string, src_seq int, source_type string, path string, content binary"
@@ -48,11 +47,9 @@ def given_items(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
     return spark.createDataFrame(rows, ITEM).select("run_id", "src_seq", "source_type", text_of(F.col("source_type"), F.col("content")).alias("content")) if rows else None
 
 
-def stored(spark: SparkSession, a: argparse.Namespace, items: DataFrame, faultless: DataFrame) -> None:
+def stored(spark: SparkSession, a: argparse.Namespace, profiles: DataFrame, faultless: DataFrame) -> None:
     """Save the whole profiles of the candidates without errors."""
-    usable, _ = admitted(items)
-    profiles = profiles_of(extract(usable, a.as_of, **landed(spark, a)), a.as_of).join(faultless, "run_id", "left_semi")
-    CandidateStore(spark, a.store).save(profiles, f"{datetime.now(UTC):%Y-%m-%d %H:%M:%S}", a.as_of)
+    CandidateStore(spark, a.store).save(profiles.join(faultless, "run_id", "left_semi"), f"{datetime.now(UTC):%Y-%m-%d %H:%M:%S}", a.as_of)
 
 
 def landed(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
@@ -69,20 +66,21 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> i
         except FileNotFoundError as e:
             print(e, file=sys.stderr)
             return 2
-        results = consolidate(items, a.as_of, config, **landed(spark, a))
+        results, profiles = evaluated(items, a.as_of, config, **landed(spark, a))
         told = summary(results, folders)
         if a.output:
             write_batch(batch_results(results), told, a.output)
         n = {r["status"]: r["count"] for r in told.groupBy("status").count().collect()}
         print(f"{n.get('ok', 0)}/{sum(n.values())} succeeded", file=sys.stderr)
         if a.store:
-            stored(spark, a, items, told.filter("status = 'ok'").select(F.col("folder").alias("run_id")))
+            stored(spark, a, profiles, told.filter("status = 'ok'").select(F.col("folder").alias("run_id")))
         return int(n.get("error", 0) > 0)
     items = given_items(spark, a)
     if items is None:
         print("no sources given", file=sys.stderr)
         return 2
-    out = answer(consolidate(items, a.as_of, config, **landed(spark, a)))
+    results, profiles = evaluated(items, a.as_of, config, **landed(spark, a))
+    out = answer(results)
     text = json.dumps(out, indent=2, ensure_ascii=False)
     if a.output:
         Path(a.output).parent.mkdir(parents=True, exist_ok=True)
@@ -91,7 +89,7 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> i
         print(text)
     bad = bool(out.get("error") or out.get("_errors"))
     if a.store and not bad:
-        stored(spark, a, items, spark.createDataFrame([("1",)], "run_id string"))
+        stored(spark, a, profiles, spark.createDataFrame([("1",)], "run_id string"))
     print(f"errors: {len(out.get('_errors', []))}, warnings: {len(out.get('_warnings', []))}", file=sys.stderr)
     return int(bad)
 

@@ -1,22 +1,11 @@
-"""Connected components of links, and reliable checkpoints for iterative plans."""
+"""Connected components of links."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the folder of ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not known and not context.master.startswith("local") or context.master.startswith("local-cluster") and not known:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="amalgam-"))
-    return df.checkpoint()
+from amalgam.operators.scratch import deleted, materialised
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -26,7 +15,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     smallest of them; trees flatten to stars in a logarithmic number of rounds. A node of many links is met by its minimum alone,
     which partial aggregation finds, so no node's links are gathered in one place. It is over when a round changes no link.
     """
-    now = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = materialised(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     told = None
     for _ in range(rounds):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
@@ -39,5 +28,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        now = checkpointed(small.filter("a <> b").distinct())
+        old, (now, path) = path, materialised(small.filter("a <> b").distinct(), "links")
+        deleted(links.sparkSession, old)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amalgam.operators.components import checkpointed, components
+from amalgam.operators.components import components
+from amalgam.operators.scratch import materialised
 
 BLOCK, THRESHOLD, ROUNDS = 50, 0.95, 25
 #: Levels of each field, the highest for full agreement; and where the fit begins: shares among matches and among the rest.
@@ -189,7 +190,7 @@ def resolve(records: DataFrame, threshold: float = THRESHOLD, most: int = BLOCK)
     ``records``: id, name, email, phone, place. A record without values, or in purged blocks only, is a person of its own.
     """
     people = prepared(records)
-    pairs = checkpointed(compared(candidate_pairs(blocked(people, most), most)))
+    pairs, _ = materialised(compared(candidate_pairs(blocked(people, most), most)), "pairs")
     links = scored(pairs, fit(pairs)).filter(F.col("probability") >= threshold).select("a", "b", "probability")
     ends = links.select(F.col("a").alias("id"), "probability").union(links.select("b", "probability"))
     direct = ends.groupBy("id").agg(F.count("*").alias("n_links"), F.max("probability").alias("probability"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from amalgam.operators.fold import NOBODY, fold_pairs
+from amalgam.operators.scratch import deleted, materialised
 
 BUCKETS, ATTEMPTS = 64, 20
 
@@ -89,8 +90,12 @@ class CandidateStore:
     def save(self, profiles: DataFrame, created_at: str, as_of: str, batch: tuple[str, int] | None = None) -> DataFrame:
         """Insert profiles, folding those of a candidate into one another and into the stored one. ``created_at``: of new rows.
 
-        ``batch``: a stream's name and the number of its batch; one that was saved before is left out.
+        ``batch``: a stream's name and the number of its batch; one that was saved before is left out. The profiles are evaluated once,
+        however often the version has to be made anew.
         """
+        if batch and self._manifest()["batches"].get(batch[0], -1) >= batch[1]:
+            return self.current()
+        profiles, path = materialised(profiles, "incoming")
         for _ in range(ATTEMPTS):
             base = self._manifest()
             if batch and base["batches"].get(batch[0], -1) >= batch[1]:
@@ -99,6 +104,7 @@ class CandidateStore:
                 break
         else:
             raise RuntimeError(f"other savers took every one of {ATTEMPTS} versions")
+        deleted(self.spark, path)
         return self.current()
 
     def _written(self, base: dict, profiles: DataFrame, created_at: str, as_of: str, batch: tuple[str, int] | None) -> dict:
@@ -119,8 +125,13 @@ class CandidateStore:
         return base | {"number": base["number"] + 1, "schema": base["schema"] or merged.schema.json(), "folders": folders, "batches": batches}
 
     def vacuum(self) -> None:
-        """Delete folders that the current version does not use. Not while others read older versions or save."""
-        used = {v.split("/")[0] for v in self._manifest()["folders"].values()}
+        """Delete folders and manifests that the current version does not use. Not while others read older versions or save."""
+        now = self._manifest()
+        folder = self._path("manifests")
+        for f in folder.getFileSystem(self._conf).listStatus(folder) if now["number"] else []:
+            if f.getPath().getName() < f"{now['number']:012d}.json":
+                folder.getFileSystem(self._conf).delete(f.getPath(), False)
+        used = {v.split("/")[0] for v in now["folders"].values()}
         files = self._path().getFileSystem(self._conf)
         for f in files.listStatus(self._path()):
             name = f.getPath().getName()

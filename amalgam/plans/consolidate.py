@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from amalgam.operators.confidence import score
 from amalgam.operators.merge import merge
 from amalgam.operators.project import project, render
+from amalgam.operators.scratch import materialised
 from amalgam.sources import hr_json, profiles, prose, spreadsheet
 from amalgam.sources.detect import admitted, source_type
 from amalgam.sources.files import folder_items
@@ -62,16 +63,29 @@ def consolidate(items: DataFrame, as_of: str, config: dict | None = None, **land
     partitioned by it (:func:`landed_by_type`), so that a reader scans its own ones only.
     """
     usable, runs = admitted(items)
-    shaped = project(profiles_of(extract(usable, as_of, **landed), as_of), config)
+    return shaped(runs, profiles_of(extract(usable, as_of, **landed), as_of), config)
+
+
+def shaped(runs: DataFrame, profiles: DataFrame, config: dict | None = None) -> DataFrame:
+    """Profiles projected, with what :func:`admitted` says of their runs."""
+    projected = project(profiles, config)
     runs = runs.select(F.col("run_id").cast("string").alias("run_id"), F.col("warnings").alias("_warnings"), F.col("errors").alias("_read"), "error")
     none = F.array().cast("array<string>")
-    return runs.join(shaped, "run_id", "left").withColumn("_errors", F.concat("_read", F.coalesce("_errors", none))).drop("_read")
+    return runs.join(projected, "run_id", "left").withColumn("_errors", F.concat("_read", F.coalesce("_errors", none))).drop("_read")
+
+
+def evaluated(items: DataFrame, as_of: str, config: dict | None = None, **landed) -> tuple[DataFrame, DataFrame]:
+    """The results of :func:`consolidate` and the whole profiles, each written once, for all that reads them."""
+    usable, runs = admitted(items)
+    profiles, _ = materialised(profiles_of(extract(usable, as_of, **landed), as_of), "profiles")
+    results, _ = materialised(shaped(runs, profiles, config), "results")
+    return results, profiles
 
 
 def batch(spark: SparkSession, root: str, as_of: str, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(run_id, json) of all candidate folders directly in ``root``, and the summary of :func:`summary`."""
+    """(run_id, json) of all candidate folders directly in ``root``, and the summary of :func:`summary`. Files are read once, and so is the plan evaluated."""
     items, folders = folder_items(spark, root)
-    results = consolidate(items, as_of, config)
+    results, _ = evaluated(items, as_of, config)
     return batch_results(results), summary(results, folders)
 
 

@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.operators.store import CandidateStore
-from amalgam.plans.consolidate import answer, consolidate, extract, profiles_of
-from amalgam.sources.detect import admitted
+from amalgam.plans.consolidate import answer, evaluated
 from amalgam.sources.files import text_of
 
 logger = logging.getLogger(__name__)
@@ -90,10 +89,10 @@ class Service:
         as_of = self.as_of or f"{datetime.now(UTC):%Y-%m}"
         rows = self.spark.createDataFrame([("1", i, kind, content) for i, (kind, content) in enumerate(sources)], ITEM)
         items = rows.select("run_id", "src_seq", "source_type", text_of(F.col("source_type"), F.col("content")).alias("content"))
-        out = answer(consolidate(items, as_of, **self.landed))
+        results, profiles = evaluated(items, as_of, **self.landed)
+        out = answer(results)
         if save and "error" not in out:
             try:
-                profiles = profiles_of(extract(admitted(items)[0], as_of, **self.landed), as_of)
                 self.stored().save(profiles, f"{datetime.now(UTC):%Y-%m-%d %H:%M:%S}", as_of)
             except Exception as e:  # the result stands, whatever became of the store
                 logger.error("saving failed: %s", type(e).__name__)

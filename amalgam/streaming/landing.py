@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from amalgam.operators.scratch import deleted, scratch_path
 from amalgam.operators.store import CandidateStore
-from amalgam.plans.consolidate import extract, profiles_of
+from amalgam.plans.consolidate import extract, landed_by_type, profiles_of
 from amalgam.sources.detect import admitted
 
 ITEMS = "run_id string, src_seq int, source_type string, content string, submitted_at timestamp"
@@ -26,10 +27,13 @@ def fold_into(store: CandidateStore, items: DataFrame, as_of: str, checkpoint: s
     """Start folding a stream of items into the store. A batch that is delivered again, with the same checkpoint, changes nothing."""
 
     def save(batch: DataFrame, number: int) -> None:
-        usable, _ = admitted(batch)
-        profiles = profiles_of(extract(usable, as_of), as_of)
-        if not profiles.isEmpty():
-            at = batch.agg(F.max("submitted_at").cast("string")).first()[0]
-            store.save(profiles, at, as_of, batch=(checkpoint, number))
+        # landed by type once: the readers, and the time of the last item, read what was landed
+        path = scratch_path(batch.sparkSession, "micro-batch")
+        items = landed_by_type(batch, path)
+        at = items.agg(F.max("submitted_at").cast("string")).first()[0]
+        if at is not None:
+            usable, _ = admitted(items)
+            store.save(profiles_of(extract(usable, as_of), as_of), at, as_of, batch=(checkpoint, number))
+        deleted(batch.sparkSession, path)
 
     return items.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -406,3 +406,58 @@ def test_readers_scan_their_own_partition(spark, tmp_path):
     plan = extract(landed, AS_OF)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert scans and all("PartitionFilters: [" in s and "source_type" in s.split("PartitionFilters: [")[1] for s in scans)
+
+
+def test_folders_are_read_by_one_scan_and_one_python_operator(spark, tmp_path):
+    """Only documents go to Python, each file is opened by one scan, and readers scan what was landed of their type."""
+    from amalgam.sources.files import folder_files, folder_items
+
+    (tmp_path / "ann").mkdir()
+    (tmp_path / "ann/data.csv").write_text("name\nAnn Lee\n")
+    (tmp_path / "ann/notes.txt").write_text("Ann Lee knows docker")
+    root = f"file://{tmp_path}"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    read = plan(folder_files(spark, root))
+    assert read.count("FileScan binaryFile") == 1 and read.count("ArrowEvalPython") <= 2
+    items, _ = folder_items(spark, root)
+    everything = plan(consolidate(items, AS_OF))
+    assert "binaryFile" not in everything and "ArrowEvalPython" not in everything and "BatchEvalPython" not in everything
+
+
+def test_a_resume_in_pdf_excludes_the_one_in_docx(spark, tmp_path):
+    from amalgam.sources.files import folder_items
+
+    for name, files in (("a", ["resume.docx"]), ("b", ["resume.docx", "resume.pdf"]), ("c", ["resume.pdf", "data.csv"])):
+        (tmp_path / name).mkdir()
+        for f in files:
+            (tmp_path / name / f).write_bytes(b"damaged")
+    items, folders = folder_items(spark, f"file://{tmp_path}")
+    assert sorted((r.run_id, r.source_type) for r in items.collect()) == [("a", "resume_docx"), ("b", "resume_pdf"), ("c", "csv"), ("c", "resume_pdf")]
+    assert sorted(r.run_id for r in folders.collect()) == ["a", "b", "c"]
+
+
+def test_many_folder_names_are_landed_in_parts(spark, tmp_path, monkeypatch):
+    from amalgam.sources import files
+
+    for i in range(25):
+        (tmp_path / "in" / f"c{i:02d}").mkdir(parents=True)
+    monkeypatch.setattr(files, "NAMES", 10)
+    names = files.landed_names(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/names")
+    assert sorted(r.run_id for r in names.collect()) == [f"c{i:02d}" for i in range(25)]
+
+
+def test_a_save_evaluates_its_profiles_once(spark, raw, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        seen.add(1)
+        return name
+
+    people = profiles_of(raw({"source_type": "csv", "full_name": "Ann", "emails": ["a@x.io"]}), AS_OF).withColumn("headline", F.udf(counted, "string")("headline"))
+    store = CandidateStore(spark, f"file://{tmp_path}/store")
+    for saves in (1, 2, 3):
+        assert store.save(people, "2026-01-01 00:00:00", AS_OF).count() == 1
+        assert seen.value == saves
+    store.vacuum()
+    assert [p.name for p in (tmp_path / "store/manifests").glob("0*")] == [f"{3:012d}.json"]
+    assert store.current().count() == 1
