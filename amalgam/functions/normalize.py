@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.functions import dictionaries as D
 
+def once_a_session(build: Callable) -> Callable:
+    """Remember what a builder of columns returns, for each session. Columns only name fields and hold no data, and the large ones take thousands of calls to the JVM."""
+    known: dict[tuple, object] = {}
+
+    @wraps(build)
+    def remembered(*given):
+        now = (SparkSession.active().sparkContext.applicationId, *given)
+        if now not in known:
+            for other in [k for k in known if k[0] != now[0]]:  # of a session that has ended
+                del known[other]
+            known[now] = build(*given)
+        return known[now]
+
+    return remembered
+
+
 U = "(?U)"  # \w, \d and \s mean what they mean in Unicode
 
 

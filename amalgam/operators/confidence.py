@@ -53,6 +53,13 @@ def overall(scores: dict[str, Column]) -> Column:
     return F.bround(total / sum(D.FIELD_WEIGHTS.values()), 3)
 
 
-def score(profiles: DataFrame) -> DataFrame:
+@N.once_a_session
+def scores() -> tuple[Column, Column]:
+    """A profile's overall confidence, and its skills with theirs."""
     skills = F.transform("skills", lambda s: F.struct(s["name"].alias("name"), skill_confidence(s["sources"]).alias("confidence"), s["sources"].alias("sources")))
-    return profiles.withColumn("overall_confidence", overall(field_scores())).withColumn("skills", skills)
+    return overall(field_scores()), skills
+
+
+def score(profiles: DataFrame) -> DataFrame:
+    whole, skills = scores()
+    return profiles.withColumn("overall_confidence", whole).withColumn("skills", skills)

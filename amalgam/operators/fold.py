@@ -31,6 +31,12 @@ def as_record(snapshot: Column, seq: Column) -> Column:
     return F.struct(priority(F.lit(FOLDED_AS)).alias("prio"), seq.alias("src_seq"), F.lit(FOLDED_AS).alias("source_type"), *fields)
 
 
+@N.once_a_session
+def records() -> Column:
+    """The snapshots in ``all`` as raw records."""
+    return F.transform("all", as_record)
+
+
 def fold(submissions: DataFrame, as_of: str, order: str = "submitted_at", keep_first: tuple[str, ...] = ()) -> DataFrame:
     """All submissions of each ``candidate_id`` folded, the earliest one's values first; single ones stay as they are.
 
@@ -47,7 +53,7 @@ def fold(submissions: DataFrame, as_of: str, order: str = "submitted_at", keep_f
     only = F.get("all", 0)
     alone = once.filter(F.size("all") == 1).select(*[F.col(c) if c == "candidate_id" else only[c].alias(c) for c in keep])
     several = once.filter(F.size("all") > 1)
-    gathered = several.select(F.col("candidate_id").alias("run_id"), "all", F.transform("all", as_record).alias("recs"))
+    gathered = several.select(F.col("candidate_id").alias("run_id"), "all", records().alias("recs"))
     folded = profiles(gathered, as_of, carry=("all",))
     told = F.concat(F.flatten(F.transform("all", lambda s: s["provenance"])), F.col("provenance"))
     # the fold's own id may differ from the key, as it follows from the merged e-mail and name

@@ -122,23 +122,31 @@ def candidate_id(emails: Column, full_name: Column) -> Column:
     return F.substring(F.md5(F.concat(F.coalesce(F.get(emails, 0), F.lit("")), F.coalesce(full_name, F.lit("")))), 1, 16)
 
 
-def profiles(gathered_runs: DataFrame, as_of: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Canonical profiles, not scored yet, from :func:`gathered`, with further columns to ``carry``.
-
-    ``as_of`` (YYYY-MM) ends jobs that go on.
-    """
+@N.once_a_session
+def values() -> list[Column]:
+    """What the records in ``recs`` say of each field."""
     r = F.col("recs")
-    step = gathered_runs.select(
-        "run_id", "recs", *carry, *[winner(r, f).alias(f) for f in ("full_name", "headline")], winner(r, "years_experience").alias("told_years"),
+    return [
+        *[winner(r, f).alias(f) for f in ("full_name", "headline")], winner(r, "years_experience").alias("told_years"),
         N.location(winner(r, "location_raw")).alias("location"),
         F.struct(winner(r, "linkedin_url").alias("linkedin"), winner(r, "github_url").alias("github"), winner(r, "portfolio_url").alias("portfolio"), united(r, "other_urls").alias("other")).alias("links"),
         N.emails(united(r, "emails")).alias("emails"), N.phones(united(r, "phones")).alias("phones"),
         merged_skills(r).alias("skills"), merged_jobs(r).alias("experience"), merged_courses(r).alias("education"),
-    )
-    worked = F.when(F.col("told_years").isNull() & (F.size("experience") > 0), years_of(F.col("experience"), as_of, only_forward=True))
-    step = step.withColumn("worked", worked)
+    ]
+
+
+@N.once_a_session
+def worked(as_of: str) -> Column:
+    """Years of the merged jobs where no source tells them."""
+    return F.when(F.col("told_years").isNull() & (F.size("experience") > 0), years_of(F.col("experience"), as_of, only_forward=True))
+
+
+@N.once_a_session
+def story() -> Column:
+    """Where each field is from."""
+    r = F.col("recs")
     some = lambda column, entry: F.when(F.size(column) > 0, F.array(entry)).otherwise(nothing())
-    story = F.concat(
+    return F.concat(
         *[scalar_provenance(r, f) for f in SCALARS],
         some("emails", provenance("emails", contributors(r, "emails"), "direct+normalize")),
         some("phones", provenance("phones", contributors(r, "phones"), "direct+normalize(E164)")),
@@ -147,9 +155,17 @@ def profiles(gathered_runs: DataFrame, as_of: str, carry: tuple[str, ...] = ())
         F.when(F.col("worked").isNotNull(), F.array(provenance("years_experience", "multiple", "computed_from_experience"))).otherwise(nothing()),
         some("education", provenance("education", "multiple", "union")),
     )
+
+
+def profiles(gathered_runs: DataFrame, as_of: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical profiles, not scored yet, from :func:`gathered`, with further columns to ``carry``.
+
+    ``as_of`` (YYYY-MM) ends jobs that go on.
+    """
+    step = gathered_runs.select("run_id", "recs", *carry, *values()).withColumn("worked", worked(as_of))
     return step.select(
         "run_id", candidate_id(F.col("emails"), F.col("full_name")).alias("candidate_id"), "full_name", "emails", "phones", "location", "links", "headline",
-        F.coalesce("told_years", "worked").alias("years_experience"), "skills", "experience", "education", story.alias("provenance"), *carry,
+        F.coalesce("told_years", "worked").alias("years_experience"), "skills", "experience", "education", story().alias("provenance"), *carry,
     )
 
 
