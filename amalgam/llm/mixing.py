@@ -3,8 +3,8 @@
 Documents are counted into cells of (source, language, topic), each weighing its documents' token estimate (a quarter of
 the UTF-8 bytes, one at least). The cells' weights are raked to the three marginals in turn until each marginal is within
 ``tolerance`` of its target, or the worst deviation has not halved in ``rounds`` rounds (sparse cells or conflicting targets);
-then a RuntimeWarning tells what is left, and :func:`shares` gives it category by category. Sums are aggregations by category
-that are joined back, so no task holds all cells of a category, however many sources there are.
+then a RuntimeWarning tells what is left, and :func:`shares` gives it category by category. Above ``FEW`` cells, sums are
+aggregations by category that are joined back, so no task holds all cells of a category, however many sources there are.
 
 A cell's factor is its fitted over its own weight; a document is expected factor / top times in the sample, where top is
 the ``full``-quantile of factors by tokens: as many whole copies as fit, and one more with the probability that is left,
@@ -38,6 +38,8 @@ FLATTEN, FULL, TOLERANCE, ROUNDS, SEED = 0.7, 0.5, 1e-4, 40, 11
 DECIMALS = 9
 #: Cells that one task may sort.
 FEW = 100_000
+#: Rounds of raking that one plan holds while one task holds all cells.
+ROUNDS_A_PLAN = 8
 #: The default topics: the first pattern that a text holds names its topic.
 TOPICS = (
     ("legal", r"(?i)\blicen[cs]e|\bcopyright\b|\bterms of\b"),
@@ -81,31 +83,57 @@ def aims(cells: DataFrame, m: str, targets: dict[str, dict[str, float]] | None,
     return each.select(m, (power / F.lit(powers or 1.0) * F.lit(total or 0.0)).alias("aim"))
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (source, lang, topic, n, tokens) with their fitted ``weight`` and ``factor``."""
-    now = cells.select(*MARGINALS, "n", "tokens", F.col("tokens").cast("double").alias("w"), F.lit(0.0).alias("off"))
-    n_cells = now.count()
-    goals = {m: saved(aims(now, m, targets, flatten), "aims", n_cells) for m in MARGINALS}
-    mark, waited, done = math.inf, 0, 0
-    while True:
-        step = now.withColumn("off", F.lit(0.0))
-        for m in MARGINALS:
-            sums = step.groupBy(m).agg(F.sum("w").alias("sum")).join(goals[m], m)
-            sums = sums.select(m, F.when(F.col("aim") == F.col("sum"), 1.0).when(F.col("sum") > 0, F.col("aim") / F.col("sum")).otherwise(0.0).alias("scale"), F.when(F.col("aim") > 0, F.abs(F.col("sum") / F.col("aim") - 1)).otherwise(0.0).alias("miss"))
-            step = step.join(sums, m).select(*MARGINALS, "n", "tokens", (F.col("w") * F.col("scale")).alias("w"), F.greatest("off", "miss").alias("off"))
-        before, now = now, saved(step, "cells", n_cells)
+def one_round(cells: DataFrame, few: bool) -> DataFrame:
+    """Weights ``w`` scaled to the three marginals in turn, and ``off``, how far the worst one was from its aim before.
+
+    ``few``: the cells are one partition, where a window by category needs no exchange; else sums are joined back.
+    """
+    for m in MARGINALS:
+        aim = F.col(f"aim_{m}")
+        if few:
+            cells = cells.withColumn("sum", F.sum("w").over(Window.partitionBy(m)))
+        else:
+            cells = cells.join(cells.groupBy(m).agg(F.sum("w").alias("sum")), m)
+        scale = F.when(aim == F.col("sum"), 1.0).when(F.col("sum") > 0, aim / F.col("sum")).otherwise(0.0)
+        miss = F.when(aim > 0, F.abs(F.col("sum") / aim - 1)).otherwise(0.0)
+        cells = cells.withColumns({"w": F.col("w") * scale, "off": miss if m == MARGINALS[0] else F.greatest("off", miss)}).drop("sum")
+    return cells
+
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, tolerance: float = TOLERANCE, rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
+    """Cells (source, lang, topic, n, tokens) with their fitted ``weight`` and ``factor``.
+
+    Up to ``few`` cells are one partition and several rounds one plan, so that the driver holds few plans; the round at which
+    they converge is chosen afterwards. More cells stay spread out, and each round is written.
+    """
+    plain = cells.select(*MARGINALS, "n", "tokens", F.col("tokens").cast("double").alias("w"))
+    n_cells = plain.count()
+    small, start = n_cells <= few, plain
+    for m in MARGINALS:
+        start = start.join(aims(plain, m, targets, flatten).withColumnRenamed("aim", f"aim_{m}"), m)
+    kept = saved(start, "cells", n_cells)
+    now, a_plan = kept, ROUNDS_A_PLAN if small else 1
+    mark, waited, done, chosen = math.inf, 0, 0, None
+    while chosen is None:
+        step = now.coalesce(1) if small else now
+        for k in range(a_plan):
+            step = one_round(step, small)
+            step = step.withColumns({f"w{k}": F.col("w"), f"off{k}": F.col("off")})
+        before, kept = kept, saved(step.drop("off"), "cells", None if small else n_cells)
         dropped(before)
-        worst = now.agg(F.max("off")).first()[0]
-        done += 1
-        if worst is None or worst <= tolerance:
-            break
-        mark, waited = (worst, 0) if worst <= mark / 2 else (mark, waited + 1)
-        if waited >= rounds:
-            warnings.warn(f"raking does not converge: after {done} rounds a marginal is off its target by a factor of up to {1 + worst:.6g}", RuntimeWarning, stacklevel=2)
-            break
-    for t in goals.values():
-        dropped(t)
-    return now.select(*MARGINALS, "n", "tokens", F.col("w").alias("weight"), F.round(F.col("w") / F.col("tokens"), DECIMALS).alias("factor"))
+        for k, worst in enumerate(kept.agg(*[F.max(f"off{k}") for k in range(a_plan)]).first()):
+            done += 1
+            if worst is None or worst <= tolerance:
+                chosen = k
+                break
+            mark, waited = (worst, 0) if worst <= mark / 2 else (mark, waited + 1)
+            if waited >= rounds:
+                warnings.warn(f"raking does not converge: after {done} rounds a marginal is off its target by a factor of up to {1 + worst:.6g}", RuntimeWarning, stacklevel=2)
+                chosen = k
+                break
+        now = kept.select(*plain.columns, *[f"aim_{m}" for m in MARGINALS])
+    weight = F.col(f"w{chosen}")
+    return kept.select(*MARGINALS, "n", "tokens", weight.alias("weight"), F.round(weight / F.col("tokens"), DECIMALS).alias("factor"))
 
 
 def top_factor(fitted: DataFrame, full: float, few: int = FEW) -> float | None:

@@ -145,3 +145,21 @@ def test_zero_targets_drop_a_category(spark):
     rows = [(i, "x" * 40, "ab"[i % 2], "en", 0) for i in range(100)]
     out = mixing.calibrated(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"), {"source": {"a": 1.0, "b": 0.0}}).collect()
     assert all((r.copies > 0) == (r.source == "a") for r in out)
+
+
+def test_rounds_in_one_plan_equal_rounds_that_are_joined(spark):
+    """Both ways stop at the same round and give the same factors; some cells are empty."""
+    rng = np.random.default_rng(7)
+    tokens = {(f"s{i}", f"l{j}", f"t{(i + j) % 3}"): int(rng.integers(1, 5000)) for i in range(5) for j in range(5) if i != j}
+    cells = spark.createDataFrame([(*c, 1, n) for c, n in tokens.items()], "source string, lang string, topic string, n long, tokens long").repartition(4)
+    near, joined = ({tuple(r[:3]): r.factor for r in mixing.raked(cells, few=f).collect()} for f in (mixing.FEW, 0))
+    assert near.keys() == joined.keys() == tokens.keys()
+    assert all(near[c] == pytest.approx(joined[c], abs=2e-9) for c in tokens)
+    want = brute(tokens, [flattened(tokens, m) for m in range(3)])
+    assert all(near[c] == pytest.approx(want[c] / tokens[c], rel=5e-3) for c in tokens)
+
+
+def test_rounds_of_one_plan_need_no_exchange(spark):
+    cells = spark.range(20).selectExpr("'a' AS source", "'b' AS lang", "'c' AS topic", "1L AS n", "id AS tokens", "1D AS w", "1D AS aim_source", "1D AS aim_lang", "1D AS aim_topic")
+    plan = mixing.one_round(cells.coalesce(1), True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
