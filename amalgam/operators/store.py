@@ -5,6 +5,9 @@ a name that must not exist yet. Of two savers at a time one gets the number; the
 version and folds anew, so no update is lost. Readers see one version or the next, never a half. The manifest also holds
 the last batch number of each stream, so a batch that is delivered again changes nothing.
 
+Each bucket also has sketches of what it holds, made anew by the save that writes it, so the whole store's statistics are told
+without reading profiles. A bucket without any (of an older table) is sketched when they are asked for.
+
 Profiles without e-mail and name share an id though they are strangers: they are stored as they come, never folded, and
 dealt over all buckets.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +26,7 @@ from pyspark.sql import types as T
 
 from amalgam.operators.fold import NOBODY, fold_pairs
 from amalgam.operators.scratch import deleted, materialised
+from amalgam.operators.sketches import QUANTILES, SCHEMA, bucket_sketches, estimates
 
 BUCKETS, ATTEMPTS = 64, 20
 
@@ -118,11 +123,30 @@ class CandidateStore:
         version = f"v-{uuid.uuid4().hex}"
         dealt = merged.withColumn("bucket", bucket_of(base["buckets"], new.columns)) if stored is None else merged.withColumn("bucket", bucket_of(base["buckets"], new.columns, touched))
         dealt.repartition("bucket").sortWithinPartitions("bucket", "candidate_id").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        files = self._path(version).getFileSystem(self._conf)
-        names = [f.getPath().getName() for f in files.listStatus(self._path(version)) if f.isDirectory()]
-        folders = {b: v for b, v in base["folders"].items() if int(b) not in touched} | {n.split("=")[1]: f"{version}/{n}" for n in names}
+        sketched = f"s-{uuid.uuid4().hex}"
+        written = self.spark.read.schema(T.StructType([*merged.schema, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{version}")
+        bucket_sketches(written).write.partitionBy("bucket").parquet(f"{self.path}/{sketched}")
+        others = lambda known: {b: v for b, v in known.items() if int(b) not in touched}
+        folders, sketches = others(base["folders"]) | self._dealt(version), others(base.get("sketches", {})) | self._dealt(sketched)
         batches = base["batches"] | ({batch[0]: batch[1]} if batch else {})
-        return base | {"number": base["number"] + 1, "schema": base["schema"] or merged.schema.json(), "folders": folders, "batches": batches}
+        return base | {"number": base["number"] + 1, "schema": base["schema"] or merged.schema.json(), "folders": folders, "sketches": sketches, "batches": batches}
+
+    def _dealt(self, version: str) -> dict[str, str]:
+        """The folder of each bucket in a folder that was written by buckets."""
+        found = self._path(version).getFileSystem(self._conf).listStatus(self._path(version))
+        names = [f.getPath().getName() for f in found if f.isDirectory()]
+        return {n.split("=")[1]: f"{version}/{n}" for n in names}
+
+    def statistics(self, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+        """(statistic, n, estimate) of all profiles, from the buckets' sketches."""
+        manifest = self._manifest()
+        folders = manifest.get("sketches", {})
+        paths = [f"{self.path}/{v}" for v in folders.values()]
+        parts = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        missing = {int(b) for b in manifest["folders"].keys() - folders.keys()}
+        if missing:
+            parts = parts.unionByName(bucket_sketches(self._read(manifest, missing).withColumn("bucket", F.lit(0))).drop("bucket"))
+        return estimates(parts, quantiles)
 
     def vacuum(self) -> None:
         """Delete folders and manifests that the current version does not use. Not while others read older versions or save."""
@@ -131,11 +155,11 @@ class CandidateStore:
         for f in folder.getFileSystem(self._conf).listStatus(folder) if now["number"] else []:
             if f.getPath().getName() < f"{now['number']:012d}.json":
                 folder.getFileSystem(self._conf).delete(f.getPath(), False)
-        used = {v.split("/")[0] for v in now["folders"].values()}
+        used = {v.split("/")[0] for v in [*now["folders"].values(), *now.get("sketches", {}).values()]}
         files = self._path().getFileSystem(self._conf)
         for f in files.listStatus(self._path()):
             name = f.getPath().getName()
-            if name.startswith("v-") and name not in used:
+            if name.startswith(("v-", "s-")) and name not in used:
                 files.delete(f.getPath(), True)
 
     def get(self, candidate_id: str) -> DataFrame:
