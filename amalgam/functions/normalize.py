@@ -9,6 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.functions import dictionaries as D
+from amalgam.functions.numbering import ABROAD
 
 def once_a_session(build: Callable) -> Callable:
     """Remember what a builder of columns returns, for each session. Columns only name fields and hold no data, and the large ones take thousands of calls to the JVM."""
@@ -86,7 +87,7 @@ PLANS = {
 
 
 def phone(x: Column, region: Column | str = D.DEFAULT_REGION) -> Column:
-    """E.164 form, or null where it isn't a number. The numbering plans of PLANS are checked, others only by length."""
+    """E.164 form, or null where it isn't a number. The numbering plans of PLANS are checked, others by calling code and length."""
     region = F.lit(region) if isinstance(region, str) else region
     # from the first digit or plus on, without an extension
     core = F.regexp_replace(F.regexp_extract(strip(x), U + r"(?s)[+\d(].*", 0), r"(?i)[\s,;]*(?:ext\.?|extension|x|#)\s*\d{1,7}$", "")
@@ -103,7 +104,7 @@ def phone(x: Column, region: Column | str = D.DEFAULT_REGION) -> Column:
             rest = F.regexp_replace(F.substring(digits, len(calling) + 1, 20), "^0" if trunk == "0" else "^$", "")
             valid = F.when(rest.rlike(form), F.concat(F.lit("+" + calling), rest))
             out = F.when(digits.startswith(calling), valid) if out is None else out.when(digits.startswith(calling), valid)
-        return out.when(digits.rlike(r"^[2-9]\d{7,14}$"), F.concat(F.lit("+"), digits))
+        return out.when(digits.rlike(ABROAD), F.concat(F.lit("+"), digits))
 
     def resolved(c: Column) -> Column:
         digits = F.regexp_replace(c, r"\D", "")
