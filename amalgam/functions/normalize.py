@@ -84,6 +84,9 @@ PLANS = {
     "GB": ("44", "0", r"^(?:[1-35789]\d{9}|[18]\d{8})$"),
     "AU": ("61", "0", r"^(?:[23478]\d{8}|1[38]00\d{6})$"),
 }
+#: Digits that begin with a calling code, but without a plus, may be any others (two years and a house number). Behind such a code
+#: the national number must have an area code that is in use, where these are told; else PLANS decides.
+BARE = {"44": r"^(?:1\d{8,9}|2[03489]\d{8}|3[0347]\d{8}|5[56]\d{8}|[789]\d{9}|8\d{8})$"}
 
 
 def phone(x: Column, region: Column | str = D.DEFAULT_REGION) -> Column:
@@ -96,7 +99,7 @@ def phone(x: Column, region: Column | str = D.DEFAULT_REGION) -> Column:
         own = F.regexp_replace(digits, "^" + trunk, "") if trunk else digits
         full = F.regexp_replace(digits, "^" + calling + trunk + "?", "")
         as_e164 = lambda n: F.concat(F.lit("+" + calling), n)
-        return F.when(digits.rlike(form), as_e164(digits)).when((own != digits) & own.rlike(form), as_e164(own)).when((full != digits) & full.rlike(form), as_e164(full))
+        return F.when(digits.rlike(form), as_e164(digits)).when((own != digits) & own.rlike(form), as_e164(own)).when((full != digits) & full.rlike(BARE.get(calling, form)), as_e164(full))
 
     def foreign(digits: Column) -> Column:
         out = None

@@ -28,6 +28,12 @@ def test_phones_of_other_regions(spark):
     assert run(spark, lambda c: N.phone(c, "AU"), ["02 9374 4000"]) == ["+61293744000"]
 
 
+def test_a_bare_calling_code_needs_an_area_code_in_use(spark):
+    """No plus, so the digits may be others: 22 and 62 are no British area codes."""
+    given = ["44 20 7946 0958", "442079460958", "4422\n\n2001 - 2002", "44 62 2001 2002", "+44 20 7946 0958", "22\n\n2001 - 2002"]
+    assert run(spark, lambda c: N.phone(c, "GB"), given) == ["+442079460958", "+442079460958", None, None, "+442079460958", "+442220012002"]
+
+
 def test_phone_lists(spark):
     assert run(spark, N.phones, [["(415) 555-0123", "+14155550123", None, "x", "415-555-0123"]], "array<string>") == [["+14155550123"]]
 
