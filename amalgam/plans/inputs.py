@@ -188,11 +188,22 @@ SELECT c_custkey, 2, 'recruiter_txt', NULL, 'user' || c_custkey || '@example.com
 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 23 <> 5"""
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of ``sql`` over the driver's tables."""
+#: Tasks that each core gets of a dealt table, and the bytes (by Spark's estimate) that one of them holds at most.
+TASKS_A_CORE, TASK_BYTES = 4, 64 << 20
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """The rows of a table over all cores, by its first column, which is its key. A file with one row group is one task, however many splits it has."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(max(TASKS_A_CORE * table.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), table.columns[0])
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str, deal: bool = False) -> DataFrame:
+    """The rows of ``sql`` over the driver's tables; ``deal`` where the work on each row is much and begins at once, without an exchange."""
     for t in TABLES:
         if t in sql:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            table = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            (dealt(table) if deal else table).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

@@ -145,7 +145,7 @@ SUMMARY = f"""{FIELDS}, totals AS (SELECT run_id, {OVERALL} AS overall_confidenc
   SELECT id, CASE WHEN s LIKE 'https://github.com%' OR s LIKE 'http://github.com%' THEN 'github_url' WHEN s LIKE 'https://linkedin.com%' OR contains(s, 'linkedin.com/in/') THEN 'linkedin_url'
     ELSE CASE ext WHEN 'csv' THEN 'csv' WHEN 'json' THEN 'ats_json' WHEN 'pdf' THEN 'resume_pdf' WHEN 'docx' THEN 'resume_docx' WHEN 'doc' THEN 'resume_docx' WHEN 'txt' THEN 'recruiter_txt' END END AS source_type FROM typed""")
 def detect_source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.PATHS).select("id", source_type(F.col("path")).alias("source_type"))
+    return I.view(spark, sf_dir, I.PATHS, deal=True).select("id", source_type(F.col("path")).alias("source_type"))
 
 
 ITEMS = "SELECT id AS run_id, 0 AS src_seq, CASE WHEN id % 4 = 0 THEN 'csv' END AS source_type, path AS content FROM ({paths})"
@@ -158,7 +158,7 @@ ITEMS = "SELECT id AS run_id, 0 AS src_seq, CASE WHEN id % 4 = 0 THEN 'csv' END
   SELECT cast(id AS varchar) AS run_id, CASE WHEN kind IS NULL THEN 'Unknown source type: ' || substr(path, 1, 60) WHEN kind = 'linkedin_url' THEN 'LinkedIn' ELSE '' END AS warnings,
     CASE WHEN kind IS NULL OR kind = 'linkedin_url' THEN 'No usable sources' END AS error FROM kinds""")
 def source_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, runs = admitted(I.view(spark, sf_dir, ITEMS.format(paths=I.PATHS)))
+    _, runs = admitted(I.view(spark, sf_dir, ITEMS.format(paths=I.PATHS), deal=True))
     told = F.array_join("warnings", ";")
     return runs.select(F.col("run_id").cast("string").alias("run_id"), F.when(told.startswith("LinkedIn"), "LinkedIn").otherwise(told).alias("warnings"), "error")
 
@@ -170,14 +170,14 @@ CSV_TEXTS = f"""SELECT run_id, 0 AS src_seq, 'csv' AS source_type, 'Name,EMAIL,p
 @query(f"""SELECT cast(run_id AS varchar) AS run_id, CASE WHEN run_id % 3 = 1 THEN 'Other' || run_id ELSE full_name || ' "X", Jr' END AS full_name, nullif(trim(email), '') AS email, phone,
     'Paris, France' AS location_raw, 'Lead, Ops' AS title, 'Python|js' AS skills FROM ({I.CONTACTS})""")
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spreadsheet.from_text(I.view(spark, sf_dir, CSV_TEXTS))
+    raw = spreadsheet.from_text(I.view(spark, sf_dir, CSV_TEXTS, deal=True))
     return raw.select("run_id", "full_name", F.get("emails", 0).alias("email"), F.get("phones", 0).alias("phone"), "location_raw", F.get("experience", 0)["title"].alias("title"), F.array_join("skills_raw", "|").alias("skills"))
 
 
 @query("SELECT cast(c_custkey AS varchar) AS run_id, c_name AS full_name, nullif(trim(c_mktsegment), '') AS headline FROM customer")
 def csv_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bulk mode: a table with a candidate in each row."""
-    rows = I.view(spark, sf_dir, "SELECT c_custkey AS run_id, 0 AS src_seq, 'csv' AS source_type, c_name AS `Full_Name`, c_mktsegment AS headline FROM customer")
+    rows = I.view(spark, sf_dir, "SELECT c_custkey AS run_id, 0 AS src_seq, 'csv' AS source_type, c_name AS `Full_Name`, c_mktsegment AS headline FROM customer", deal=True)
     return spreadsheet.from_table(rows).select("run_id", "full_name", "headline")
 
 
@@ -193,7 +193,7 @@ ATS_TEXTS = """SELECT c_custkey AS run_id, 0 AS src_seq, 'ats_json' AS source_ty
     CASE WHEN c_custkey % 11 = 10 THEN '' ELSE CASE c_custkey % 4 WHEN 0 THEN 'Go|Rust' WHEN 1 THEN 'SQL|Bash' WHEN 2 THEN 'Git' ELSE '' END END AS skills,
     CASE WHEN c_custkey % 11 <> 10 THEN c_mktsegment || '/P/2019-0' || (1 + c_custkey % 9) END AS job, CASE WHEN c_custkey % 11 <> 10 THEN cast(2000 + c_custkey % 20 AS integer) END AS end_year FROM customer""")
 def ats_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = hr_json.from_json(I.view(spark, sf_dir, ATS_TEXTS))
+    raw = hr_json.from_json(I.view(spark, sf_dir, ATS_TEXTS, deal=True))
     job = F.get("experience", 0)
     return raw.select("run_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("skills_raw", "|").alias("skills"), F.concat_ws("/", job["company"], job["title"], job["start"]).alias("j"), F.get("education", 0)["end_year"].alias("end_year")).select(
         "run_id", "full_name", "emails", "skills", N.filled(F.col("j")).alias("job"), "end_year"
@@ -203,7 +203,7 @@ def ats_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT cast(c_custkey AS varchar) AS run_id, CASE WHEN c_custkey % 3 = 0 THEN 'Display ' || c_custkey ELSE 'Mapped ' || c_custkey END AS full_name FROM customer""")
 def ats_field_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's own key, laid over the default ones."""
-    rows = I.view(spark, sf_dir, """SELECT c_custkey AS run_id, 0 AS src_seq, 'ats_json' AS source_type, '{"name":"Mapped ' || c_custkey || '"' || CASE WHEN c_custkey % 3 = 0 THEN ',"display name":"Display ' || c_custkey || '"' ELSE '' END || '}' AS content FROM customer""")
+    rows = I.view(spark, sf_dir, """SELECT c_custkey AS run_id, 0 AS src_seq, 'ats_json' AS source_type, '{"name":"Mapped ' || c_custkey || '"' || CASE WHEN c_custkey % 3 = 0 THEN ',"display name":"Display ' || c_custkey || '"' ELSE '' END || '}' AS content FROM customer""", deal=True)
     return hr_json.from_json(rows, {"display name": "full_name"}).select("run_id", "full_name")
 
 
@@ -234,7 +234,7 @@ def language_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = """SELECT c_custkey AS run_id, 0 AS src_seq, 'linkedin_url' AS source_type, '{"given_name":"G' || c_custkey || '","family_name":"Fam","localizedHeadline":"local","profile_url":"https://linkedin.com/in/' || c_custkey || '"'
       || CASE WHEN c_custkey % 2 = 0 THEN ',"name":"' || c_name || '"' ELSE ',"name":""' END || CASE WHEN c_custkey % 3 = 0 THEN ',"headline":"' || c_mktsegment || '"' ELSE '' END || '}' AS content FROM customer"""
-    return profiles.from_identity_profiles(I.view(spark, sf_dir, rows)).select("run_id", "full_name", "headline", "linkedin_url")
+    return profiles.from_identity_profiles(I.view(spark, sf_dir, rows, deal=True)).select("run_id", "full_name", "headline", "linkedin_url")
 
 
 def keyword_sql(alias: str, name: str) -> str:
@@ -261,7 +261,7 @@ def prose_sql(texts: str, phone: str) -> str:
 @query(f"""WITH {prose_sql(I.SKILL_TEXTS.replace("SELECT doc_id, text", "SELECT doc_id AS id, text"), "NULL")}
   SELECT cast(id AS varchar) AS run_id, full_name, emails, phones, linkedin_url, github_url, skills FROM told""")
 def notes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.view(spark, sf_dir, f"SELECT doc_id AS run_id, 0 AS src_seq, 'recruiter_txt' AS source_type, text AS content FROM ({I.SKILL_TEXTS})")
+    rows = I.view(spark, sf_dir, f"SELECT doc_id AS run_id, 0 AS src_seq, 'recruiter_txt' AS source_type, text AS content FROM ({I.SKILL_TEXTS})", deal=True)
     joined = lambda c, field: F.array_join(field, "|").alias(c)
     return prose.from_notes(rows).select("run_id", "full_name", joined("emails", "emails"), joined("phones", "phones"), "linkedin_url", "github_url", joined("skills", "skills_raw"))
 
@@ -352,29 +352,29 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT run_id, {email_sql('email')} AS email FROM ({I.CONTACTS})")
 def email_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.CONTACTS).select("run_id", N.email(F.col("email")).alias("email"))
+    return I.view(spark, sf_dir, I.CONTACTS, deal=True).select("run_id", N.email(F.col("email")).alias("email"))
 
 
 @query(f"SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{EMAIL_OK}'))) AS email FROM documents")
 def email_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, "SELECT * FROM documents").select("doc_id", F.explode(N.emails_in_text(F.col("text"))).alias("email"))
+    return I.view(spark, sf_dir, "SELECT * FROM documents", deal=True).select("doc_id", F.explode(N.emails_in_text(F.col("text"))).alias("email"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[+(]?[\d\s\-().]{7,20}\d'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 7)[1:5] AS l FROM documents)
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS candidate FROM c""")
 def phone_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.view(spark, sf_dir, "SELECT * FROM documents").select("doc_id", F.posexplode(F.slice(T.phone_candidates(F.col("text")), 1, 5)).alias("pos", "candidate"))
+    rows = I.view(spark, sf_dir, "SELECT * FROM documents", deal=True).select("doc_id", F.posexplode(F.slice(T.phone_candidates(F.col("text")), 1, 5)).alias("pos", "candidate"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "candidate")
 
 
 @query(f"SELECT run_id, phone, {phone_sql('phone')} AS e164 FROM ({I.CONTACTS})")
 def phone_e164(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.CONTACTS).select("run_id", "phone", N.phone(F.col("phone")).alias("e164"))
+    return I.view(spark, sf_dir, I.CONTACTS, deal=True).select("run_id", "phone", N.phone(F.col("phone")).alias("e164"))
 
 
 @query("SELECT doc_id, " + "CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN '{v}'" for k, v in D.REGION_HINTS.items()) + f" ELSE '{D.DEFAULT_REGION}' END AS region FROM documents")
 def phone_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, "SELECT * FROM documents").select("doc_id", T.region_of(F.col("text")).alias("region"))
+    return I.view(spark, sf_dir, "SELECT * FROM documents", deal=True).select("doc_id", T.region_of(F.col("text")).alias("region"))
 
 
 MONTH_SQL = case_sql(r"lower(regexp_extract(raw, '([A-Za-z]+)\s+(\d{4})', 1))", {k: f"'{v}'" for k, v in D.MONTHS.items()}, "NULL")
@@ -386,23 +386,23 @@ MONTH_SQL = case_sql(r"lower(regexp_extract(raw, '([A-Za-z]+)\s+(\d{4})', 1))",
     WHEN {MONTH_SQL} IS NOT NULL THEN regexp_extract(raw, '([A-Za-z]+)\s+(\d{{4}})', 2) || '-' || {MONTH_SQL}
     WHEN regexp_matches(raw, '\d{{4}}') THEN regexp_extract(raw, '(\d{{4}})', 1) || '-01' END AS date FROM ({I.DATES})""")
 def date_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.DATES).select("o_orderkey", N.date(F.col("raw")).alias("date"))
+    return I.view(spark, sf_dir, I.DATES, deal=True).select("o_orderkey", N.date(F.col("raw")).alias("date"))
 
 
 @query(f"SELECT p.p_partkey, coalesce(dict.name, {title_sql('trim(p.raw)')}) AS skill FROM ({I.SKILL_NAMES}) p LEFT JOIN {SKILL_TABLE} ON dict.alias = lower(trim(p.raw))")
 def skill_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.SKILL_NAMES).select("p_partkey", N.skill(F.col("raw")).alias("skill"))
+    return I.view(spark, sf_dir, I.SKILL_NAMES, deal=True).select("p_partkey", N.skill(F.col("raw")).alias("skill"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, lower(text) AS low FROM ({I.SKILL_TEXTS})), f AS (SELECT doc_id, unnest([{", ".join(keyword_sql(k, v) for k, v in D.SKILLS.items())}]) AS skill FROM t)
   SELECT DISTINCT doc_id, skill FROM f WHERE skill IS NOT NULL""")
 def skill_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.SKILL_TEXTS).select("doc_id", F.explode(T.keyword_skills(F.col("text"))).alias("skill"))
+    return I.view(spark, sf_dir, I.SKILL_TEXTS, deal=True).select("doc_id", F.explode(T.keyword_skills(F.col("text"))).alias("skill"))
 
 
 @query(f"WITH {location_sql(I.LOCATIONS)} SELECT i.id, l.city, l.region, l.country FROM ({I.LOCATIONS}) i JOIN loc l ON l.raw = i.raw")
 def location_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.LOCATIONS).select("id", N.location(F.col("raw")).alias("l")).select("id", "l.*")
+    return I.view(spark, sf_dir, I.LOCATIONS, deal=True).select("id", N.location(F.col("raw")).alias("l")).select("id", "l.*")
 
 
 @query(rf"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '(?i)linkedin\.com/in/([\w\-]+)', 1)[1] AS li, list_filter(regexp_extract_all(text, '(?i)github\.com/([\w\-]+)', 1), lambda x: lower(x) NOT IN ('com', 'orgs', 'topics', 'trending'))[1] AS gh,
@@ -410,25 +410,25 @@ def location_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, 'https://linkedin.com/in/' || li AS linkedin_url, 'https://github.com/' || gh AS github_url, url AS portfolio_url FROM f""")
 def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return I.view(spark, sf_dir, I.SKILL_TEXTS).select("doc_id", T.linkedin_url(t).alias("linkedin_url"), T.github_url(t).alias("github_url"), T.portfolio_url(t).alias("portfolio_url"))
+    return I.view(spark, sf_dir, I.SKILL_TEXTS, deal=True).select("doc_id", T.linkedin_url(t).alias("linkedin_url"), T.github_url(t).alias("github_url"), T.portfolio_url(t).alias("portfolio_url"))
 
 
 @query(r"""SELECT page_id, list_filter(regexp_extract_all(html, '(?i)https?://\S+|www\.\S+'), lambda x: NOT contains(x, 'linkedin') AND NOT contains(x, 'github'))[1] AS portfolio_url FROM pages""")
 def portfolio_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, "SELECT * FROM pages").select("page_id", T.portfolio_url(F.col("html")).alias("portfolio_url"))
+    return I.view(spark, sf_dir, "SELECT * FROM pages", deal=True).select("page_id", T.portfolio_url(F.col("html")).alias("portfolio_url"))
 
 
 @query(r"""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
     lambda x: regexp_full_match(x, '\p{Lu}\S*(\s+\p{Lu}\S*){1,3}') AND NOT regexp_matches(lower(x), 'experience|education|skills|resume|curriculum'))[1] AS name FROM documents""")
 def name_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, "SELECT * FROM documents").select("doc_id", T.name(F.col("text")).alias("name"))
+    return I.view(spark, sf_dir, "SELECT * FROM documents", deal=True).select("doc_id", T.name(F.col("text")).alias("name"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE length(line) < 60 AND regexp_matches(lower(line), 'experience|work history|employment|career')) AS headers,
     count(*) FILTER (WHERE regexp_matches(lower(line), '(^|[^a-z0-9_])(bachelor|master|phd|b\\.s|m\\.s|b\\.e|m\\.e|b\\.tech|m\\.tech|mba|b\\.a|m\\.a|associate)($|[^a-z0-9_])')) AS degrees FROM l GROUP BY doc_id""")
 def section_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = I.view(spark, sf_dir, "SELECT * FROM documents").select("doc_id", F.explode(T.lines_of(F.col("text"))).alias("line"))
+    lines = I.view(spark, sf_dir, "SELECT * FROM documents", deal=True).select("doc_id", F.explode(T.lines_of(F.col("text"))).alias("line"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_header(F.col("line"), "experience")).alias("headers"), F.count_if(T.has_degree(F.col("line"))).alias("degrees"))
 
 
@@ -693,7 +693,7 @@ ITEM_PROFILES = f"""{ITEM_SUMMARY}, {location_sql("SELECT place AS raw FROM whol
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of text, detected, read, merged, scored and projected to a configuration's fields, with every reader's error."""
     fields = [*CONFIG["fields"][:5], {"path": "headline", "required": True}]
-    out = consolidate(I.view(spark, sf_dir, I.ITEMS), I.AS_OF, {"fields": fields, "on_missing": "omit"})
+    out = consolidate(I.view(spark, sf_dir, I.ITEMS, deal=True), I.AS_OF, {"fields": fields, "on_missing": "omit"})
     return out.select("run_id", "error", F.array_join("_warnings", ";").alias("warnings"), F.array_join("_errors", ";").alias("errors"), "name", "mail", "phone", "country", F.coalesce(F.array_join("top", "|"), F.lit("")).alias("top"), "headline", "_confidence")
 
 
@@ -701,7 +701,7 @@ def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'empty' || n_nationkey, 'skipped', NULL, NULL, '' FROM nation""")
 def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch summary over items of text with their readers' own errors."""
-    results = consolidate(I.view(spark, sf_dir, I.ITEMS), I.AS_OF)
+    results = consolidate(I.view(spark, sf_dir, I.ITEMS, deal=True), I.AS_OF)
     folders = I.view(spark, sf_dir, "SELECT cast(c_custkey AS string) AS run_id FROM customer UNION SELECT 'empty' || n_nationkey FROM nation")
     return summary(results, folders).withColumn("errors", F.coalesce(F.array_join("errors", ";"), F.lit("")))
 

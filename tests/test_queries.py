@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from amalgam.plans.inputs import TABLES
@@ -35,3 +36,10 @@ def test_query_runs(spark, sf_dir, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["csv_scan", "ats_scan", "phone_e164"])
+def test_rows_of_one_file_are_dealt_out(spark, sf_dir, name):
+    """Each table is one file with one row group, so one task's work if it is read and parsed in one stage."""
+    parts = QUERIES[name](spark, sf_dir).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 8
