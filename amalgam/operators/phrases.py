@@ -26,27 +26,36 @@ def words_of(text: Column) -> Column:
 
 
 def dictionary(phrases: DataFrame, phrase: str) -> DataFrame:
-    """(phrase, head, n): distinct phrases by their words, the first of them and how many there are."""
-    words = phrases.select(words_of(F.col(phrase)).alias("words")).filter(F.size("words") > 0)
-    return words.select(F.array_join("words", " ").alias("phrase"), F.get("words", 0).alias("head"), F.size("words").alias("n")).distinct()
+    """(phrase, head, n): distinct phrases by their words, the first of them and how many there are; one without words is empty and meets no word.
 
+    Repeated rows are dropped before they are read. A filter, also one that a join infers for a null head, would go below that.
+    """
+    words = phrases.select(F.col(phrase).alias("given")).distinct().select(words_of(F.col("given")).alias("words"))
+    return words.select(F.array_join("words", " ").alias("phrase"), F.coalesce(F.get("words", 0), F.lit("")).alias("head"), F.size("words").alias("n")).distinct()
 
-def runs(texts: DataFrame, key: str, text: str, longest: int, block: int = BLOCK) -> DataFrame:
-    """(key, at, run): each word's place and the words from there on, ``longest`` at most."""
-    split = texts.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / block).cast("int")), lambda k: F.struct((k * block).cast("long").alias("base"), F.slice("words", k * block + 1, block + longest - 1).alias("words")))
-    parts = split.select("key", F.explode(cut).alias("part")).select("key", "part.base", "part.words")
-    places = F.transform(F.sequence(F.lit(1), F.least(F.size("words"), F.lit(block))), lambda i: F.struct((F.col("base") + i - 1).alias("at"), F.slice("words", i, longest).alias("run")))
-    return parts.select("key", F.explode(places).alias("place")).select("key", "place.at", "place.run")
+
+def places(texts: DataFrame, key: str, text: str, longest: int, block: int = BLOCK) -> DataFrame:
+    """(key, base, words, i): each word's place in its block, from 1; ``base`` words stand before the block, and it goes on for ``longest - 1`` words more.
+
+    Words are split once: the outer generators infer no filter that would split them again. Nothing is copied for a place
+    before it is shuffled, since generators and broadcast joins are one piece of generated code.
+    """
+    split = texts.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"))
+    cut = split.select("key", "words", F.explode_outer(F.sequence(F.lit(0), F.floor(F.greatest(F.size("words") - 1, F.lit(0)) / block).cast("int"))).alias("k"))
+    blocks = cut.select("key", (F.col("k") * block).cast("long").alias("base"), F.slice("words", F.col("k") * block + 1, block + longest - 1).alias("words"))
+    return blocks.select("key", "base", "words", F.explode_outer(F.when(F.size("words") > 0, F.sequence(F.lit(1), F.least(F.size("words"), F.lit(block))))).alias("i"))
 
 
 def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, block: int = BLOCK, broadcast: int = BROADCAST) -> DataFrame:
     """(key, phrase, n, first): how often each phrase stands in a key's texts, and the first place, in words from 0."""
     known = dictionary(phrases, phrase)
     longest, size = known.agg(F.max("n"), F.sum(F.octet_length("phrase") + 64)).first()
-    near = F.broadcast if (size or 0) <= broadcast else lambda df: df
+    near, asking = F.broadcast, places(texts, key, text, longest or 1, block)
+    if (size or 0) > broadcast:  # a shuffled row holds the words from its place on, no block
+        near, asking = lambda df: df, asking.select("key", (F.col("base") + F.col("i") - 1).alias("base"), F.slice("words", F.col("i"), longest).alias("words"), F.lit(1).alias("i"))
     heads = known.groupBy("head").agg(F.collect_set("n").alias("lengths"))  # as many as the longest phrase has words
-    met = runs(texts, key, text, longest or 1, block).withColumn("head", F.get("run", 0)).join(near(heads), "head")
-    asked = met.select("key", "at", "run", F.explode("lengths").alias("n")).filter(F.size("run") >= F.col("n"))
-    found = asked.select("key", "at", F.array_join(F.slice("run", 1, F.col("n")), " ").alias("phrase")).join(near(known.select("phrase")), "phrase", "left_semi")
+    met = asking.withColumn("head", F.get("words", F.col("i") - 1)).join(near(heads), "head")
+    asked = met.select("key", "base", "words", "i", F.explode("lengths").alias("n")).filter(F.size("words") - F.col("i") + 1 >= F.col("n"))
+    said = asked.select("key", (F.col("base") + F.col("i") - 1).alias("at"), F.coalesce(F.array_join(F.slice("words", F.col("i"), F.col("n")), " "), F.lit("")).alias("phrase"))
+    found = said.join(near(known.select("phrase")), "phrase", "left_semi")
     return found.groupBy("key", "phrase").agg(F.count("*").alias("n"), F.min("at").alias("first")).withColumnRenamed("key", key)

@@ -23,7 +23,7 @@ PHRASES = r"SELECT p_name AS phrase FROM part UNION ALL SELECT p_type FROM part
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and clauses of the other tables that stand in documents."""
     known = I.view(spark, sf_dir, PHRASES.format(explode="explode", split="split(text, '[,.]')"))
-    return phrases.phrase_hits(I.view(spark, sf_dir, "SELECT * FROM documents"), "doc_id", "text", known, "phrase")
+    return phrases.phrase_hits(I.view(spark, sf_dir, "SELECT * FROM documents", deal=True), "doc_id", "text", known, "phrase")
 
 
 #: A number with a calling code of one to three digits and none to thirteen more, from each order.

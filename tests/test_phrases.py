@@ -65,3 +65,11 @@ def test_plan_has_no_nested_loops_and_no_wide_exchange(spark):
     texts, known = spark.createDataFrame(TEXTS, "id long, body string"), spark.createDataFrame([(p,) for p in KNOWN], "p string")
     plan = phrases.phrase_hits(texts, "id", "body", known, "p")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_texts_are_split_once_and_repeated_phrases_are_read_once(spark):
+    """No filter splits again, neither texts nor the dictionary's rows before they are distinct, and no place copies its words into an array of structs."""
+    texts, known = spark.createDataFrame(TEXTS, "id long, body string"), spark.createDataFrame([(p,) for p in KNOWN], "p string")
+    lines = phrases.phrase_hits(texts, "id", "body", known, "p")._jdf.queryExecution().executedPlan().toString().splitlines()
+    split = [x for x in lines if "regexp_extract_all" in x]
+    assert len(split) == 1 and "Project" in split[0] and not any("transform(" in x for x in lines)
