@@ -331,7 +331,7 @@ COURSE_RULES = rf"""{LINES},
   SELECT cast(id AS varchar) AS run_id, full_name, emails, phones, linkedin_url, github_url, told.portfolio_url, skills, years AS years_experience, coalesce(jobs, '') AS jobs, coalesce(courses, '') AS courses
   FROM told LEFT JOIN years ON years.run_id = id LEFT JOIN worked ON worked.run_id = id LEFT JOIN learned ON learned.run_id = id""")
 def resume_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.view(spark, sf_dir, f"SELECT run_id, 0 AS src_seq, 'resume_docx' AS source_type, content FROM ({I.RESUMES})")
+    rows = I.view(spark, sf_dir, f"SELECT run_id, 0 AS src_seq, 'resume_docx' AS source_type, content FROM ({I.RESUMES})", deal=True)
     joined = lambda c, field: F.array_join(field, "|").alias(c)
     said = lambda c: F.coalesce(c, F.lit(""))
     jobs = F.transform("experience", lambda j: F.concat(said(j["company"]), F.lit("/"), said(j["title"])))
@@ -434,19 +434,19 @@ def section_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {JOB_RULES} SELECT cast(run_id AS varchar) AS run_id, cast(pos AS integer) AS pos, job.company AS company, job.title AS title, job.since AS job_start, job.until AS job_end, job.summary AS summary FROM parsed""")
 def experience_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.view(spark, sf_dir, I.RESUMES).select(F.col("run_id").cast("string").alias("run_id"), F.posexplode(T.jobs(F.col("content"))).alias("pos", "j"))
+    rows = I.view(spark, sf_dir, I.RESUMES, deal=True).select(F.col("run_id").cast("string").alias("run_id"), F.posexplode(T.jobs(F.col("content"))).alias("pos", "j"))
     return rows.select("run_id", "pos", "j.company", "j.title", F.col("j.start").alias("job_start"), F.col("j.end").alias("job_end"), "j.summary")
 
 
 @query(f"""WITH RECURSIVE {COURSE_RULES} SELECT cast(run_id AS varchar) AS run_id, cast(pos AS integer) AS pos, course.institution AS institution, course.degree AS degree, course.field AS field, course.end_year AS end_year FROM studied""")
 def education_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.view(spark, sf_dir, I.RESUMES).select(F.col("run_id").cast("string").alias("run_id"), F.posexplode(T.courses(F.col("content"))).alias("pos", "c"))
+    rows = I.view(spark, sf_dir, I.RESUMES, deal=True).select(F.col("run_id").cast("string").alias("run_id"), F.posexplode(T.courses(F.col("content"))).alias("pos", "c"))
     return rows.select("run_id", "pos", "c.institution", "c.degree", "c.field", "c.end_year")
 
 
 @query(f"""WITH RECURSIVE {JOB_RULES}, {PARSED_YEARS} SELECT cast(r.run_id AS varchar) AS run_id, years FROM ({I.RESUMES}) r LEFT JOIN years y ON y.run_id = r.run_id""")
 def resume_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.view(spark, sf_dir, I.RESUMES).select(F.col("run_id").cast("string").alias("run_id"), T.years_of(T.jobs(F.col("content")), I.AS_OF, only_forward=False).alias("years"))
+    return I.view(spark, sf_dir, I.RESUMES, deal=True).select(F.col("run_id").cast("string").alias("run_id"), T.years_of(T.jobs(F.col("content")), I.AS_OF, only_forward=False).alias("years"))
 
 
 # ---- merge ----

@@ -38,7 +38,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["csv_scan", "ats_scan", "phone_e164"])
+@pytest.mark.parametrize("name", ["csv_scan", "ats_scan", "phone_e164", "experience_parse", "education_parse", "resume_years"])
 def test_rows_of_one_file_are_dealt_out(spark, sf_dir, name):
     """Each table is one file with one row group, so one task's work if it is read and parsed in one stage."""
     parts = QUERIES[name](spark, sf_dir).select(F.spark_partition_id().alias("p")).distinct().count()
